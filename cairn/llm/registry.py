@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, token_count, toxicity
+from . import mixing, near_dedup, packing, quality, token_count, toxicity
 
 QUERIES = {
     "op2_ngram_ratio_quality": quality.op2,
     "op3_simhash_bk_trees": near_dedup.op3,
     "op5_token_counts": token_count.op5,
+    "op4_weighted_fair_queue": mixing.op4,
     "op9_segment_toxicity": toxicity.op9,
     "op6_cost_balanced_packing": packing.op6,
 }
