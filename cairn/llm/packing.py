@@ -9,6 +9,7 @@ it goes into sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -20,55 +21,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import read
+from .shared import Recent, read
 from .token_count import load, tokenizer_file
 
 SEQUENCE, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1 / 2048
-#: Sequences of a window, entries of a worker's cache of words, and the longest word in it.
-WINDOW, CACHED, LONGEST = 256, 300_000, 64
+#: Sequences of a window.
+WINDOW = 256
 
 Piece = tuple[int, int, int]  # the document's position in the window, start, length
 
 
 #: Words whose letters are ASCII or Latin-1 and that have no apostrophe; the pre-tokenizer's cuts within one.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+PROBES = ("Word,", "AB12cd!?", "Été-3", "x_y/z", "(a)[b]{c}", "a&b#$%+=~^`|\\\"<>@*:;.,")
 PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-class WordIds(dict):
-    """Word (UTF-8) -> its ids as little-endian unsigned 32-bit numbers.
+class PartIds(Recent):
+    """Part of a word in lower case -> its ids as little-endian unsigned 32-bit numbers."""
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in turn. It
-    lower-cases, so plain words are looked up part by part in lower case: `Word,` and `word.` share an entry.
-    """
+    size = 400_000
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.parts = tokenizer, {}
+        self.tokenizer = tokenizer
 
-    def encode(self, text: str) -> bytes:
+    def make(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) >= 2 * CACHED:
-                self.parts.clear()
-            ids = self.parts[text] = self.encode(text)
-        return ids
 
-    def __missing__(self, word: bytes) -> bytes:
+class WordIds(Recent):
+    """Word (UTF-8) -> its ids as little-endian unsigned 32-bit numbers.
+
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in turn. Where
+    it lower-cases and cuts plain words into letters, digits and punctuation (PROBES tell), these are looked up part
+    by part: `Word,` and `word.` share an entry.
+    """
+
+    size = 300_000
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.parts = PartIds(tokenizer)
+        self.by_parts = all(self.parts.make(w) == self.cut(w) for w in PROBES)
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+
+    def make(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(word) > LONGEST or "<|" in text or not PLAIN.fullmatch(text):
-            ids = self.encode(text)
-        else:
-            ids = b"".join(map(self.part, PARTS.findall(text.lower())))
-        if len(word) <= LONGEST:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.cut(text) if self.by_parts and PLAIN.fullmatch(text) and "<|" not in text else self.parts.make(text)
+
+    def of(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or b"").split()))
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(definition: str) -> WordIds:
+    """One cache for each worker process, however many tasks it runs."""
+    return WordIds(load(definition))
 
 
 def room_for(total: int, length: int, last: bool) -> list[int]:
@@ -151,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
     schema = T.StructType([source.schema["key"], *whole, T.StructField("ids", T.BinaryType())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(load(definition.value))
+        words = word_ids(definition.value)
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 36
         kind = to_arrow_type(schema["key"].dataType)
@@ -159,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
         def documents() -> Iterator[tuple[object, bytes]]:
             for batch in stream:
                 for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                    yield k.as_py(), b"".join(map(words.__getitem__, (t.as_py() or b"").split())) + tail
+                    yield k.as_py(), words.of(t.as_py()) + tail
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             keys, ids, start, tokens, sequence, offset = zip(*rows, strict=True)

@@ -69,6 +69,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+class Recent(dict):
+    """A cache of at most 2 * size entries, filled by `make` (a method): what is in use moves on when a generation is full."""
+
+    size = 200_000
+
+    def __init__(self):
+        super().__init__()
+        self.last: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.last = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def crc32_of_id(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 

@@ -9,6 +9,7 @@ because a pre-token is encoded by the library itself and texts that the cut does
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections import Counter
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import map_texts, read
+from .shared import Recent, map_texts, read
 
-#: Entries of the broadcast table, entries of a task's summary, longest pre-token in either tier, entries of a worker's cache.
-FREQUENT, SUMMARY, LONGEST, CACHED = 1 << 15, 1 << 12, 64, 800_000
+#: Entries of the broadcast table, words of a task's summary and of its running table, and the longest word in them.
+FREQUENT, SUMMARY, CACHED, LONGEST = 1 << 15, 1 << 12, 400_000, 64
 
 #: A word with one space before it; white space up to the last character before a word; that last character.
 PIECES = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -45,39 +46,48 @@ def load(definition: str):
     return Tokenizer.from_str(definition)
 
 
-class Lengths(dict):
-    """Pre-token -> number of tokens; asks the library for what it lacks and starts over when full.
+class Lengths(Recent):
+    """Pre-token -> number of tokens: the broadcast table first, then this worker's cache, then the library.
 
     Words of Latin letters with punctuation or digits around are looked up part by part, as the pre-tokenizer cuts
     them, so that `word`, `word,` and `word.` share an entry.
     """
 
-    def __init__(self, tokenizer, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.tokenizer, self.frequent = tokenizer, frequent
+    size = 400_000
 
-    def __missing__(self, piece: str) -> int:
+    def __init__(self, definition: str, frequent: dict[str, int]):
+        super().__init__()
+        self.tokenizer, self.frequent = load(definition), frequent
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def encode(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def make(self, piece: str) -> int:
+        n = self.frequent.get(piece)
+        if n is not None:
+            return n
         parts = PARTS.findall(piece) if PLAIN.fullmatch(piece) and "<|" not in piece else ()
-        if len(parts) > 1:
-            n = sum(map(self.__getitem__, parts))
-        else:
-            n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= LONGEST:
-            if len(self) >= len(self.frequent) + CACHED:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
-        return n
+        return sum(map(self.__getitem__, parts)) if len(parts) > 1 else self.encode(piece)
+
+    def of(self, text: bytes | None) -> int:
+        if not text:
+            return 0
+        whole = text.decode()
+        if UNUSUAL.search(whole) or any(s in whole for s in self.specials):
+            return self.encode(whole)
+        return sum(map(self.__getitem__, PIECES.findall(whole)))
 
 
-def count_tokens(text: str, lengths: Lengths, specials: tuple[str, ...]) -> int:
-    if any(s in text for s in specials) or (UNUSUAL.search(text) is not None):
-        return len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
-    return sum(map(lengths.__getitem__, PIECES.findall(text)))
+class Table:
+    """What is broadcast; a worker process builds its lookup once, however many tasks it runs."""
 
+    def __init__(self, definition: str, frequent: dict[str, int]):
+        self.definition, self.frequent = definition, frequent
 
-def special_strings(tokenizer) -> tuple[str, ...]:
-    return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    @functools.cached_property
+    def lengths(self) -> Lengths:
+        return Lengths(self.definition, self.frequent)
 
 
 def frequent_words(docs: DataFrame, text: str) -> list[str]:
@@ -107,21 +117,13 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
     spark: SparkSession = docs.sparkSession
     with open(tokenizer or tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
-    library = load(definition)
-    lengths = Lengths(library, {})
-    for word in frequent_words(docs, text):
-        lengths[word], lengths[" " + word]  # noqa: B018  a lookup fills the table
-    shared = spark.sparkContext.broadcast((definition, dict(lengths)))
+    lengths = Lengths(definition, {})
+    frequent = {piece: lengths.encode(piece) for word in frequent_words(docs, text) for piece in (word, " " + word)}
+    shared = spark.sparkContext.broadcast(Table(definition, frequent))
 
     def start():
-        definition, frequent = shared.value
-        lengths = Lengths(load(definition), frequent)
-        specials = special_strings(lengths.tokenizer)
-
-        def work(texts):
-            return [len(t or b"") for t in texts], [count_tokens(t.decode(), lengths, specials) if t else 0 for t in texts]
-
-        return work
+        lengths = shared.value.lengths
+        return lambda texts: ([len(t or b"") for t in texts], list(map(lengths.of, texts)))
 
     return map_texts(docs, text, keep, T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]), start)
 

@@ -10,6 +10,7 @@ logistic curve, fitted on labelled texts that did not take part in the counts, t
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -21,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_share, crc32_of_id, cut_lineage, map_texts, read
+from .shared import Recent, bounded_share, crc32_of_id, cut_lineage, map_texts, read
 
 #: The labelled rows that the fit takes, at most about so many; a fifth of them calibrates.
 TRAINING_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of a prior, evidence below which a feature isn't kept, and what a token pays for lengthening a passage.
 PRIOR, LEAST, TOLL = 20.0, 12, 0.5
-CACHED = 400_000
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 GRID = np.linspace(0.05, 4.0, 80)
 EULER = 0.5772156649015329
@@ -43,22 +43,19 @@ def chain(token: bytes) -> list[bytes]:
     return [token[:k] + b"*" for k in PREFIXES if len(token) > k] + [token]
 
 
-class LogOdds(dict):
+class LogOdds(Recent):
     """Token -> log-odds of toxic against clean, less the toll."""
 
     def __init__(self, counts: dict[bytes, tuple[int, int]], share: float):
         super().__init__()
         self.counts, self.share = counts, share
 
-    def __missing__(self, token: bytes) -> float:
+    def make(self, token: bytes) -> float:
         ratio = 1.0
         for feature in chain(token):
             toxic, clean = self.counts.get(feature, (0, 0))
             ratio = (toxic + PRIOR * ratio) / (clean * self.share + PRIOR)
-        if len(self) >= CACHED:
-            self.clear()
-        self[token] = score = math.log(ratio) - TOLL
-        return score
+        return math.log(ratio) - TOLL
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -93,6 +90,10 @@ class Model:
     slope: float = 1.0
     bias: float = -3.0
 
+    @functools.cached_property
+    def odds(self) -> LogOdds:
+        return LogOdds(self.counts, self.share)
+
     def passages(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
         """(normalised score, start, end) of the significant segments."""
         chance = math.log(self.scale * max(1, len(scores)))
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     def start():
         model = shared.value
-        odds = LogOdds(model.counts, model.share)
+        odds = model.odds  # one cache for each worker process
 
         def work(texts):
             probabilities, passages = [], []
