@@ -73,7 +73,7 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
     values = start
     if not steps.isEmpty():
         for _ in range(rounds):
-            moved = values.join(steps, (values.kind == steps.kind) & (values.host == steps["at"])).select(steps.kind, F.col("to").alias("host"), (F.col("value") * F.col("p") * damping).alias("value"))
+            moved = values.withColumnRenamed("host", "at").join(steps, ["kind", "at"]).select("kind", F.col("to").alias("host"), (F.col("value") * F.col("p") * damping).alias("value"))
             values = cut_lineage(moved.union(start).groupBy("kind", "host").agg(F.sum("value").alias("value")))
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0))
     return values.groupBy("host").agg(part(0).alias("trust"), part(1).alias("distrust"))
