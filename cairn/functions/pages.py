@@ -150,4 +150,4 @@ def deep_postings(pages: DataFrame, html: str = "html") -> DataFrame:
                 jobs.append(json.dumps(hit) if hit else None)
             yield batch.assign(job=jobs)
 
-    return pages.mapInPandas(work, pages.schema.add("job", "string") if "job" not in pages.columns else pages.schema)
+    return pages.drop("job").mapInPandas(work, T.StructType([*(f for f in pages.schema if f.name != "job"), T.StructField("job", T.StringType())]))

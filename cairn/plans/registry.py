@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import pages as pg
 from ..functions import text as tx
@@ -506,3 +505,78 @@ def unchanged_skip(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select("doc_id", F.lit("s").alias("source_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     cursors = docs.select("source_id", "path", F.when(F.col("doc_id") % 2 == 0, F.sha2("content", 256)).otherwise("-").alias("content_sha256"))
     return snapshots.changed(docs, cursors).select("doc_id")
+
+
+# --- from events to messages ---
+
+
+@query(f"""WITH {b.ROWS} SELECT url || tracking AS source_event_id, 'https://github.com/owner/repo/blob/dev/orders/' || l_orderkey || '.md' AS source_url, count(*) AS n FROM rows WHERE l_orderkey % 5 <> 4 GROUP BY ALL""")
+def snapshot_events(spark, sf_dir):
+    made = snapshots.to_events(snapshots.parse_tables(b.order_files(spark, sf_dir)), F.lit("owner/repo"), F.lit("dev"), F.lit("-"))
+    return made.groupBy("source_event_id", "source_url").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, 'Please see https://jobs.example.com/' || page_id || E' today\n\n' || concat_ws(E'\n', 'Fetched job posting snapshot (trusted fetch):', 'Company: Acme ' || page_id, 'Role: Data Intern', 'Location: Boston, MA; Remote US', 'Work mode: Remote', 'Posted: 2026-05-13', 'Excerpt: Good work.', 'Description: Good work. Much of it.', 'https://jobs.example.com/' || page_id) AS text FROM pages""")
+def enriched_events(spark, sf_dir):
+    pages = b.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://jobs.example.com/"), "page_id").alias("url"), "html")
+    events_ = pages.select("page_id", F.col("page_id").alias("event_id"), F.concat(F.lit("Please see "), "url", F.lit(" today")).alias("text"), F.array().cast("array<string>").alias("attachment_urls"))
+    record = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Data Intern","datePosted":"2026-05-13","description":"Good work. Much of it.","hiringOrganization":"Acme '), "page_id", F.lit('","jobLocation":["Boston, MA","Remote US"]}</script>'))
+    fetched = pages.select("url", F.lit(None).cast("string").alias("final_url"), F.concat(record, "html").alias("html"))
+    return enrich.with_pages(events_, fetched).select("page_id", "text")
+
+
+@query(f"""WITH {b.ROWS} SELECT event_id, CASE {KIND} WHEN 'co_op' THEN 'Co-op' WHEN 'new_grad' THEN 'New Grad' ELSE 'Internship' END AS category, CASE {KIND} WHEN 'internship' THEN 1 WHEN 'co_op' THEN 2 ELSE 3 END AS sort_order,
+  company AS payload_company, role || ' — ' || company AS title, CASE WHEN l_returnflag = 'R' THEN 'Does not offer' WHEN l_returnflag = 'A' THEN 'US citizenship required' END AS sponsorship FROM rows""")
+def feed_messages(spark, sf_dir):
+    ready = linkage.checkpointed(extract.prepared(extract.extract(b.opportunity_rows(spark, sf_dir))).drop("c", "urls", "whole"))
+    rows = ready.withColumns({"opportunity_id": F.col("event_id"), "work_mode": tx.work_mode("locations", F.lit("")), "deadline": F.lit(None).cast("string"), "discovered_at": F.col("captured_at")})
+    shown = rows.select("event_id", delivery.payload().alias("p"), delivery.feed_message().alias("m"))
+    sponsorship = F.regexp_extract("m", r'"name":"Sponsorship","value":"([^"]*)"', 1)
+    return shown.select("event_id", F.get_json_object("p", "$.category_label").alias("category"), F.get_json_object("p", "$.sort_order").cast("int").alias("sort_order"), F.get_json_object("p", "$.company").alias("payload_company"), F.get_json_object("m", "$.embeds[0].title").alias("title"), F.nullif(sponsorship, F.lit("")).alias("sponsorship"))
+
+
+@query("""SELECT conv_id || lpad(turn::VARCHAR, 4, '0') AS source_event_id, CASE WHEN conv_id % 4 = 2 THEN '555' ELSE (conv_id % 9 + 100)::VARCHAR END AS channel_id FROM conversations""")
+def reaction_targets(spark, sf_dir):
+    made = chat.from_messages(b.messages(spark, sf_dir))
+    return made.select("source_event_id", delivery.reaction_target(F.col("source"), F.col("metadata"), F.col("source_event_id"), "555")["channel_id"].alias("channel_id"))
+
+
+@query("""SELECT l_partkey AS opportunity_id, greatest(TIMESTAMP '1996-01-01 00:00:00', max(l_shipdate)) AS last_seen_at FROM lineitem GROUP BY 1 UNION ALL SELECT p_partkey, TIMESTAMP '1996-01-01 00:00:00' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
+def touched_records(spark, sf_dir):
+    stored = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("opportunity_id"), F.lit("1996-01-01 00:00:00").cast("timestamp").alias("last_seen_at"))
+    return linkage.touch(stored, b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("opportunity_id"), F.col("l_shipdate").alias("observed_at")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 AND l_returnflag <> 'R' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 = 0) GROUP BY ALL""")
+def publishable_rows(spark, sf_dir):
+    linked = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source_account"), (F.col("l_linenumber") % 2 == 0).alias("created"), F.when(F.col("l_returnflag") == "R", "closed").otherwise("active").alias("status"))
+    sources = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_account"), (F.col("s_nationkey") % 3 == 0).alias("shadow_mode"))
+    return delivery.publishable(linked, sources).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey AS opportunity_id, l_returnflag AS destination_type FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def enqueued_rows(spark, sf_dir):
+    row = lambda key, kind: (key.alias("opportunity_id"), kind.alias("destination_type"), F.lit("k").alias("destination_key"))
+    fresh = b.table(spark, sf_dir, "lineitem").select(*row(F.col("l_orderkey"), F.col("l_returnflag")))
+    there = b.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(*row(F.col("o_orderkey"), F.explode(F.array(*map(F.lit, "ARN")))))
+    return delivery.enqueue(there, fresh).select("opportunity_id", "destination_type")
+
+
+@query("SELECT event_id FROM events SEMI JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90) USING (user_id, event_type)")
+def permitted_events(spark, sf_dir):
+    e = b.table(spark, sf_dir, "events").select("event_id", F.lit("poller").alias("caller"), F.col("event_type").alias("source"), F.col("user_id").alias("source_account"), "value")
+    return intake.permitted(e, e.filter("value > 90")).select("event_id")
+
+
+@query("SELECT (o_orderkey % 4)::INT AS status_code, count(*) AS n FROM orders GROUP BY 1")
+def outbox_routes(spark, sf_dir):
+    routed = delivery.route(_outbox(spark, sf_dir), "feed", "review")
+    return routed.filter("channel IS NOT NULL AND dead_reason IS NULL").groupBy((F.col("id") % 4).cast("int").alias("status_code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'event_linked_twice' AS \"check\", count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'delivered_without_id', count(*) FROM orders WHERE o_orderkey % 4 = 3")
+def table_invariants(spark, sf_dir):
+    p = b.table(spark, sf_dir, "part")
+    records = p.select(F.col("p_partkey").cast("string").alias("canonical_url_hash"), F.lit("b").alias("stable_job_board"), F.col("p_partkey").cast("string").alias("stable_job_id"), F.lit(True).alias("needs_review"), F.lit(None).cast("string").alias("company"), F.lit("r").alias("role"), F.lit("u").alias("application_url"), F.lit(1).alias("last_seen_at"), F.lit(1).alias("first_seen_at"))
+    links = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_event_id"))
+    return upkeep.violations(records, links, _outbox(spark, sf_dir))
