@@ -16,34 +16,64 @@ SHAPE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?([^/?#:@]*)(?::([0-9]*))
 DEFAULT_PORT = {"http": "80", "https": "443"}
 
 
-def part(url: Text, group: int) -> Column:
-    return F.regexp_extract(col(url), SHAPE, group)
+#: What separates the parts of a taken-apart address; no address holds it.
+CUT = "\x01"
+
+
+def parts_of(url: Text) -> Column:
+    """The seven parts of an address, by one match; an array of another size if it has not that shape."""
+    return F.split(F.regexp_replace(col(url), SHAPE, CUT.join(f"${i}" for i in range(1, 8))), CUT)
+
+
+def _get(parts: Column, n: int) -> Column:
+    return F.coalesce(F.get(parts, F.lit(n - 1)), F.lit(""))
+
+
+def _host(parts: Column) -> Column:
+    return F.when(F.size(parts) == 7, F.lower(_get(parts, 3))).otherwise("")
+
+
+def _scheme(parts: Column) -> Column:
+    return F.when(F.size(parts) == 7, F.lower(_get(parts, 1))).otherwise("")
+
+
+def _valid(parts: Column) -> Column:
+    return F.coalesce((F.size(parts) == 7) & _scheme(parts).isin("http", "https") & F.regexp_like(_host(parts), F.lit(r"^[a-z0-9_.\-]+$")), F.lit(False))
+
+
+def _port(parts: Column) -> Column:
+    usual = F.concat(_scheme(parts), F.lit(":"), _get(parts, 4)).isin("http:", "https:", "http:80", "https:443")
+    return F.when(usual, "").otherwise(F.concat(F.lit(":"), _get(parts, 4)))
+
+
+def _serialized(parts: Column) -> Column:
+    user = F.when(_get(parts, 2) == "", "").otherwise(F.concat(_get(parts, 2), F.lit("@")))
+    path = F.coalesce(F.nullif(_get(parts, 5), F.lit("")), F.lit("/"))
+    return F.when(_valid(parts), F.concat(_scheme(parts), F.lit("://"), user, _host(parts), _port(parts), path, _get(parts, 6), _get(parts, 7)))
+
+
+def part(url: Text, n: int) -> Column:
+    """Part n, counted from 1; empty if there is none."""
+    parts = parts_of(url)
+    return F.when(F.size(parts) == 7, _get(parts, n)).otherwise("")
 
 
 def scheme(url: Text) -> Column:
-    return F.lower(part(url, 1))
+    return _scheme(parts_of(url))
 
 
 def host(url: Text) -> Column:
-    return F.lower(part(url, 3))
+    return _host(parts_of(url))
 
 
 def valid(url: Text) -> Column:
     """A web address with a plain ASCII host."""
-    return F.coalesce(scheme(url).isin("http", "https") & F.regexp_like(host(url), F.lit(r"^[a-z0-9_.\-]+$")), F.lit(False))
-
-
-def _port(url: Text) -> Column:
-    p = part(url, 4)
-    usual = (p == "") | ((scheme(url) == "https") & (p == "443")) | ((scheme(url) == "http") & (p == "80"))
-    return F.when(usual, "").otherwise(F.concat(F.lit(":"), p))
+    return _valid(parts_of(url))
 
 
 def serialized(url: Text) -> Column:
     """The address with lower-case scheme and host, without a default port, with at least "/" as path; null if not valid."""
-    user = F.when(part(url, 2) == "", "").otherwise(F.concat(part(url, 2), F.lit("@")))
-    path = F.when(part(url, 5) == "", "/").otherwise(part(url, 5))
-    return F.when(valid(url), F.concat(scheme(url), F.lit("://"), user, host(url), _port(url), path, part(url, 6), part(url, 7)))
+    return _serialized(parts_of(url))
 
 
 def parameters(url: Text) -> Column:
@@ -68,7 +98,7 @@ def canonical(url: Text) -> Column:
     placed = F.transform(kept, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value")))
     query = F.array_join(F.transform(F.array_sort(placed), lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))), "&")
     path = F.regexp_replace(part(url, 5), "/+$", "")
-    whole = F.concat(F.lit("https://"), host(url), _port(url), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    whole = F.concat(F.lit("https://"), host(url), _port(parts_of(url)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(col(url).isNotNull() & url_error(url).isNull(), whole)
 
 
@@ -104,18 +134,21 @@ def is_job_url(url: Text, variant: str = "relevance") -> Column:
     return F.coalesce(valid(url) & (F.regexp_like(h, F.lit(rf"(?:^|\.)(?:{BOARDS})$|{named}")) | path), F.lit(False))
 
 
-def urls_in(text: Text, attachments: Text | None = None) -> Column:
-    """Distinct serialized addresses of a text, in order, then those of attachments (an array of addresses)."""
+def literal_urls(text: Text) -> Column:
+    """struct(literal, url) of each valid address in a text, in order: what the text says, and its serialized form."""
     raw = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(?i)https?://[^\s<>\"']+"), F.lit(0))
-    trimmed = F.transform(raw, lambda u: serialized(F.regexp_replace(u, r"[),.;!?]+$", "")))
-    more = F.transform(F.coalesce(col(attachments), F.array().cast("array<string>")), serialized) if attachments is not None else F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.concat(trimmed, more)))
+    apart = F.transform(F.transform(raw, lambda u: F.regexp_replace(u, r"[),.;!?]+$", "")), lambda u: F.struct(u.alias("literal"), parts_of(u).alias("parts")))
+    return F.filter(F.transform(apart, lambda s: F.struct(s["literal"].alias("literal"), _serialized(s["parts"]).alias("url"))), lambda s: s["url"].isNotNull())
 
 
-def literal_urls(text: Text) -> Column:
-    """struct(literal, url) of each address in a text, so that evidence can be sought by what the text really says."""
-    raw = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(?i)https?://[^\s<>\"']+"), F.lit(0))
-    return F.filter(F.transform(raw, lambda u: F.struct(F.regexp_replace(u, r"[),.;!?]+$", "").alias("literal"), serialized(F.regexp_replace(u, r"[),.;!?]+$", "")).alias("url"))), lambda s: s["url"].isNotNull())
+def with_attachments(urls: Column, attachments: Text | None) -> Column:
+    more = F.transform(F.transform(F.coalesce(col(attachments), F.array().cast("array<string>")), lambda u: parts_of(u)), lambda p: _serialized(p)) if attachments is not None else F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(urls, more)))
+
+
+def urls_in(text: Text, attachments: Text | None = None) -> Column:
+    """Distinct serialized addresses of a text, in order, then those of attachments (an array of addresses)."""
+    return with_attachments(F.transform(literal_urls(text), lambda s: s["url"]), attachments)
 
 
 def cell_url(cell: Text) -> Column:
