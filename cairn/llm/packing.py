@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import Recent, read
+from .shared import Recent, read, small_batches
 from .token_count import load, tokenizer_file
 
 SEQUENCE, END = 4096, 2
@@ -156,6 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
     and repeated keys keep their rows. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))

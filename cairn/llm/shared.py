@@ -35,12 +35,23 @@ def without(frame: DataFrame, *names: str) -> DataFrame:
     return frame.drop(*names)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of an Arrow batch more tightly than Spark's default, unless the session sets a limit of its own.
+
+    A batch lives in the JVM and several times in a Python worker; long texts make the default of 64 MB heavy.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1m") == "67108864b":
+        spark.conf.set(name, size)
+
+
 def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.StructType, start: Callable[[], Callable[[list[bytes | None]], Iterable[Sequence]]]) -> DataFrame:
     """Adds `results` to the columns `keep`, computed from Arrow batches of UTF-8 texts.
 
     `start()` runs once in each task and returns a function from a batch's texts to one sequence per result column.
     Texts are handed over whole. Kept columns of a result's name give way to the result.
     """
+    small_batches(frame.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in results.names]
     source = frame.select(*keep, F.col(text).cast("binary").alias("__text"))
     types = [to_arrow_type(field.dataType) for field in results]
@@ -58,7 +69,7 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
     return source.mapInArrow(batches, schema)
 
 
-def slices(batch: pa.RecordBatch, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
