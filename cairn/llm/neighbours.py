@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import cut_lineage, read
@@ -99,7 +100,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     Vectors of different lengths aren't compared. Rows of equal key and vector count once. An empty table gives an
     empty result. Other columns are ignored.
     """
-    valid = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    # Components travel in the type they have (float stays half as wide as double) and become doubles where they're used.
+    element = vectors.schema[vector].dataType.elementType
+    components = F.col(vector) if isinstance(element, (T.FloatType, T.DoubleType)) else F.col(vector).cast("array<double>")
+    valid = vectors.select(F.col(key).alias("id"), components.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     # Spark prunes to k + 1 rows a vector before the shuffle (window group limit).
     smallest = valid.select("id", "v").withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     classes = cut_lineage(smallest.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("members")))
@@ -114,7 +118,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
         if not known.num_rows or not asked.num_rows:
             return schema.empty_table()
-        matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         members = known.column("members").to_pylist()
         first = np.array([m[0] for m in members])
         out: list[tuple] = []
