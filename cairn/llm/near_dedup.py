@@ -7,6 +7,10 @@ Hamming distance to the parent; a probe at distance d follows only the edges d -
 trees travel by a shuffle and not through the driver, for they hold the fingerprints of the whole corpus, which has no
 bound. A shard beyond `shard_rows` is cut into chunks, and each pair of chunks (tree, probes) is a task's work of
 bounded size. Within a task links are merged at once, so a group of n copies leaves n - 1 edges and not n * n.
+
+The corpus pipeline's stage (`similar_texts`, `keep_one`) links by content instead: texts whose sets of five-word
+shingles have a Jaccard similarity of LIKE or more. 64 bits can't tell such pairs apart (at 0.8 they differ in some
+10 bits), so a banded MinHash key names the shards, and every link is confirmed on the exact sets.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from pyspark.sql.window import Window
 from .shared import cut_lineage, map_texts, read
 
 SHINGLE, RADIUS = 3, 3
+#: The pipeline's stage: words of a shingle; least Jaccard similarity as a fraction of whole numbers; bands of so many minima.
+#: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
+STAGE_SHINGLE, LIKE, BANDS, MINIMA = 5, (4, 5), 24, 4
+ODD = np.random.default_rng(5).integers(0, 2**63, (3, BANDS * MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -205,13 +213,146 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return marked.join(named, "fp").select(F.col("__key").alias(key), "fp", "component_id")
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the lower-cased shingles; fewer words than `shingle` are one; no word: empty."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    sums = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        sums += hashes[i : i + len(sums)] * ODD[1, i]
+    return np.unique(mixed(sums))
+
+
+def digest(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A key for each band, made of MINIMA minima of the set under different orders."""
+    if not own.size:
+        return []
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 4096):
+        np.minimum(low, (ODD[0][:, None] * own[None, at : at + 4096]).min(axis=1), out=low)
+    keys = (mixed(low) * ODD[2]).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return mixed(keys).view(np.int64).tolist()
+
+
+def like_edges(names: list[int], sets: list[np.ndarray], like: tuple[int, int] = LIKE) -> list[tuple[int, int]]:
+    """Edges that span the groups of sets linked by an exact Jaccard similarity of `like` or more.
+
+    A set is held only against those that no group has taken yet, so n copies cost n comparisons; what stays apart is compared pair by pair.
+    """
+    top, bottom = like
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    flags = np.zeros(int(ids.max()) + 1, bool)
+    edges, left, waiting = [], np.arange(len(sets)), []
+    held = ids
+    while left.size or waiting:
+        if not waiting:
+            waiting, held, left = [int(left[0])], held[sizes[left[0]] :], left[1:]
+        if not left.size:
+            break
+        one = waiting.pop()
+        flags[parts[one]] = True
+        common = np.add.reduceat(flags[held], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+        flags[parts[one]] = False
+        near = (top + bottom) * common >= top * (sizes[left] + sizes[one])
+        if near.any():
+            found = left[near].tolist()
+            edges += [(names[i], names[one]) for i in found]
+            waiting += found
+            held, left = held[np.repeat(~near, sizes[left])], left[~near]
+    return edges
+
+
+def like_links(shards: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """shards: b, c, sig, set (all rows of a pair b, c are held against each other). Edges u, v; holds one group at a time."""
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(names, sets) -> pa.RecordBatch:
+            edges = like_edges(names, sets, like) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        now, names, sets = None, [], []
+        for batch in stream:
+            for b, c, sig, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (b, c) != now:
+                    if len(names) > 1:
+                        yield flush(names, sets)
+                    now, names, sets = (b, c), [], []
+                names.append(sig)
+                sets.append(np.frombuffer(own, np.uint64))
+        yield flush(names, sets)
+
+    return shards.select("b", "c", "sig", "set").repartition("b", "c").sortWithinPartitions("b", "c").mapInArrow(work, "u long, v long")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, like: tuple[int, int] = LIKE, shard_shingles: int = 2_000_000) -> DataFrame:
+    """key and component_id (the smallest key reachable over links) for every row of `docs`; keys aren't null.
+
+    Equal sets are one node. Nodes that share a band are held against each other on their exact sets, once for bands
+    of the same nodes. A shard beyond `shard_shingles` is cut into chunks, and each pair of chunks is a task's work.
+    """
+    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t"))
+    long = T.LongType()
+
+    def start():
+        def work(texts):
+            sets = [shingles(t, shingle) for t in texts]
+            return [[digest(x) for x in sets], [len(x) for x in sets], [bands(x) for x in sets]]
+
+        return work
+
+    marked = cut_lineage(map_texts(source, "__t", ("__key",), T.StructType([T.StructField("sig", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long))]), start))
+    distinct = cut_lineage(marked.groupBy("sig").agg(F.min("__key").alias("low")))
+    rows = marked.select("sig", "n", F.explode("bands").alias("b"))
+    shared = rows.groupBy("b").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("b")
+    members = cut_lineage(rows.join(shared, "b").distinct())
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+    alike = members.groupBy("b").agg(F.count("*").alias("rows"), exact(F.xxhash64("sig")).alias("sum"), F.sum("n").alias("total"))
+    once = alike.groupBy("rows", "sum").agg(F.min(F.struct("b", "total")).alias("one")).select("one.b", F.ceil(F.col("one.total") / shard_shingles).cast("long").alias("chunks"))
+    members = cut_lineage(members.join(once, "b"))
+
+    def again():
+        def work(texts):
+            sets = [shingles(t, shingle) for t in texts]
+            return [[digest(x) for x in sets], [x.tobytes() for x in sets]]
+
+        return work
+
+    wanted = distinct.join(members.select("sig").distinct(), "sig").select(F.col("low").alias("__key")).distinct()
+    sets = map_texts(source.join(wanted, "__key", "left_semi"), "__t", ("__key",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again)
+    # Chunk i meets chunk j in the group i * chunks + j with i < j, which holds the rows of both.
+    own, chunks, zero = F.pmod(F.xxhash64("sig"), F.col("chunks")), F.col("chunks"), F.lit(0).cast("long")
+    groups = F.when(chunks == 1, F.array(zero)).otherwise(F.transform(F.filter(F.sequence(zero, chunks - 1), lambda o: o != F.col("own")), lambda o: F.least(o, F.col("own")) * chunks + F.greatest(o, F.col("own"))))
+    placed = members.withColumn("own", own).select("sig", "b", F.explode(groups).alias("c"))
+    # A repeated key may bring the same set several times, or sets of other nodes, which find no place or are equal ones.
+    shards = placed.join(sets.dropDuplicates(["sig"]).select("sig", "set"), "sig")
+    stars = connected(like_links(shards, like))
+    rooted = distinct.join(stars.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lowest, "root").select("sig", "component_id")
+    return marked.join(named, "sig").select(F.col("__key").alias(key), "component_id")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row of the smallest key stays, once.
+    """The rows of `docs` without near-duplicates: of each component of similar texts the row of the smallest key stays, once.
 
     Repeated rows of that key count as copies of each other. Rows without a key can't be told apart by it; all stay.
     """
     named = docs.filter(F.col(key).isNotNull())
-    winners = near_duplicates(named, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    winners = similar_texts(named, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
     once = Window.partitionBy(key).orderBy(F.lit(0))
     kept = named.join(winners, key, "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
     return kept.unionByName(docs.filter(F.col(key).isNull()))

@@ -117,6 +117,36 @@ def test_one_document_of_each_group_stays(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("shard_shingles", [2_000_000, 500])
+def test_stage_drops_edited_copies_from_a_similarity_of_four_fifths(spark, shard_shingles):
+    r = random.Random(8)
+    texts, pairs = random_texts(40, 6)[:40], []
+    for i in range(60):
+        words = ["w%d" % r.randrange(5000) for _ in range(r.randint(60, 400))]
+        other = list(words)
+        for _ in range(r.randint(1, max(1, len(words) // 35))):
+            other[r.randrange(len(words))] = "edited%d" % i
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(other)]
+    texts += [None, "", "two words", "Two  words"]
+    sets = [five_word_sets(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    between = [like(sets[a], sets[b]) for a, b in pairs]
+    assert sum(0.8 <= x < 1 for x in between) > 20 and sum(x < 0.8 for x in between) > 5
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if like(sets[i], sets[j]) >= 0.8:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    got = sorted(x.doc_id for x in near_dedup.keep_one(frame(spark, texts), shard_shingles=shard_shingles).collect())
+    assert got == [i for i in range(len(texts)) if up[i] == i]
+
+
 # --- token counts and packing ---
 
 
