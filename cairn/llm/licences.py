@@ -36,7 +36,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Shared under the Creative Commons Attribution-NonCommercial license.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
     "cc0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.", "Dedicated to the public domain under CC0 1.0.", "Released under CC0.", "SPDX-License-Identifier: CC0-1.0"),
-    "proprietary": ("Copyright 2020 Example Corp. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "This software is proprietary and confidential; unauthorized copying is strictly prohibited."),
+    "proprietary": ("All rights reserved.", "Copyright (c) All rights reserved.", "Copyright 2020 Example Corp. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "This software is proprietary and confidential; unauthorized copying is strictly prohibited."),
 }
 #: Sentences that use the same words for other things.
 OTHERS = (
@@ -44,6 +44,7 @@ OTHERS = (
     "The new version was released in May.", "The work is public and free of charge for visitors.", "All conditions are met and the source is open.", "Permission to build the road was granted by the council.", "The terms of the contract were modified without notice.",
     "The use of this file is described in the documentation.", "The creative team works on a common project.", "Attribution of the painting is disputed.", "The library is open to any person with a copy of the card.", "The commons were shared by the village under the law.",
     "This program is shown at the theatre with the following cast.", "Software is distributed in binary form.", "The author has rights and duties related to the work.", "The state has a license for the casino.", "International law governs the copy of the form.",
+    "All rights of way were reserved by the state.", "She reserved all rights to the seat.", "Human rights are reserved for all people.", "Copyright law protects the author.",
 )
 STOP = set(b"a an and any are as at be but by can for from has have her his if in is it its lies may must no not of on or part see she that the their this to under was were which who with without you every new each all".split())
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:[.\-][0-9a-z]+)*")

@@ -327,6 +327,21 @@ def test_licence_classifier():
     assert judged("RELEASED UNDER THE MIT LICENSE")[0] == "mit"
 
 
+def test_short_proprietary_notices_are_found(spark):
+    short = ["All rights reserved.", "ALL RIGHTS RESERVED", "Copyright (c) 2024 Foo GmbH. All rights reserved.", "© 2021 Acme. All rights reserved."]
+    others = ["All rights of way were reserved by the state.", "All seats are reserved.", "The author has all rights to the work."]
+    got = {r.doc_id: [x.family for x in r.licences] for r in licences.scan(frame(spark, short + others)).collect()}
+    assert [got[i] for i in range(len(short + others))] == [["proprietary"]] * len(short) + [[]] * len(others)
+
+
+def test_all_five_kinds_of_given_licence_lines_are_found(spark, small):
+    docs = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet")
+    lines = (("GNU General Public", "gpl"), ("CC BY-NC 4.0", "cc-by-nc"), ("MIT License", "mit"), ("Apache License", "apache"), ("All rights reserved.", "proprietary"))
+    got = {r.doc_id: [x.family for x in r.licences] for r in licences.scan(docs).collect()}
+    want = {r.doc_id: [f for line in r.text.split("\n") for s, f in lines if s in line] for r in docs.select("doc_id", "text").collect()}
+    assert got == want and {f for found in want.values() for f in found} == {f for _, f in lines}
+
+
 def test_licences_of_odd_input(spark):
     got = {r.doc_id: r for r in licences.scan(frame(spark, [*ODD, "Released under the MIT License.\n" * 3])).collect()}
     assert got[0].n_paragraphs == 0 and got[len(ODD)].n_paragraphs == 3
