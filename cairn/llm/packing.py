@@ -10,6 +10,7 @@ it goes into sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,66 +22,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import Recent, read, small_batches
-from .token_count import load, tokenizer_file
+from .pretokens import Pieces, is_plain, load
+from .shared import read, slices, small_batches
+from .token_count import tokenizer_file
 
 SEQUENCE, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1 / 2048
-#: Sequences of a window.
-WINDOW = 256
+#: Sequences of a window; bytes of text whose pre-tokens are looked up together (they should fit into a core's cache).
+WINDOW, PART = 256, 1 << 18
 
 Piece = tuple[int, int, int]  # the document's position in the window, start, length
 
 
-#: Words whose letters are ASCII or Latin-1 and that have no apostrophe; the pre-tokenizer's cuts within one.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-PROBES = ("Word,", "AB12cd!?", "Été-3", "x_y/z", "(a)[b]{c}", "a&b#$%+=~^`|\\\"<>@*:;.,")
-PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: The pre-tokenizer's cuts of a plain text in lower case; texts that tell whether a tokenizer cuts so.
+PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+PROBES = ("Word,", "AB12cd!?", "Été-3", "x_y/z", "(a)[b]{c}", "a&b#$%+=~^`|\\\"<>@*:;.,", "Don't they'LL 'tis !'s", "a  b\n\tc")
 
 
-class PartIds(Recent):
-    """Part of a word in lower case -> its ids as little-endian unsigned 32-bit numbers."""
-
-    size = 400_000
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def make(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-class WordIds(Recent):
-    """Word (UTF-8) -> its ids as little-endian unsigned 32-bit numbers.
+class Ids:
+    """The ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in turn. Where
-    it lower-cases and cuts plain words into letters, digits and punctuation (PROBES tell), these are looked up part
-    by part: `Word,` and `word.` share an entry.
+    it lower-cases and cuts plain texts into letters, digits and punctuation (PROBES tell), these are looked up part by
+    part: `Word,` and `word.` share an entry.
     """
 
-    size = 300_000
-
     def __init__(self, tokenizer):
-        super().__init__()
-        self.parts = PartIds(tokenizer)
-        self.by_parts = all(self.parts.make(w) == self.cut(w) for w in PROBES)
-
-    def cut(self, text: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
-
-    def make(self, word: bytes) -> bytes:
-        text = word.decode()
-        return self.cut(text) if self.by_parts and PLAIN.fullmatch(text) and "<|" not in text else self.parts.make(text)
-
-    def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        self.tokenizer = tokenizer
+        self.pieces, self.by_parts = Pieces(self.encode), False
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = tokenizer.get_vocab()
+        #: Whether an id ends a pre-token.
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.by_parts = all(self.whole([p])[0] == b"".join(self.whole(PARTS.findall(p.lower()))) for p in PROBES)
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Plain parts in one go, side by side; what isn't plain each for itself."""
+        simple = [p for p in pieces if self.by_parts and is_plain(p)]
+        if not simple:
+            return self.whole(pieces)
+        made = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (1 + np.flatnonzero(self.ends[made]))
+        if len(ends) != len(simple):
+            return self.whole(pieces)
+        ids = made.tobytes()
+        known = dict(zip(simple, (ids[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])), strict=True))
+        others = [p for p in pieces if p not in known]
+        known |= zip(others, self.whole(others), strict=True)
+        return [known[p] for p in pieces]
+
+    def cut(self, text: bytes | None) -> list[str]:
+        if not text:
+            return []
+        plain = text.decode()
+        if not self.by_parts:
+            return [w.decode() for w in text.split()]
+        if is_plain(plain):
+            return PARTS.findall(plain.lower())
+        return [part for w in map(bytes.decode, text.split()) for part in (PARTS.findall(w.lower()) if is_plain(w) else (w,))]
+
+    def of(self, texts: list[bytes | None]) -> list[bytes]:
+        return list(map(b"".join, self.pieces.look_up(list(map(self.cut, texts)))))
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(definition: str) -> WordIds:
+def ids_of(definition: str) -> Ids:
     """One cache for each worker process, however many tasks it runs."""
-    return WordIds(load(definition))
+    return Ids(load(definition))
 
 
 def room_for(total: int, length: int, last: bool) -> list[int]:
@@ -164,15 +176,16 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
     schema = T.StructType([source.schema["key"], *whole, T.StructField("ids", T.BinaryType())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(definition.value)
+        ids = ids_of(definition.value)
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 36
         kind = to_arrow_type(schema["key"].dataType)
 
         def documents() -> Iterator[tuple[object, bytes]]:
             for batch in stream:
-                for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                    yield k.as_py(), words.of(t.as_py()) + tail
+                for part in slices(batch, PART):
+                    for k, found in zip(part.column(0).to_pylist(), ids.of(part.column(1).to_pylist()), strict=True):
+                        yield k, found + tail
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             keys, ids, start, tokens, sequence, offset = zip(*rows, strict=True)
