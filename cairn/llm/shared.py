@@ -45,10 +45,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
-def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.StructType, start: Callable[[], Callable[[list[bytes | None]], Iterable[Sequence]]]) -> DataFrame:
+def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.StructType, start: Callable[[], Callable[[list[bytes | None]], Iterable[Sequence]]], size: int = 4 << 20) -> DataFrame:
     """Adds `results` to the columns `keep`, computed from Arrow batches of UTF-8 texts.
 
-    `start()` runs once in each task and returns a function from a batch's texts to one sequence per result column.
+    `start()` runs once in each task and returns a function from a batch's texts (of about `size` bytes together, or a
+    single longer one) to one sequence per result column.
     Texts are handed over whole. Kept columns of a result's name give way to the result.
     """
     small_batches(frame.sparkSession)
@@ -59,8 +60,7 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in stream:
-            # A few megabytes of text at a time, however many rows Spark put into the batch.
-            for part in slices(batch):
+            for part in slices(batch, size):  # however many rows Spark put into the batch
                 columns = work(part.column(part.num_columns - 1).to_pylist())
                 made = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *results.names])
@@ -69,7 +69,7 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
     return source.mapInArrow(batches, schema)
 
 
-def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
