@@ -61,9 +61,15 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def compatible(frame: DataFrame, *columns: str) -> DataFrame:
-    """The columns in Unicode's form NFKC. Only rows with a character beyond ASCII leave the JVM."""
-    plain = reduce(lambda a, b: a & b, (F.coalesce(F.regexp_like(F.col(c), F.lit(r"^[\x00-\x7F]*$")), F.lit(True)) for c in columns))
-    return frame.filter(plain).unionByName(frame.filter(~plain).withColumns({c: _nfkc(F.col(c)) for c in columns}))
+    """The columns (text or arrays of text) in Unicode's form NFKC. Only what holds a character beyond ASCII leaves the
+    JVM, all columns of a row as one text; control characters, which the form leaves alone, separate them."""
+    listed = {c: isinstance(frame.schema[c].dataType, T.ArrayType) for c in columns}
+    packed = F.concat_ws("\x1e", *(F.coalesce(F.array_join(c, "\x1f", "") if many else F.col(c), F.lit("")) for c, many in listed.items()))
+    staged = frame.withColumn("__packed", packed)
+    staged = staged.withColumn("__nfkc", F.split(_nfkc(F.when(F.regexp_like("__packed", F.lit(r"[^\x00-\x7F]")), F.col("__packed"))), "\x1e"))
+    form = lambda i, many: F.split(F.get("__nfkc", F.lit(i)), "\x1f") if many else F.get("__nfkc", F.lit(i))
+    made = {c: F.when(F.col("__nfkc").isNull() | F.col(c).isNull() | (F.size(c) == 0 if many else F.lit(False)), F.col(c)).otherwise(form(i, many)) for i, (c, many) in enumerate(listed.items())}
+    return staged.withColumns(made).drop("__packed", "__nfkc")
 
 
 def normalized(text: Text) -> Column:
@@ -90,14 +96,18 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
-def fingerprint(company: Text, role: Text, locations: Text, season: Text, year: Text, board: Text, job_id: Text) -> Column:
-    """SHA-256 over normal forms; null without company, role or year. Places count in sorted order."""
+def fingerprint_of(company: Text, role: Text, locations: Text, season: Text, year: Text, board: Text, job_id: Text) -> Column:
+    """SHA-256 over normal forms (company and role given as such); null without company, role or year. Places count in sorted order."""
     places = F.array_join(F.array_sort(F.transform(col(locations), normalized)), "|")
     blank = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     both = col(board).isNotNull() & col(job_id).isNotNull()
-    material = F.concat_ws("\x1f", company_form(company), role_form(role), F.coalesce(places, F.lit("")), blank(season), blank(year), F.when(both, blank(board)).otherwise(""), F.when(both, blank(job_id)).otherwise(""))
-    complete = (company_form(company) != "") & (role_form(role) != "") & col(year).isNotNull()
-    return F.when(complete, F.sha2(material, 256))
+    material = F.concat_ws("\x1f", col(company), col(role), F.coalesce(places, F.lit("")), blank(season), blank(year), F.when(both, blank(board)).otherwise(""), F.when(both, blank(job_id)).otherwise(""))
+    return F.when((col(company) != "") & (col(role) != "") & col(year).isNotNull(), F.sha2(material, 256))
+
+
+def fingerprint(company: Text, role: Text, locations: Text, season: Text, year: Text, board: Text, job_id: Text) -> Column:
+    """As `fingerprint_of`, from company and role as they are written."""
+    return fingerprint_of(company_form(company), role_form(role), locations, season, year, board, job_id)
 
 
 # --- vocabulary (P1-P5, F11-F16, F25) ---

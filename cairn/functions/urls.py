@@ -12,17 +12,18 @@ BOARDS = r"ashbyhq\.com|greenhouse\.io|lever\.co|myworkdayjobs\.com|workdayjobs\
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "referrer", "source", "jobsite")
 
 #: scheme, user information, host, port, path, query, fragment
-SHAPE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?([^/?#:@]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-DEFAULT_PORT = {"http": "80", "https": "443"}
-
+SHAPE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#@]*\]|[^/?#:@\[]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 #: What separates the parts of a taken-apart address; no address holds it.
 CUT = "\x01"
 
 
 def parts_of(url: Text) -> Column:
-    """The seven parts of an address, by one match; an array of another size if it has not that shape."""
-    return F.split(F.regexp_replace(col(url), SHAPE, CUT.join(f"${i}" for i in range(1, 8))), CUT)
+    """The seven parts of an address, by one match; an array of another size if it has not that shape.
+
+    The functions below take such parts in place of the address' own, so that a plan takes each address apart once.
+    """
+    return F.split(F.regexp_replace(F.trim(col(url)), SHAPE, CUT.join(f"${i}" for i in range(1, 8))), CUT)
 
 
 def _get(parts: Column, n: int) -> Column:
@@ -38,7 +39,22 @@ def _scheme(parts: Column) -> Column:
 
 
 def _valid(parts: Column) -> Column:
-    return F.coalesce((F.size(parts) == 7) & _scheme(parts).isin("http", "https") & F.regexp_like(_host(parts), F.lit(r"^[a-z0-9_.\-]+$")), F.lit(False))
+    return F.coalesce((F.size(parts) == 7) & _scheme(parts).isin("http", "https") & F.regexp_like(_host(parts), F.lit(r"^(?:[a-z0-9_.\-]+|\[[0-9a-f:.]+\])$")), F.lit(False))
+
+
+def _path(parts: Column) -> Column:
+    """The path with blanks escaped and its dot segments resolved."""
+    raw = F.replace(_get(parts, 5), F.lit(" "), F.lit("%20"))
+    steps = F.slice(F.split(raw, "/"), 2, F.size(F.split(raw, "/")))
+    is_ = lambda s, *forms: F.lower(s).isin(*forms)
+    here, up = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(is_(s, *here), done).when(is_(s, *up), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    resolved = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(is_(F.element_at(steps, -1), *here, *up) & (F.size(walked) > 0), "/").otherwise(""))
+    return F.when(F.regexp_like(raw, F.lit(r"(?i)/(?:\.|%2e){1,2}(?:/|$)")), resolved).otherwise(raw)
+
+
+def _part(parts: Column, n: int) -> Column:
+    return F.when(F.size(parts) == 7, _get(parts, n)).otherwise("")
 
 
 def _port(parts: Column) -> Column:
@@ -48,14 +64,13 @@ def _port(parts: Column) -> Column:
 
 def _serialized(parts: Column) -> Column:
     user = F.when(_get(parts, 2) == "", "").otherwise(F.concat(_get(parts, 2), F.lit("@")))
-    path = F.coalesce(F.nullif(_get(parts, 5), F.lit("")), F.lit("/"))
+    path = F.coalesce(F.nullif(_path(parts), F.lit("")), F.lit("/"))
     return F.when(_valid(parts), F.concat(_scheme(parts), F.lit("://"), user, _host(parts), _port(parts), path, _get(parts, 6), _get(parts, 7)))
 
 
 def part(url: Text, n: int) -> Column:
     """Part n, counted from 1; empty if there is none."""
-    parts = parts_of(url)
-    return F.when(F.size(parts) == 7, _get(parts, n)).otherwise("")
+    return _part(parts_of(url), n)
 
 
 def scheme(url: Text) -> Column:
@@ -66,6 +81,10 @@ def host(url: Text) -> Column:
     return _host(parts_of(url))
 
 
+def host_of(parts: Column) -> Column:
+    return _host(parts)
+
+
 def valid(url: Text) -> Column:
     """A web address with a plain ASCII host."""
     return _valid(parts_of(url))
@@ -76,41 +95,41 @@ def serialized(url: Text) -> Column:
     return _serialized(parts_of(url))
 
 
-def parameters(url: Text) -> Column:
+def parameters(url: Text, parts: Column | None = None) -> Column:
     """array<struct<key, value>> of the query, decoded, in order."""
     decoded = lambda c: F.coalesce(F.try_url_decode(c), c)
-    pairs = F.filter(F.split(F.substr(part(url, 6), F.lit(2)), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substr(_part(parts_of(url) if parts is None else parts, 6), F.lit(2)), "&"), lambda p: p != "")
     return F.transform(pairs, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("key"), F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, F.lit("=")) + 1))).otherwise("").alias("value")))
 
 
-def parameter(url: Text, name: str) -> Column:
-    return F.get(F.filter(parameters(url), lambda p: p["key"] == name), F.lit(0))["value"]
-
-
-def url_error(url: Text) -> Column:
+def url_error(url: Text, parts: Column | None = None) -> Column:
     """Why there is no canonical form: invalid, not_https or credentials; null if there is one."""
-    return F.when(col(url).isNull(), F.lit(None)).when(~valid(url), "invalid").when(scheme(url) != "https", "not_https").when(part(url, 2) != "", "credentials")
+    p = parts_of(url) if parts is None else parts
+    return F.when(col(url).isNull(), F.lit(None)).when(~_valid(p), "invalid").when(_scheme(p) != "https", "not_https").when(_part(p, 2) != "", "credentials")
 
 
-def canonical(url: Text) -> Column:
+def canonical(url: Text, parts: Column | None = None) -> Column:
     """https only: lower-case host, no fragment, default port or tracking parameter, parameters sorted by name, no slash at the end."""
-    kept = F.filter(parameters(url), lambda p: ~(F.startswith(F.lower(p["key"]), F.lit("utm_")) | F.lower(p["key"]).isin(*TRACKING)))
-    placed = F.transform(kept, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value")))
-    query = F.array_join(F.transform(F.array_sort(placed), lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))), "&")
-    path = F.regexp_replace(part(url, 5), "/+$", "")
-    whole = F.concat(F.lit("https://"), host(url), _port(parts_of(url)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(col(url).isNotNull() & url_error(url).isNull(), whole)
+    p = parts_of(url) if parts is None else parts
+    kept = F.filter(parameters(url, p), lambda q: ~(F.startswith(F.lower(q["key"]), F.lit("utm_")) | F.lower(q["key"]).isin(*TRACKING)))
+    placed = F.transform(kept, lambda q, i: F.struct(q["key"].alias("key"), i.alias("i"), q["value"].alias("value")))
+    query = F.array_join(F.transform(F.array_sort(placed), lambda q: F.concat(F.url_encode(q["key"]), F.lit("="), F.url_encode(q["value"]))), "&")
+    path = F.regexp_replace(_path(p), "/+$", "")
+    whole = F.concat(F.lit("https://"), _host(p), _port(p), F.when(path == "", "/").otherwise(path), F.when(_part(p, 6) == "", "").when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(col(url).isNotNull() & url_error(url, p).isNull(), whole)
 
 
-def segments(url: Text) -> Column:
-    return F.filter(F.split(part(url, 5), "/"), lambda s: s != "")
+def segments(url: Text, parts: Column | None = None) -> Column:
+    return F.filter(F.split(_part(parts_of(url) if parts is None else parts, 5), "/"), lambda s: s != "")
 
 
-def job_identity(url: Text) -> Column:
+def job_identity(url: Text, parts: Column | None = None) -> Column:
     """struct(board, id) of a canonical address, or null."""
-    h, s = host(url), segments(url)
+    p = parts_of(url) if parts is None else parts
+    h, s, given = _host(p), segments(url, p), parameters(url, p)
     n, last = F.size(s), F.try_element_at(s, F.lit(-1))
-    explicit = F.coalesce(parameter(url, "gh_jid"), parameter(url, "job_id"), parameter(url, "jobId"))
+    named = lambda name: F.get(F.filter(given, lambda q: q["key"] == name), F.lit(0))["value"]
+    explicit = F.when(_part(p, 6) != "", F.coalesce(named("gh_jid"), named("job_id"), named("jobId")))
     pair = lambda board, i: F.struct(board.alias("board"), i.alias("id"))
     return (
         F.when(F.regexp_like(explicit, F.lit(r"^[A-Za-z0-9_\-]{3,128}$")), pair(h, explicit))
@@ -122,16 +141,16 @@ def job_identity(url: Text) -> Column:
     )
 
 
-def is_job_url(url: Text, variant: str = "relevance") -> Column:
+def is_job_url(url: Text | None, variant: str = "relevance", parts: Column | None = None) -> Column:
     """A job board's host, a host named after jobs, or a path that leads to applications.
 
     The variant "relevance" also looks at the query; "enrichment" at host labels and the path alone.
     """
-    h = host(url)
+    p = parts_of(url) if parts is None else parts
     named = r"(?:^|\.)(?:ats|jobs|careers)\."
-    where = F.lower(F.concat(part(url, 5), part(url, 6)) if variant == "relevance" else part(url, 5))
+    where = F.lower(F.concat(_part(p, 5), _part(p, 6)) if variant == "relevance" else _part(p, 5))
     path = F.regexp_like(where, F.lit(r"/(?:jobs?|careers?|apply|application)(?:/|$|\?)"))
-    return F.coalesce(valid(url) & (F.regexp_like(h, F.lit(rf"(?:^|\.)(?:{BOARDS})$|{named}")) | path), F.lit(False))
+    return F.coalesce(_valid(p) & (F.regexp_like(_host(p), F.lit(rf"(?:^|\.)(?:{BOARDS})$|{named}")) | path), F.lit(False))
 
 
 def literal_urls(text: Text) -> Column:

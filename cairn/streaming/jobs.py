@@ -1,15 +1,14 @@
 """Structured Streaming forms: nonce guard, windowed rates, linkage and observation per micro-batch.
 
-State that must outlive a batch is a published version of tables in a shared folder: a batch reads the last version
-and publishes the next, named after its batch id, so a batch that runs again publishes the same version again.
+State that must outlive a batch is a published version of tables in a shared folder: a batch reads the version before
+its own and publishes one that is named after its batch id. A batch that runs again reads what it read before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -29,36 +28,65 @@ def windowed_rates(results: DataFrame, length: str = "1 day", delay: str = "1 ho
     return grouped.select(F.col("window.start").alias("start"), "source", "events", "processed", "review", "ignored")
 
 
-def stored(spark, folder: str, name: str) -> DataFrame | None:
-    """A table of the last published version, or None before the first."""
-    try:
-        return upkeep.published(spark, folder, name)
-    except AnalysisException:
-        return None
+def version_before(spark: SparkSession, folder: str, number: int) -> str | None:
+    """The version that batch `number` starts from: the last one before its own, never one of an earlier try of it.
+
+    A store that lacks the versions that the stream's progress implies, or is ahead of it, isn't this stream's: an error.
+    """
+    found = upkeep.versions(spark, folder)
+    own = named(number)
+    if found and found[-1] > own:
+        raise RuntimeError(f"{folder} has versions after {own}: it belongs to another checkpoint")
+    before = [v for v in found if v < own]
+    if number > 0 and not before:
+        raise RuntimeError(f"{folder} has no version before {own}: the store was lost")
+    return before[-1] if before else None
+
+
+def named(number: int) -> str:
+    return f"batch-{number:09d}"
+
+
+def records_of(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """The linked records of a published version (else the current one), moved on to their latest observation."""
+    return linkage.touch(upkeep.published(spark, folder, "opportunities", version), upkeep.published(spark, folder, "touches", version))
 
 
-def link_events(stream: DataFrame, folder: str, checkpoint: str, **options) -> DataStreamWriter:
+def link_events(stream: DataFrame, folder: str, checkpoint: str, compact: int = 50, **options) -> DataStreamWriter:
     """Processes each micro-batch of events against the records stored so far; `start()` or `trigger()` it as needed.
 
-    An event that was seen in an earlier batch (by event_id) changes nothing.
+    A batch adds its own records, links, outbox rows and observations (touches) to the version before; every `compact`
+    batches the tables are written anew as one folder each. Read the records by `records_of`. An event that was seen in
+    an earlier batch (by event_id) changes nothing, and a batch that runs again starts from the same version as before.
     """
 
+    return stream.writeStream.foreachBatch(link_step(folder, compact, **options)).option("checkpointLocation", checkpoint)
+
+
+def link_step(folder: str, compact: int = 50, **options) -> Callable[[DataFrame, int], None]:
+    """What `link_events` does with a micro-batch and its number."""
+
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = {n: stored(spark, folder, n) for n in ("opportunities", "links", "outbox")}
+        spark, keys = batch.sparkSession, ["opportunity_id", "destination_type", "destination_key"]
+        last = version_before(spark, folder, number)
         once = linkage.first_of(batch, ["event_id"], ["ord"])
-        if known["links"] is not None:
-            once = once.join(known["links"].select(F.col("raw_event_id").alias("event_id")), "event_id", "left_anti")
-        made = process(linkage.checkpointed(once), known["opportunities"], **options)
-        tables = {n: made[n] if known[n] is None else known[n].unionByName(made[n]) for n in ("links", "outbox")}
-        tables["outbox"] = tables["outbox"].dropDuplicates(["opportunity_id", "destination_type", "destination_key"])
-        records = made["opportunities"]
-        if known["opportunities"] is not None:
-            seen = made["links"].filter("NOT created").join(made["results"].select(F.col("event_id").alias("raw_event_id"), F.col("captured_at").alias("observed_at")), "raw_event_id").select("opportunity_id", "observed_at")
-            records = linkage.touch(known["opportunities"], seen).select(*records.columns).unionByName(records)
-        upkeep.publish(tables | {"opportunities": records}, folder, f"batch-{number:09d}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        stored = None
+        if last is not None:
+            stored = records_of(spark, folder, last)
+            once = once.join(upkeep.published(spark, folder, "links", last).select(F.col("raw_event_id").alias("event_id")), "event_id", "left_anti")
+        made = process(linkage.checkpointed(once), stored, **options)
+        seen = made["links"].filter("NOT created").join(made["results"].select(F.col("event_id").alias("raw_event_id"), F.col("captured_at").alias("observed_at")), "raw_event_id")
+        tables = {n: made[n] for n in ("opportunities", "links", "outbox")} | {"touches": seen.groupBy("opportunity_id").agg(F.max("observed_at").alias("observed_at"))}
+        if last is not None:
+            tables["outbox"] = tables["outbox"].join(upkeep.published(spark, folder, "outbox", last).select(*keys), keys, "left_anti")
+            if number % compact == 0:
+                tables = {n: upkeep.published(spark, folder, n, last).unionByName(t) for n, t in tables.items()}
+                tables["opportunities"] = linkage.touch(tables["opportunities"], tables["touches"])
+                tables["touches"] = tables["touches"].limit(0)
+                last = None
+        upkeep.publish(tables, folder, named(number), last)
+
+    return step
 
 
 def observe_snapshots(stream: DataFrame, folder: str, checkpoint: str, observed_at: Callable[[DataFrame], str]) -> DataStreamWriter:
@@ -66,10 +94,8 @@ def observe_snapshots(stream: DataFrame, folder: str, checkpoint: str, observed_
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = stored(spark, folder, "observations")
-        if before is None:
-            before = spark.createDataFrame([], "source_id long, observation_key string, last_seen_at timestamp, consecutive_misses int")
-        after = observations.observe(before.drop("event"), batch, observed_at(batch))
-        upkeep.publish({"observations": after}, folder, f"batch-{number:09d}")
+        last = version_before(spark, folder, number)
+        before = spark.createDataFrame([], "source_id long, observation_key string, last_seen_at timestamp, consecutive_misses int") if last is None else upkeep.published(spark, folder, "observations", last)
+        upkeep.publish({"observations": observations.observe(before.drop("event"), batch, observed_at(batch))}, folder, named(number))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -92,6 +92,17 @@ def test_unparsed_events_are_judged_and_providers_asked(spark):
     assert r.reasons == ["invalid_evidence"] and r.missing_evidence == ["company", "locations", "application_url", "application_url_literal"]
 
 
+def test_filters_do_not_repeat_the_extraction(spark):
+    e = events(spark, *[ROW.format("C", "R", "c", i) for i in range(3)])
+    plan = lambda frame: len(frame._jdf.queryExecution().optimizedPlan().toString())
+    whole = extract.extract(e)
+    kept = whole.filter("disposition = 'link' AND c.company IS NOT NULL AND size(missing_evidence) = 0").select("event_id")
+    assert plan(kept) < 1.2 * plan(whole) and kept.count() == whole.filter("true").collect().__len__()
+    ready = extract.prepared(whole)
+    found = ready.filter("status = 'active' AND fingerprint IS NOT NULL AND canonical_url_hash <> '' AND disposition = 'link'")
+    assert plan(found) < 1.2 * plan(ready)
+
+
 # --- snapshots ---
 
 TABLE = "intro | no table\n\n| Company | Role | Location | Application/Link | Date Posted |\n| --- | --- | :---: | --- | --- |\n"
@@ -301,7 +312,23 @@ def test_publishing_is_a_switch(spark, tmp_path):
     folder = str(tmp_path / "tables")
     upkeep.publish({"a": spark.range(3)}, folder, "v1")
     upkeep.publish({"a": spark.range(5)}, folder, "v2")
-    assert upkeep.published(spark, folder, "a").count() == 5
+    assert upkeep.published(spark, folder, "a").count() == 5 and upkeep.published(spark, folder, "a", "v1").count() == 3
+    upkeep.publish({"a": spark.range(2)}, folder, "v3", onto="v2")
+    # A version may be published again from what it holds, under its own name.
+    upkeep.publish({"a": upkeep.published(spark, folder, "a").union(spark.range(1))}, folder, "v3")
+    assert upkeep.published(spark, folder, "a").count() == 8
+    with pytest.raises(LookupError):
+        upkeep.published(spark, str(tmp_path / "none"), "a")
+
+
+def linked(spark, folder):
+    """Rows of the linkage store, as text."""
+    tables = {"opportunities": jobs.records_of(spark, folder)} | {n: upkeep.published(spark, folder, n) for n in ("links", "outbox")}
+    return {n: sorted(map(str, t.select(*sorted(c for c in t.columns if c != "evidence")).collect())) for n, t in tables.items()}
+
+
+def made(tables):
+    return {n: sorted(map(str, tables[n].select(*sorted(c for c in tables[n].columns if c != "evidence")).collect())) for n in ("opportunities", "links", "outbox")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -311,10 +338,35 @@ def test_stream_equals_batch(spark, tmp_path):
     e.coalesce(1).write.parquet(source)
     for _ in range(2):  # the second start finds nothing new
         jobs.link_events(spark.readStream.schema(e.schema).parquet(source), folder, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    want = process(e)
-    for name in ("links", "opportunities", "outbox"):
-        columns = [c for c in want[name].columns if c != "evidence"]
-        assert sorted(map(str, upkeep.published(spark, folder, name).select(*columns).collect())) == sorted(map(str, want[name].select(*columns).collect()))
+    assert linked(spark, folder) == made(process(e))
+
+
+def test_batches_that_run_again_lose_and_double_nothing(spark, tmp_path, monkeypatch):
+    texts = [ROW.format(f"C{i % 4}", f"Role{i % 3}", f"c{i % 4}", i % 5) for i in range(12)]
+    e = linkage.checkpointed(events(spark, *[(f"e{i:02d}", t) for i, t in enumerate(texts)], account="o/Summer2027"))
+    batches = [e.filter(f"event_id BETWEEN '{a}' AND '{b}'") for a, b in (("e00", "e03"), ("e02", "e07"), ("e06", "e11"))]  # some events come twice
+    whole = None
+    for crash in (False, True):
+        folder = str(tmp_path / f"out{crash}")
+        step = jobs.link_step(folder, compact=2)
+        for n, batch in enumerate(batches):
+            if crash:
+                with monkeypatch.context() as m:  # the tables are written, the manifest isn't
+                    m.setattr(upkeep, "file_system", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                    with pytest.raises(OSError, match="lost"):
+                        upkeep.publish({"links": spark.range(1)}, folder, jobs.named(n))
+            step(batch, n)
+            step(batch, n)  # the progress of the stream wasn't saved
+        got = linked(spark, folder)
+        whole = whole or got
+        assert got == whole
+        assert len(got["links"]) == 12 and len(set(got["opportunities"])) == len(got["opportunities"])
+        upkeep.forget(spark, folder, keep=1)
+        assert linked(spark, folder) == whole and upkeep.versions(spark, folder) == [jobs.named(2)]
+        with pytest.raises(RuntimeError, match="another checkpoint"):
+            step(batches[0], 0)
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.link_step(str(tmp_path / "nowhere"))(batches[1], 1)
 
 
 def test_nonce_guard_and_windows(spark, tmp_path):
