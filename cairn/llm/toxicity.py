@@ -63,22 +63,29 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
     Each positive token opens a candidate. It joins the nearest earlier candidate whose left sum is lower, if the sum
     up to its own end tops that candidate's, and takes the candidates between them along; only positive tokens matter.
+    Every candidate knows its own nearest earlier one with a lower left sum, so the search skips what it can't join and
+    looks at no candidate twice.
     """
     total = np.cumsum(scores)
-    kept: list[tuple[float, float, int, int]] = []  # sum before, sum at the end, start, end
-    for i in np.flatnonzero(scores > 0).tolist():
-        right = float(total[i])
-        left, start = right - float(scores[i]), i
+    at = np.flatnonzero(scores > 0)
+    lefts, rights, starts, ends, lower = [], [], [], [], []  # sum before, sum at the end, start, end, the candidate to go on with
+    for i, right, left in zip(at.tolist(), total[at].tolist(), (total[at] - scores[at]).tolist(), strict=True):
+        start, j = i, len(lefts) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= left:
-                j -= 1
-            if j < 0 or kept[j][1] >= right:
+            while j >= 0 and lefts[j] >= left:
+                j = lower[j]
+            if j < 0 or rights[j] >= right:
                 break
-            left, start = kept[j][0], kept[j][2]
-            del kept[j:]
-        kept.append((left, right, start, i + 1))
-    return [(r - a, s, e) for a, r, s, e in kept]
+            left, start, onward = lefts[j], starts[j], lower[j]
+            for held in (lefts, rights, starts, ends, lower):
+                del held[j:]
+            j = onward
+        lefts.append(left)
+        rights.append(right)
+        starts.append(start)
+        ends.append(i + 1)
+        lower.append(j)
+    return [(r - a, s, e) for a, r, s, e in zip(lefts, rights, starts, ends, strict=True)]
 
 
 @dataclass
@@ -94,6 +101,12 @@ class Model:
     def odds(self) -> LogOdds:
         return LogOdds(self.counts, self.share)
 
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.odds.__getitem__, words), np.float64, len(words))
+
+    def statistic(self, scores: np.ndarray) -> float:
+        return sum(s for s, _, _ in self.passages(scores))
+
     def passages(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
         """(normalised score, start, end) of the significant segments."""
         chance = math.log(self.scale * max(1, len(scores)))
@@ -143,13 +156,14 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
     """A model from at most about `rows` labelled texts, chosen by a hash of the key. Only the labels that `labels` holds are seen.
 
-    Rows with a null key, label or text teach nothing; of repeated keys the larger label counts. Without both classes
-    the model knows no toxic token and scores every text alike.
+    Rows with a null key, label or text teach nothing; of repeated keys the larger label and the smallest text count.
+    Without both classes the model knows no toxic token and scores every text alike.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     chosen = known.filter(bounded_share(known.count(), rows, F.col("key"), "toxicity")).withColumn("part", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("part")), F.lit(5)))
     source = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    sample = cut_lineage(source.join(F.broadcast(chosen), "key"))  # `chosen` has at most about `rows` rows
+    joined = source.join(F.broadcast(chosen), "key")  # `chosen` has at most about `rows` rows
+    sample = cut_lineage(joined.groupBy("key", "label", "part").agg(F.min("text").alias("text")))
     counted = feature_counts(sample.filter("part > 0"))
     totals = counted.agg(F.sum("toxic"), F.sum("clean")).first()
     if not totals[0] or not totals[1]:
@@ -157,32 +171,52 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = totals[0] / totals[1]
     table = counted.filter((F.col("toxic") >= LEAST) | (F.col("clean") * F.lit(share) >= LEAST)).toPandas()
     model = Model({bytes(f): (int(a), int(b)) for f, a, b in zip(table.feature, table.toxic, table.clean, strict=True)}, share)
-    shared = docs.sparkSession.sparkContext.broadcast((model.counts, share))
+    held = sample.filter("part = 0").select("text", "label")
+    chance_law(model, held.filter("label = 0"))
+    found = sorted((r.label, r.statistic) for r in statistics_of(held, model).collect())  # a fifth of `rows`
+    y = np.array([float(label > 0) for label, _ in found])
+    if y.any() and not y.all():
+        model.slope, model.bias = logistic(np.log1p([s for _, s in found]), y)
+    return model
+
+
+def chance_law(model: Model, clean: DataFrame) -> None:
+    """Sets lambda so that the mean of exp(lambda * score) over clean tokens is 1, and K from the mean of the clean texts' maxima.
+
+    A task sums up the moments of all its tokens, a slice of a text at a time; a text hands on its length and maximum.
+    """
+    shared = clean.sparkSession.sparkContext.broadcast(model)
 
     def work(stream):
-        odds = LogOdds(*shared.value)
+        model, sums, rows = shared.value, np.zeros(len(GRID)), []
         for batch in stream:
-            out = []
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                s = np.fromiter(map(odds.__getitem__, words := tokens(t.as_py())), np.float64, len(words))
-                best = sorted((x[0] for x in segments(s)), reverse=True)[:64]
-                out.append((y, len(words), best, np.exp(np.outer(GRID, s)).sum(axis=1).tolist()))
-            y, n, best, moments = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(moments, pa.list_(pa.float64()))], names=["label", "n", "best", "moments"])
-
-    held = sample.filter("part = 0").select("text", "label").mapInArrow(work, "label int, n long, best array<double>, moments array<double>").filter("n > 0").collect()  # a fifth of `rows`
-    held.sort(key=lambda r: (r.label, r.n, r.best))
-    clean = [r for r in held if r.label == 0]
-    if not clean or len(clean) == len(held):
-        return model
-    # lambda: the mean of exp(lambda * score) over clean tokens is 1; K from the mean of the clean texts' maxima.
-    means = np.sum([r.moments for r in clean], axis=0) / sum(r.n for r in clean)
+            for t in batch.column(0):
+                scores = model.scores(tokens(t.as_py()))
+                for at in range(0, len(scores), 8192):
+                    sums += np.exp(np.outer(GRID, scores[at : at + 8192])).sum(axis=1)
+                if len(scores):
+                    rows.append((len(scores), max((s for s, _, _ in segments(scores)), default=0.0), None))
+        rows.append((0, 0.0, sums.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["n", "best", "moments"])
+
+    found = clean.mapInArrow(work, "n long, best double, moments array<double>").collect()
+    texts = sorted((r.n, r.best) for r in found if r.n)
+    if not texts:
+        return
+    means = np.array([math.fsum(c) for c in zip(*(r.moments for r in found if r.moments), strict=True)]) / sum(n for n, _ in texts)
     model.decay = float(GRID[np.flatnonzero(means <= 1)[-1]]) if (means <= 1).any() else float(GRID[0])
-    gaps = [model.decay * (r.best[0] if r.best else 0.0) - math.log(r.n) for r in clean]
-    model.scale = math.exp(float(np.mean(gaps)) - EULER)
-    x = np.array([math.log1p(sum(max(0.0, model.decay * s - math.log(model.scale * r.n)) for s in r.best)) for r in held])
-    model.slope, model.bias = logistic(x, np.array([float(r.label > 0) for r in held]))
-    return model
+    model.scale = math.exp(float(np.mean([model.decay * best - math.log(n) for n, best in texts])) - EULER)
+
+
+def statistics_of(held: DataFrame, model: Model) -> DataFrame:
+    """label, statistic of every text: the same sum over all its passages as a score is made of."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        model = shared.value
+        return lambda texts: [[model.statistic(model.scores(tokens(t))) for t in texts]]
+
+    return map_texts(held, "text", ("label",), T.StructType([T.StructField("statistic", T.DoubleType())]), start)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -195,14 +229,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     passage = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
     def start():
-        model = shared.value
-        odds = model.odds  # one cache for each worker process
+        model = shared.value  # its cache of log-odds serves the whole worker process
 
         def work(texts):
             probabilities, passages = [], []
             for t in texts:
-                words = tokens(t)
-                found = model.passages(np.fromiter(map(odds.__getitem__, words), np.float64, len(words)))
+                found = model.passages(model.scores(tokens(t)))
                 passages.append([{"start": a, "end": b, "score": s} for s, a, b in found])
                 probabilities.append(model.probability(sum(s for s, _, _ in found)))
             return probabilities, passages

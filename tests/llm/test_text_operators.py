@@ -1,6 +1,7 @@
 """Quality, toxicity, near-duplicates, token counts, packing, licences: brute force, exactness and odd inputs."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,6 +294,43 @@ def test_toxic_held_out_accuracy(spark, small):
     assert false_alarms <= 0.02 * len(scored)
 
 
+def test_segments_take_linear_time():
+    def took(n, best=9.0):
+        scores = np.tile([1.0, -2.0], n // 2)
+        for _ in range(3):
+            began = time.process_time()
+            assert len(toxicity.segments(scores)) == n // 2
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(800_000) < 12 * took(100_000)  # 8, with room for noise; a quadratic scan takes 64
+
+
+def test_all_passages_of_a_text_count():
+    model = toxicity.Model({b"bad": (1000, 1)}, 1.0, decay=1.0, scale=0.1)
+    one = [b"bad"] * 5 + [b"unseen"] * 40
+    passage = model.passages(model.scores(one * 200))
+    assert len(passage) == 200 and [(a, b) for _, a, b in passage] == [(45 * k, 45 * k + 5) for k in range(200)]
+    assert model.statistic(model.scores(one * 200)) == sum(s for s, _, _ in passage) > 150 * passage[0][0]
+
+
+def test_calibration_equals_its_definition(spark):
+    """lambda, K and the logistic curve's inputs, once more from whole lists."""
+    r = random.Random(2)
+    model = toxicity.Model({b"bad": (60, 2), b"odd": (30, 12), b"good": (2, 80)}, 1.0)
+    texts = [" ".join(r.choice(("bad", "odd", "good", "other", "good")) for _ in range(r.randint(1, 60))) for _ in range(80)]
+    rows = spark.createDataFrame([(bytearray(t.encode()), i % 2) for i, t in enumerate(texts)], "text binary, label int").repartition(3)
+    toxicity.chance_law(model, rows.filter("label = 0"))
+    scores = [model.scores(t.encode().split()) for i, t in enumerate(texts) if i % 2 == 0]
+    every = np.concatenate(scores)
+    holds = [float(g) for g in toxicity.GRID if np.exp(g * every).mean() <= 1]
+    assert model.decay == max(holds)
+    gaps = [model.decay * max((s for s, _, _ in toxicity.segments(x)), default=0.0) - np.log(len(x)) for x in scores]
+    assert model.scale == pytest.approx(np.exp(np.mean(gaps) - toxicity.EULER))
+    want = [sum(max(0.0, model.decay * s - np.log(model.scale * len(t.split()))) for s, _, _ in toxicity.segments(model.scores(t.encode().split()))) for t in texts]
+    assert sorted(x.statistic for x in toxicity.statistics_of(rows, model).collect()) == pytest.approx(sorted(want))
+
+
 def test_toxicity_of_odd_input(spark):
     docs = frame(spark, ODD)
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
