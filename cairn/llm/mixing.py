@@ -1,10 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 The documents of a source queue in a shuffled order that depends on their content alone, once for each of the `repeats`
-allowed. A copy's virtual finish time is the source's words up to and including it, divided by the source's weight. The
-queue of all sources in the order of finish times serves words to them in proportion to their weights; a source that
-has run dry leaves its part to the others. The mix is the queue's beginning, truncated at the total budget: the
-virtual time at which the budget is spent (`now`) cuts at most one copy a source, in the middle.
+allowed. A word's virtual finish time is the source's words up to and including it, divided by the source's weight; a
+copy's is that of its last word. The queue is range-sorted by finish time over the whole cluster, prefix sums of the
+partitions tell in which one the budget is spent, and there it is truncated. A source that has run dry has no copies
+left, so its part goes to the others. A long copy would overshoot the cut, so copies queue in slices of at most QUANTUM
+words, and what is being served around the cut (a few slices a source) queues once more word by word: the words taken
+are those of a queue that serves single words.
 
 Running totals are distributed: a source is dealt into buckets by the shuffle's hash, each bucket's total is summed up
 first, and a window adds up within one bucket only. So a source that holds most of the rows is many tasks' work.
@@ -17,16 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import WORD, cut_lineage, read, word_count
+from .shared import WORD, cut_lineage, quoted, read, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, REPEATS = 1.5, 2
-#: Rows of one window on average.
-BUCKET_ROWS = 5_000
+#: Words of a slice; rows of one window, and slices of one range partition, on average.
+QUANTUM = 64
+BUCKET_ROWS, RANGE_ROWS = 5_000, 200_000
 
 
 def ranked_sources(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """name, source_size, weight: the weights go round over the sources in code point order, null last.
+    """name, source_size, weight, rank: the weights go round over the sources in code point order, null last.
 
     Ranks come from the counts of range-sorted partitions, so the sources needn't fit into one task.
     """
@@ -36,14 +39,14 @@ def ranked_sources(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     rank = F.col("at") - F.col("first") + F.col("before")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    return cut_lineage(placed.join(parts, "part").select("name", "source_size", weight.alias("weight")))
+    return cut_lineage(placed.join(parts, "part").select("name", "source_size", weight.alias("weight"), rank.alias("rank")))
 
 
 def virtual_now(sources: DataFrame, budget: float, repeats: int) -> float:
-    """The virtual time at which `budget` of all words is served: the sum of least(repeats * size, weight * now) reaches it.
+    """The virtual time that gives the targets: the sum of least(repeats * size, weight * now) is `budget` of all words.
 
     Sources that would be served over their limit are set to it and the rest is shared anew, until none is above; the
-    driver sees sums only.
+    driver sees sums only, one job for each round of sources that reach their limit.
     """
     limit = F.col("source_size") * F.lit(repeats)
     now, due = 0.0, budget * (sources.agg(F.sum("source_size")).first()[0] or 0)
@@ -58,31 +61,89 @@ def virtual_now(sources: DataFrame, budget: float, repeats: int) -> float:
 
 def named(docs: DataFrame, carry: F.Column, text: str, source: str) -> DataFrame:
     """`carry`, the source, its name without nulls (so that windows and joins share a partitioning), size, and the shuffle's hash of the row."""
-    plain = [c for c in docs.columns if isinstance(docs.schema[c].dataType, (T.StringType, T.IntegralType))]
+    plain = [quoted(c) for c in docs.columns if isinstance(docs.schema[c].dataType, (T.StringType, T.IntegralType))]
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     return docs.select(carry.alias("row"), F.col(source).alias("source"), name.alias("name"), word_count(F.col(text)).alias("size"), F.xxhash64(*plain).alias("shuffle"))
 
 
-def queue(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """rows (as `named` gives them) with source_size, weight, target and before: the source's words ahead of the row's first copy."""
+def ranged(entries: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(entries range-sorted into partitions by finish and rank, with part; words, and words before, of each partition)."""
+    ordered = cut_lineage(entries.repartitionByRange(parts, "finish", "rank").withColumn("part", F.spark_partition_id()))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    return ordered, cut_lineage(ordered.groupBy("part").agg(F.sum("words").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))))
+
+
+def within(ordered: DataFrame, sums: DataFrame, due: int) -> tuple[DataFrame, int] | None:
+    """(the entries of the partition in which the first `due` words of the queue end, with the words before each; its number)."""
+    crossing = sums.filter((F.col("before") < due) & (F.col("before") + F.col("words") >= due)).first()
+    if crossing is None:
+        return None
+    queue = Window.orderBy("finish", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    return ordered.filter(F.col("part") == crossing.part).withColumn("before", F.coalesce(F.sum("words").over(queue), F.lit(0)) + crossing.before), crossing.part
+
+
+def time_of(ordered: DataFrame, sums: DataFrame, due: int) -> float | None:
+    """The finish time at which the queue has served `due` words."""
+    found = within(ordered, sums, due)
+    return None if found is None else found[0].filter(F.col("before") + F.col("words") >= due).agg(F.min("finish")).first()[0]
+
+
+def served_words(slices: DataFrame, due: int, sources: int, quantum: int, parts: int) -> DataFrame:
+    """name, served: the words of each source among the first `due` words of the queue.
+
+    slices: name, rank, weight, start (the source's words before) and words. Words of equal finish times are served in
+    the order of the sources' ranks.
+    """
+    finish = lambda at: (F.col("start") + at) / F.col("weight")
+    ordered, sums = ranged(slices.withColumn("finish", finish(F.col("words"))), parts)
+    # Whole slices fall short of the words by less than a slice a source, so the cut lies between these times.
+    low, high = time_of(ordered, sums, due - quantum * sources), time_of(ordered, sums, due)
+    total = lambda frame: frame.groupBy("name").agg(F.sum("words").alias("served"))
+    if high is None:  # all words are due, or none
+        return total(ordered if due > 0 else ordered.limit(0))
+    early = F.col("finish") < F.lit(-1.0 if low is None else low)
+    whole = cut_lineage(total(ordered.filter(early)))
+    left = due - (whole.agg(F.sum("served")).first()[0] or 0)
+    around = ordered.filter(~early & (finish(1) <= high)).select("name", "rank", "weight", "start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("words"))).alias("at"))
+    words, word_sums = ranged(around.select("name", "rank", finish(F.col("at")).alias("finish"), F.lit(1).cast("long").alias("words")), max(1, -(-4 * quantum * sources // RANGE_ROWS)))
+    last, part = within(words, word_sums, left)
+    first = words.filter(F.col("part") < part).select("name", "words").union(last.filter(F.col("before") < left).select("name", "words"))
+    return whole.union(total(first)).groupBy("name").agg(F.sum("served").alias("served"))
+
+
+def queue(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, quantum: int = QUANTUM) -> DataFrame:
+    """rows (as `named` gives them) with source_size, weight, target, served (words that the mix takes of the source) and
+    before: the source's words ahead of the row's first copy."""
     sizes = cut_lineage(rows.select("source", "name", "size", "shuffle"))
     sources = ranked_sources(sizes, weights)
     now = virtual_now(sources, budget, repeats)
-    bucket = F.pmod(F.col("shuffle"), F.lit(max(1, -(-sizes.count() // BUCKET_ROWS))))
+    total = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    bucket = F.pmod(F.col("shuffle"), F.lit(max(1, -(-total.rows // BUCKET_ROWS))))
     # One row for each source and bucket: a window over a source sees as many rows as it has buckets.
     ahead = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sizes.withColumn("bucket", bucket).groupBy("name", "bucket").agg(F.sum("size").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(ahead), F.lit(0)))
+    offsets = cut_lineage(buckets.join(sources, "name").select("name", "bucket", "offset", "source_size", "weight", "rank"))
+    inside = Window.partitionBy("name", "bucket").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(some: DataFrame) -> DataFrame:
+        own = some.withColumn("bucket", bucket).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return own.join(offsets, ["name", "bucket"]).withColumn("before", F.col("before") + F.col("offset"))
+
+    copies = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(quantum).cast("long")))
+    sliced = placed(sizes.select("name", "size", "shuffle")).filter("size > 0").select("name", "rank", "weight", "source_size", "size", "before", starts.alias("at")).withColumn("copy", copies)
+    slices = sliced.select("name", "rank", "weight", (F.col("before") + F.col("source_size") * F.col("copy") + F.col("at")).alias("start"), F.least(F.lit(quantum), F.col("size") - F.col("at")).alias("words"))
+    parts = max(1, -(-repeats * (total.words // quantum + total.rows) // RANGE_ROWS))
+    served = served_words(slices, round(budget * total.words), sources.count(), quantum, parts)
     target = F.least(F.col("source_size").cast("double") * repeats, F.col("weight") * F.lit(now))
-    offsets = buckets.join(sources, "name").select("name", "bucket", "offset", "source_size", "weight", target.alias("target"))
-    within = Window.partitionBy("name", "bucket").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("bucket", bucket).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(offsets, ["name", "bucket"]).withColumn("before", F.col("before") + F.col("offset"))
+    facts = sources.select("name").join(served, "name", "left").select("name", F.coalesce("served", F.lit(0)).alias("served"))
+    return placed(rows).join(cut_lineage(facts), "name").withColumn("target", target)
 
 
-def served(copy: int) -> F.Column:
-    """Words of the row's copy (0 is the first) that the queue serves before the source has its target."""
+def taken(copy: int) -> F.Column:
+    """Words of the row's copy (0 is the first) that lie before the cut."""
     start = F.col("before") + F.col("source_size") * copy
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - start))
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - start))
 
 
 def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -92,8 +153,8 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     interchangeable. An empty table gives an empty result. Other columns only take part in the shuffle.
     """
     placed = queue(cut_lineage(named(docs, F.col(key), text, source)), weights, budget, repeats)
-    taken = sum((served(c) for c in range(1, repeats)), served(0))
-    return placed.select(F.col("row").alias(key), "size", "source_size", "target", taken.alias("taken"))
+    words = sum((taken(c) for c in range(1, repeats)), taken(0))
+    return placed.select(F.col("row").alias(key), "size", "source_size", "target", words.alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -102,16 +163,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     A copy that the budget cuts keeps its first words. A text without words is never served. Nulls, ties and empty
     tables as in `shares`.
     """
-    placed = queue(named(docs, F.struct(*docs.columns), text, source), weights, budget, repeats)
-    copies = F.array(*(F.struct(((F.col("before") + F.col("source_size") * c + F.col("size")) / F.col("weight")).alias("finish"), served(c).alias("words")) for c in range(repeats)))
+    placed = queue(named(docs, F.struct(*map(quoted, docs.columns)), text, source), weights, budget, repeats)
+    copies = F.array(*(F.struct(((F.col("before") + F.col("source_size") * c + F.col("size")) / F.col("weight")).alias("finish"), taken(c).alias("words")) for c in range(repeats)))
     entries = placed.select("row", "size", "shuffle", F.explode(copies).alias("copy")).filter("copy.words > 0")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("copy.words").cast("int")), "")
     whole = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("row")[text])
     ordered = entries.orderBy("copy.finish", "shuffle")
-    return ordered.select(*(whole.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    return ordered.select(*(whole.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(read(spark, sf_dir, "documents"))
-
-

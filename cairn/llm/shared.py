@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.staging import checkpointed as cut_lineage
+from ..operators.staging import quoted, shared_folder
+
+__all__ = ["WORD", "Recent", "bounded_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "shared_folder", "slices", "small_batches", "word_count"]
+
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,22 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir, so a lost executor costs no recomputation.
-
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is used.
-    """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return frame.checkpoint()
-
-
-def without(frame: DataFrame, *names: str) -> DataFrame:
-    """The frame without columns of these names (a clashing input column gives way to the operator's own)."""
-    return frame.drop(*names)
-
-
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds the bytes of an Arrow batch more tightly than Spark's default, unless the session sets a limit of its own.
 
@@ -54,7 +42,7 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
     """
     small_batches(frame.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in results.names]
-    source = frame.select(*keep, F.col(text).cast("binary").alias("__text"))
+    source = frame.select(*map(quoted, keep), F.col(quoted(text)).cast("binary").alias("__text"))
     types = [to_arrow_type(field.dataType) for field in results]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,45 @@ def test_mix_meets_its_targets(spark):
     assert mixing.shares(docs.limit(0)).count() == 0
 
 
+def plain_queue(rows, weights, budget, repeats):
+    """Words that a queue of single words takes of each row: finish times over shuffled documents, ties by rank."""
+    names = sorted(s for s in {r[2] for r in rows} if s is not None) + [s for s in {r[2] for r in rows} if s is None]
+    queue, entries, total = {n: [] for n in names}, [], sum(r[1] for r in rows)
+    for key, size, source, shuffle in sorted(rows, key=lambda r: (r[3], r[1])):
+        queue[source] += [key] * size
+    for rank, n in enumerate(names):
+        entries += [((at + 1) / weights[rank % len(weights)], rank, key) for at, key in enumerate(queue[n] * repeats)]
+    taken = {}
+    for _, _, key in sorted(entries, key=lambda e: e[:2])[: round(budget * total)]:
+        taken[key] = taken.get(key, 0) + 1
+    return taken
+
+
+def test_taken_words_are_those_of_a_queue(spark):
+    """With ties, a null source, sources over their limit, long documents, and partitions that split the queue anywhere."""
+    r = random.Random(3)
+    for case, (budget, repeats, weights) in enumerate([(1.5, 2, (5.0, 2.0, 1.0)), (0.3, 1, (1.0, 1.0)), (2.0, 2, (3.0, 1.0)), (1.9, 3, (5.0, 2.0, 1.0)), (0.01, 2, (7.0, 1.0))]):
+        rows = [(i, r.choice([0, 1, 5, 30, 64, 65, 128, 700]), r.choice(["hot"] * 5 + ["a", "b", "é", None])) for i in range(150)] + [(150, 3000, "b"), (151, 2, "tiny")]
+        docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string")
+        named = mixing.named(docs, F.col("doc_id"), "text", "source").collect()
+        want = plain_queue([(x.row, x.size, x.source, x.shuffle) for x in named], weights, budget, repeats)
+        whole = mixing.RANGE_ROWS
+        try:
+            mixing.RANGE_ROWS = whole if case else 200
+            got = {x.doc_id: x.taken for x in mixing.shares(docs, weights=weights, budget=budget, repeats=repeats).collect()}
+        finally:
+            mixing.RANGE_ROWS = whole
+        assert {k: n for k, n in got.items() if n} == want
+    plan = mixing.shares(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mix_of_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 2, {"k": 1})], "doc_id long, text string, source string, `a.b c` int, m map<string,int>")
+    rows = mixing.mix(docs)
+    assert rows.columns == docs.columns and rows.first()["a.b c"] == 2
+
+
 def test_mixed_rows_are_the_shares(spark):
     _, docs = mixed_docs(spark)
     wide = docs.withColumn("size", F.lit("clash")).withColumn("bucket", F.lit(1))
