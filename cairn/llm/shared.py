@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.staging import checkpointed as cut_lineage
 from ..operators.staging import quoted, shared_folder
 
-__all__ = ["WORD", "Recent", "bounded_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "shared_folder", "slices", "small_batches", "word_count"]
+__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "shared_folder", "slices", "small_batches", "word_count"]
 
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +63,19 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def by_share(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows left join facts (one row a key, with `count`, the key's number of rows), without a task that holds all rows of a hot key.
+
+    Keys with more than a `share`-th of all counted rows are fewer than `share`, so their facts are broadcast, a proven
+    bound; all others are joined by a shuffle, in which a key is small. Both read `rows`. The count isn't handed on.
+    """
+    facts = cut_lineage(facts)
+    limit = (facts.agg(F.sum(count)).first()[0] or 0) / share
+    hot, cold = facts.filter(F.col(count) > limit).drop(count), facts.filter(F.col(count) <= limit).drop(count)
+    warm = rows.join(F.broadcast(hot), key)
+    return warm.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null, in JVM code: a word starts where no other character of a word precedes."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
