@@ -233,16 +233,40 @@ def test_quality_keeps_trusted_text_and_rejects_noise(spark):
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_quality_counts_equal_brute_force(spark):
-    texts = random_texts(20, 9)
-    marked = spark.createDataFrame([(bytearray(t.encode()), i % 3 == 0) for i, t in enumerate(texts)], "text binary, trusted boolean")
-    got = {x.bucket: (x.raw, x.target) for x in quality.gram_counts(marked).collect()}
-    raw, target = Counter(), Counter()
-    for i, t in enumerate(texts):
-        raw.update(quality.buckets(t.encode()).tolist())
-        if i % 3 == 0:
-            target.update(quality.buckets(t.encode()).tolist())
-    assert got == {k: (raw[k], target[k]) for k in raw}
+def test_quality_model_and_scores_equal_brute_force(spark):
+    """Raw counts over all texts, target counts over all trusted texts outside the fold, the ratio and every score; also with more buckets."""
+    texts = [*random_texts(60, 9), None, "", "lone"]
+    docs = frame(spark, texts).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60)] + [(7, 0), (None, 1), (1000, 1)], "doc_id long, quality int")
+    quality_of = {i: int(i % 3 > 0) for i in range(60)} | {7: 0}
+    held = {r.doc_id for r in labels.dropna().select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(5)) == 0).alias("h")).filter("h").collect()}
+    for bits in (16, 20):
+        model = quality.fit(docs, labels) if bits == 16 else None
+        if model is None:
+            whole = quality.LEAST_BITS
+            try:
+                quality.LEAST_BITS = bits
+                model = quality.fit(docs, labels)
+            finally:
+                quality.LEAST_BITS = whole
+        raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+        for i, t in enumerate(texts):
+            np.add.at(raw, quality.buckets((t or "").encode(), bits), 1)
+            if quality_of.get(i) and i not in held:
+                np.add.at(target, quality.buckets((t or "").encode(), bits), 1)
+        prior, weight = (raw + 0.5) / (raw + 0.5).sum(), 64 * 2 ** (bits / 2)
+        ratio = np.log((target + weight * prior) / (target.sum() + weight)) - np.log(prior)
+        assert model.bits == bits and np.allclose(model.ratio, ratio, atol=1e-6)
+        got = {r.doc_id: (r.quality, r.kept, r.base_failed) for r in quality.judge(docs, model).collect()}
+        for i, t in enumerate(texts):
+            found = quality.buckets((t or "").encode(), bits)
+            want = float(ratio[found].mean()) if len(found) else 0.0
+            assert got[i][0] == pytest.approx(want, abs=1e-6)
+            assert got[i][1] == (not got[i][2] and got[i][0] >= model.threshold)
+
+
+def test_quality_buckets_grow_with_the_corpus():
+    assert [quality.bits_for(n) for n in (0, 200_000, 12_000_000, 10**12)] == [16, 16, 22, 22]
 
 
 def test_threshold_is_the_cheapest():
