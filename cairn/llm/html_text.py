@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ from . import boosting
 from .shared import map_texts, read
 
 #: Elements of HTML by their role in the flow.
-BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = set("address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript object ol p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style title noscript template svg iframe object canvas select textarea audio video math".split())
+#: Their content is no markup, so nothing in it is a node; of the first two a missing end tag is the page's end.
+RAW = set("script style title iframe noembed noframes xmp textarea".split())
+UNSEEN = RAW | {"template", "svg"}
 #: An open element that the start of another one ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: What the tokens of tags, classes, ids and roles stand for.
@@ -38,8 +41,8 @@ MEANINGS = {
     "side": "aside sidebar widget related recommended complementary trending popular rail more",
     "advert": "ad ads advert advertisement sponsor sponsored promo promotion adsense dfp commercial",
     "comment": "comment comments reply replies disqus discussion respond commentlist feedback",
-    "form": "form login signup subscribe newsletter search searchform register fieldset button input",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog warning banner disclaimer paywall",
+    "form": "form login signup subscribe newsletter search searchform register fieldset button input select",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog warning banner disclaimer paywall noscript",
     "share": "share social sharing follow tags tag meta byline buttons",
 }
 MEANS: dict[str, list[int]] = {}
@@ -49,10 +52,11 @@ for _i, _words in enumerate(MEANINGS.values()):
 KINDS = ("p", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl menu li dt dd", "table tbody thead tfoot tr td th caption", "div section", "blockquote pre figure figcaption", "body html main article")
 KIND = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag (slash, name, attributes: a quote counts only at the start of a value) or another declaration; what the page's end cuts off is one, too.
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
-END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in UNSEEN}
+END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in UNSEEN}
 
 
 class Node:
@@ -80,10 +84,15 @@ class Node:
 
 
 def parse(source: str) -> list[Node]:
-    """The block-level nodes of a page in page order; the first is the root. Never fails: stray tags are passed over."""
+    """The block-level nodes of a page in page order; the first is the root. Never fails: stray tags are passed over.
+
+    Linear in the page: every open tag is closed once, and a stray end tag is told by the number of its open tags.
+    """
     root = Node("html", None, "")
-    nodes, open_tags = [root], [("html", root)]
-    node, at, link = root, 0, 0
+    nodes, node, at, link = [root], root, 0, 0
+    open_tags: list[tuple[str, Node]] = [("html", root)]
+    open_blocks, count = [0], Counter()  # positions of block elements in open_tags; open tags by name
+    missing: set[str] = set()  # elements without any further end tag
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -96,9 +105,20 @@ def parse(source: str) -> list[Node]:
         nonlocal node, link
         for tag, _ in open_tags[to:]:
             link -= tag == "a"
+            count[tag] -= 1
         del open_tags[to:]
+        while open_blocks[-1] >= to:
+            open_blocks.pop()
         node = open_tags[-1][1]
 
+    def end_of(tag: str, start: int) -> int | None:
+        if tag in missing:
+            return None
+        if found := END_OF[tag].search(source, start):
+            return found.end()
+        missing.add(tag)
+        return None
+
     while found := TAG.search(source, at):
         text(at, found.start())
         at = found.end()
@@ -106,14 +126,14 @@ def parse(source: str) -> list[Node]:
         if not tag:
             continue
         if found[1]:
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == tag:
-                    close(i)
-                    break
+            if count[tag]:
+                close(next(i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == tag))
             continue
         if tag in UNSEEN:
-            if not found[3].endswith("/"):
-                at = END_OF[tag].search(source, at).end()
+            if tag not in RAW and found[3].endswith("/"):
+                continue
+            end = end_of(tag, at)
+            at = end if end is not None else len(source) if tag in ("script", "style") else at
             continue
         if tag == "br":
             node.parts.append(" ")
@@ -121,13 +141,10 @@ def parse(source: str) -> list[Node]:
             continue
         if tag in BLOCKS:
             ended = ENDS.get(tag, ())
-            for i in range(len(open_tags) - 1, 0, -1):
+            while (i := open_blocks[-1]) and (open_tags[i][0] in ended or (open_tags[i][0] == "p" and tag != "button")):
                 name = open_tags[i][0]
-                if name in ended or (name == "p" and tag != "button"):
-                    close(i)
-                    if name == "p" and not ended:
-                        break
-                elif name in BLOCKS:
+                close(i)
+                if name == "p" and not ended:
                     break
             if tag == "hr":
                 node.parts.append(None)
@@ -136,7 +153,9 @@ def parse(source: str) -> list[Node]:
                 continue
             node = Node(tag, node, found[3])
             nodes.append(node)
+            open_blocks.append(len(open_tags))
         link += tag == "a"
+        count[tag] += 1
         open_tags.append((tag, node))
     text(at, len(source))
     return nodes
@@ -228,12 +247,12 @@ def blocks_of(node: Node, kept: dict[int, bool]) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 400, seed: int = 7) -> boosting.Trees:
-    """Trees from `pages` composed layouts."""
+def trained(pages: int = 900, seed: int = 7, families: tuple[str, ...] | None = None) -> boosting.Trees:
+    """Trees from `pages` composed layouts (of all families, or those named)."""
     from .layouts import examples
 
     x, y = [], []
-    for source, labels in examples(pages, seed):
+    for source, labels in examples(pages, seed, families):
         nodes = parse(source)
         known = labels(nodes)
         use = [i for i, v in enumerate(known) if v is not None]
