@@ -1,11 +1,14 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by templates.
 
-Every paragraph (line) of a text is described by the word n-grams (one to three words, with at least one content word)
-that occur in the training notices. A multinomial logistic regression gives it a probability for each licence
-family and for "unknown"; its temperature is fitted on notices that training didn't see, so the probabilities are
-calibrated. A prediction counts when a family has at least `least` of the probability and the paragraph shares enough
-word pairs with one of that family's templates. A paragraph without any content word of the notices has no feature and
-is unknown by the model's bias alone, so it is passed over at once with the same outcome.
+Every line of a text is a paragraph, and so are the lines of a block (what stands between blank lines) that follow each
+other without naming a licence each by itself: a notice that is wrapped over lines is judged as one. A paragraph is
+described by the word n-grams (one to three words, with at least one content word) that occur in the training notices.
+A multinomial logistic regression gives it a probability for each licence family and for "unknown". Its temperature is
+fitted on notices that were left out of training whole, so the probabilities are calibrated for wordings that
+training didn't see. A prediction counts when a family has at least `least` of the probability, the paragraph shares
+enough word pairs with one of that family's templates, and no other family's template is clearly closer. A paragraph
+without any content word of the notices has no feature and is unknown by the model's bias alone, so it is passed over
+at once with the same outcome.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from .shared import map_texts, read
 
 #: Short notices as licensors write them, by family.
 NOTICES: dict[str, tuple[str, ...]] = {
-    "apache": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"),
-    "mit": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT", "Distributed under the MIT licence, see LICENSE."),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-2-Clause"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "Released under the GPL v2 or later.", "Licensed under GPLv3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL v3.", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL v3.", "SPDX-License-Identifier: AGPL-3.0"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the MPL 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "apache": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "mit": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT", "Distributed under the MIT licence, see LICENSE.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Released under the BSD 2-Clause license."),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "Released under the GPL v2 or later.", "Licensed under GPLv3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program."),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL v3.", "SPDX-License-Identifier: LGPL-2.1-only", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Licensed under the GNU Library General Public License, version 2."),
+    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL v3.", "SPDX-License-Identifier: AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the MPL 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC"),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 2.0.", "Released under the EPL 2.0.", "SPDX-License-Identifier: EPL-2.0"),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution license.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Shared under the Creative Commons Attribution-NonCommercial license.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
@@ -47,8 +53,11 @@ OTHERS = (
     "All rights of way were reserved by the state.", "She reserved all rights to the seat.", "Human rights are reserved for all people.", "Copyright law protects the author.",
 )
 STOP = set(b"a an and any are as at be but by can for from has have her his if in is it its lies may must no not of on or part see she that the their this to under was were which who with without you every new each all".split())
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:[.\-][0-9a-z]+)*")
+#: Runs of letters, and numbers of versions; names such as GPLv3 and CC-BY-4.0 fall into their parts.
+WORD = re.compile(rb"[a-z\x80-\xff]+?(?=v[0-9])|[a-z\x80-\xff]+|[0-9]+(?:\.[0-9]+)*")
 SIMILAR, LEAST = 0.5, 0.5
+#: A family is clearly closer if it holds so much more of a template; left-out parts of the notices for calibration.
+CLOSER, FOLDS = 0.15, 3
 
 
 def words(text: bytes) -> list[bytes]:
@@ -93,8 +102,37 @@ class Model:
         best = int(p.argmax())
         if best == 0 or p[best] < least or (near := self.similarity(found, self.families[best])) < SIMILAR:
             return None
+        if near < 1 and any(self.similarity(found, f) > near + CLOSER for f in self.families[1:]):
+            return None
         return self.families[best], float(p[best]), near
 
+    def find(self, text: bytes, least: float = LEAST) -> tuple[int, list[dict]]:
+        """(lines with a word; the licences with their first line's number among these, from 0)."""
+        lines = [None if not line or line.isspace() else line for line in text.split(b"\n")]
+        n = sum(line is not None for line in lines)
+        if self.content.isdisjoint(words(text)):
+            return n, []
+        hits: list[tuple[int, tuple[str, float, float]]] = []
+        wrapped: list[tuple[int, list[bytes]]] = []  # lines in a row with a content word and without a licence of their own
+        number = 0
+
+        def unwrap() -> None:
+            if len(wrapped) > 1 and (hit := self.judge([w for _, found in wrapped for w in found], least)):
+                hits.append((wrapped[0][0], hit))
+            wrapped.clear()
+
+        for line in lines:
+            found = words(line) if line is not None else []
+            if hit := self.judge(found, least) if found else None:
+                hits.append((number, hit))
+            if hit or not found:
+                unwrap()
+            elif wrapped or not self.content.isdisjoint(found):
+                wrapped.append((number, found))
+            number += line is not None
+        unwrap()
+        return n, [{"paragraph": i, "family": f, "probability": p, "similarity": s} for i, (f, p, s) in sorted(hits)]
+
 
 def variants(notice: str, r: random.Random, fillers: list[str]) -> str:
     """The notice as others might write it: words lost, words around it, other case, no punctuation."""
@@ -105,34 +143,71 @@ def variants(notice: str, r: random.Random, fillers: list[str]) -> str:
     return r.choice((str, str, str.upper, str.lower, lambda t: re.sub(r"[.,;:()\"]", "", t)))(text)
 
 
+def left_out(label: int, notice: int, fold: int) -> bool:
+    """Whether the notice belongs to the fold, all its variants with it."""
+    return (label + notice) % FOLDS == fold
+
+
 @functools.lru_cache(maxsize=1)
-def trained(copies: int = 25, seed: int = 3) -> Model:
+def examples(copies: int = 25, seed: int = 3) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the n-grams, features, label, fold of each variant of each notice); the first label is "unknown"."""
     r = random.Random(seed)
     fillers = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(400)] + "the of and in is to a for software file code project work".split()
-    families = ["unknown", *NOTICES]
-    rows: list[tuple[set, int, bool]] = []
+    rows: list[tuple[set, int, int]] = []
     for label, notices in enumerate([OTHERS, *NOTICES.values()]):
-        for notice in notices:
-            rows += [(grams(words(variants(notice, r, fillers).encode())), label, k % 5 == 0) for k in range(copies)]
+        for i, notice in enumerate(notices):
+            rows += [(grams(words(variants(notice, r, fillers).encode())), label, next(f for f in range(FOLDS) if left_out(label, i, f))) for _ in range(copies)]
     everyday = [w for o in OTHERS for w in o.split()]
-    rows += [(grams(words(" ".join(r.choice(everyday + fillers) for _ in range(r.randint(3, 40))).encode())), 0, k % 5 == 0) for k in range(800)]
-    known = {g for text in (n for ns in NOTICES.values() for n in ns) for g in grams(words(text.encode()))} | {g for o in OTHERS for g in grams(words(o.encode()))}
+    rows += [(grams(words(" ".join(r.choice(everyday + fillers) for _ in range(r.randint(3, 40))).encode())), 0, k % FOLDS) for k in range(800)]
+    known = {g for ns in (*NOTICES.values(), OTHERS) for n in ns for g in grams(words(n.encode()))}
     index = {g: i for i, g in enumerate(sorted(known))}
     x = np.zeros((len(rows), len(index)), np.float32)
     for row, (found, _, _) in zip(x, rows, strict=True):
         row[[index[g] for g in found if g in index]] = 1
-    y = np.eye(len(families), dtype=np.float32)[[label for _, label, _ in rows]]
-    held = np.array([h for _, _, h in rows])
-    weights, bias, speed, lift = np.zeros((len(index), len(families)), np.float32), np.zeros(len(families), np.float32), 0.0, 0.0
-    seen, target = x[~held], y[~held]
-    for _ in range(150):  # gradient descent with momentum, a quadratic penalty and soft-thresholded (sparse) weights
-        p = softmax(seen @ weights + bias)
-        speed = 0.9 * speed + (seen.T @ (p - target) / len(seen) + 1e-4 * weights)
+    return index, x, np.array([label for _, label, _ in rows]), np.array([fold for _, _, fold in rows])
+
+
+def regression(x: np.ndarray, labels: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent with momentum, a quadratic penalty and soft-thresholded (sparse) weights."""
+    target = np.eye(classes, dtype=np.float32)[labels]
+    weights, bias, speed, lift = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32), 0.0, 0.0
+    for _ in range(150):
+        p = softmax(x @ weights + bias)
+        speed = 0.9 * speed + (x.T @ (p - target) / len(x) + 1e-4 * weights)
         lift = 0.9 * lift + (p - target).mean(axis=0)
         weights, bias = weights - speed, bias - lift
         weights = np.sign(weights) * np.maximum(np.abs(weights) - 1e-4, 0)
-    scores, truth = x[held] @ weights + bias, y[held]
-    temperature = min(np.linspace(0.3, 4, 38), key=lambda t: -np.log((softmax(scores / t) * truth).sum(axis=1) + 1e-12).mean())
+    return weights, bias
+
+
+@functools.lru_cache(maxsize=1)
+def unseen_logits() -> tuple[np.ndarray, np.ndarray]:
+    """(logits, labels) of every variant, from a regression that saw no variant of the same notice."""
+    _, x, labels, folds = examples()
+    logits = np.zeros((len(x), 1 + len(NOTICES)), np.float32)
+    for fold in range(FOLDS):
+        out = folds == fold
+        weights, bias = regression(x[~out], labels[~out], logits.shape[1])
+        logits[out] = x[out] @ weights + bias
+    return logits, labels
+
+
+def reliability(temperature: float, bins: int = 5) -> list[tuple[float, float, int]]:
+    """(mean probability of the likeliest class, its share of right answers, variants) by bins of that probability, over left-out notices."""
+    logits, labels = unseen_logits()
+    p = softmax(logits / temperature)
+    sure, right = p.max(axis=1), p.argmax(axis=1) == labels
+    at = np.minimum((sure * bins).astype(int), bins - 1)
+    return [(float(sure[at == b].mean()), float(right[at == b].mean()), int((at == b).sum())) for b in range(bins) if (at == b).any()]
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> Model:
+    index, x, labels, _ = examples()
+    families = ["unknown", *NOTICES]
+    weights, bias = regression(x, labels, len(families))
+    logits, truth = unseen_logits()
+    temperature = min(np.linspace(0.2, 4, 77), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     templates = {f: [pairs(words(n.encode())) for n in notices] for f, notices in NOTICES.items()}
     content = frozenset(w for g in index for w in g if len(g) == 1)
     return Model(families, index, weights, bias, float(temperature), templates, content)
@@ -147,7 +222,7 @@ FOUND = T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: Model | None = None, least: float = LEAST) -> DataFrame:
-    """`keep`, n_paragraphs (lines with a word) and licences: an array of paragraph number (from 0), family, probability, similarity.
+    """`keep`, n_paragraphs (lines with a word) and licences: an array of paragraph number (of its first line, from 0), family, probability, similarity.
 
     Null and empty texts have no paragraph. Repeated rows are scanned each; an empty table gives an empty result; kept
     columns of the results' names give way to them. Of the model only notices are learned, no document.
@@ -157,15 +232,8 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     def start():
         model = shared.value
 
-        def one(text: bytes) -> tuple[int, list[dict]]:
-            lines = [line for line in text.split(b"\n") if line and not line.isspace()]
-            if model.content.isdisjoint(words(text)):
-                return len(lines), []
-            hits = ((i, model.judge(words(line), least)) for i, line in enumerate(lines))
-            return len(lines), [{"paragraph": i, "family": h[0], "probability": h[1], "similarity": h[2]} for i, h in hits if h]
-
         def work(texts):
-            made = [one(t or b"") for t in texts]
+            made = [model.find(t or b"", least) for t in texts]
             return [n for n, _ in made], [h for _, h in made]
 
         return work

@@ -374,7 +374,7 @@ def test_labels_of_the_held_out_third_are_not_learned(spark, small):
 
 def test_licences_are_found_and_nothing_else(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    lines = (("GNU General Public", "gpl"), ("CC BY-NC 4.0", "cc-by-nc"), ("MIT License", "mit"), ("Apache License", "apache"))
+    lines = (("GNU General Public", "gpl"), ("CC BY-NC 4.0", "cc-by-nc"), ("MIT License", "mit"), ("Apache License", "apache"), ("All rights reserved.", "proprietary"))
     got = {r.doc_id: [x.family for x in r.licences] for r in licences.scan(docs).collect()}
     for r in docs.select("doc_id", "text").collect():
         assert sorted(got[r.doc_id]) == sorted(f for line in r.text.split("\n") for s, f in lines if s in line)
@@ -404,6 +404,52 @@ def test_all_five_kinds_of_given_licence_lines_are_found(spark, small):
     assert got == want and {f for found in want.values() for f in found} == {f for _, f in lines}
 
 
+def test_wrapped_notices_and_neighbouring_families(spark):
+    wrapped = {
+        "bsd": "Some words.\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met.\n\nMore words.",
+        "isc": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "lgpl": "This library is distributed under the GNU Lesser\nGeneral Public License, version 2.1 of the License",
+        "epl": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0",
+        "unlicense": "This is free and unencumbered software released into\nthe public domain.",
+        "agpl": "it under the terms of the GNU Affero General Public License as published",
+    }
+    texts = list(wrapped.values()) + ["The library lies by the river.\nThe public reads there for free.\nPermission is needed on Sundays."]
+    got = {r.doc_id: [(x.family, x.paragraph) for x in r.licences] for r in licences.scan(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[(f, int(f in ("bsd", "epl")))] for f in wrapped] + [[]]  # the second line names the Eclipse licence by itself
+
+
+def test_licence_model_equals_its_definition():
+    """Probabilities of a softmax over the paragraph's n-grams, similarity as the best share of a template's pairs; no outcome without both."""
+    model, r = licences.trained(), random.Random(1)
+    notices = [(f, n) for f, ns in licences.NOTICES.items() for n in ns]
+    for _ in range(60):
+        family, notice = r.choice(notices)
+        found = licences.words(" ".join(w for w in notice.split() if r.random() > 0.2).encode())
+        z = model.bias.astype(float).copy()
+        for n in (1, 2, 3):
+            for g in {tuple(found[i : i + n]) for i in range(len(found) - n + 1)}:
+                if g in model.index:
+                    z += model.weights[model.index[g]]
+        p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+        assert np.allclose(p, model.probabilities(found), atol=1e-5)
+        share = {f: max(len(set(zip(found, found[1:], strict=False)) & t) / len(t) for t in ts) for f, ts in model.templates.items()} if len(found) > 1 else None
+        judged, best = model.judge(found), int(p.argmax())
+        if share and best and p[best] >= 0.5 + 1e-6 and share[model.families[best]] >= 0.5 and max(share.values()) <= share[model.families[best]] + licences.CLOSER:
+            assert judged[0] == model.families[best] and judged[2] == share[judged[0]]
+        elif share:
+            assert judged is None or abs(p[best] - 0.5) < 1e-5
+
+
+def test_probabilities_are_calibrated_on_left_out_notices():
+    """No variant of a judged notice was seen in training; the likeliest class is right about as often as its probability says."""
+    _, _, labels, folds = licences.examples()
+    assert all(licences.left_out(label, i, f) != licences.left_out(label, i, (f + 1) % 3) for label in range(3) for i in range(4) for f in range(3) if licences.left_out(label, i, f))
+    bins = licences.reliability(licences.trained().temperature)
+    gaps = sum(n * abs(sure - right) for sure, right, n in bins) / len(labels)
+    raw = sum(n * abs(sure - right) for sure, right, n in licences.reliability(0.5)) / len(labels)
+    assert gaps < 0.12 < raw and set(folds) == {0, 1, 2}
+
+
 def test_licences_of_odd_input(spark):
     got = {r.doc_id: r for r in licences.scan(frame(spark, [*ODD, "Released under the MIT License.\n" * 3])).collect()}
     assert got[0].n_paragraphs == 0 and got[len(ODD)].n_paragraphs == 3
