@@ -45,6 +45,47 @@ def test_recall_against_brute_force(spark, small):
         assert all(abs(true[i] - s) < 1e-12 for i, s in found)
 
 
+def test_a_vector_is_touched_once_a_direction():
+    """The counts after growing windows are those of the last windows alone, and their sum is what was touched."""
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((20, 24))
+    v = centres[r.integers(0, 20, 3000)] + 0.4 * r.standard_normal((3000, 24))
+    block = neighbours.Block(v)
+    for i in range(25):
+        before = block.touched
+        near, score = block.collide(v[i : i + 1], 6)[0]
+        assert block.touched - before <= neighbours.DIRECTIONS * len(v)
+        exact = block.units @ block.units[i]
+        best = np.sort(exact)[::-1][:6]
+        assert len(set(np.argsort(-exact)[:6]) & set(near.tolist())) >= 5 and np.allclose(np.sort(score)[::-1][0], best[0])
+    assert block.touched < 0.8 * 25 * neighbours.DIRECTIONS * len(v)  # windows end before they hold all
+
+
+def test_many_scaled_copies_rank_by_exact_score_and_id(spark):
+    """More vectors of one direction than an answer holds; their cosines differ by rounding at most."""
+    r = np.random.default_rng(2)
+    base = r.standard_normal(8)
+    v = [(base * s).tolist() for s in (0.5, 1.0, 2.0, 3.0, 7.0, 0.1) for _ in (0,)] + [(base * (1 + k / 7)).tolist() for k in range(60)] + r.standard_normal((40, 8)).tolist()
+    t = spark.createDataFrame([(1000 - i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = brute(np.array([1000 - i for i in range(len(v))]), v, np.array([(1000 - i) % 50 == 0 for i in range(len(v))]), 5)
+    for q in (1000, 950):
+        got = [(x.vec_id, x.score) for x in neighbours.search(t, F.col("vec_id") % 50 == 0).filter(F.col("query_id") == q).orderBy("rank").collect()]
+        scaled = [(scale, n) for scale, n in got]
+        assert [s for _, s in scaled] == [s for _, s in want[q]] and [i for i, _ in scaled] == [i for i, _ in want[q]]
+
+
+def test_contract_queries_on_the_middle_table(spark):
+    """Recall at 5 of op1 itself against brute force."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    want = brute(ids, [r.embedding for r in rows], ids % 50 == 0, 5)
+    got = {}
+    for r in neighbours.op1(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
 def test_odd_vectors_ties_and_copies(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (50, [1.0, 0.0]), (7, [2.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (100, [])]
