@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import cut_lineage, map_texts, read
+from .shared import by_share, cut_lineage, map_texts, quoted, read, set_apart
 
 SHINGLE, RADIUS = 3, 3
 #: The pipeline's stage: words of a shingle; least Jaccard similarity as a fraction of whole numbers; bands of so many minima.
@@ -153,14 +153,15 @@ def block_masks(radius: int, agreeing: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 8192, agreeing: int | None = None) -> DataFrame:
     """Edges u, v that connect all distinct fingerprints (column fp) within the radius; exact for every input.
 
-    More fingerprints take more agreeing blocks, so that a shard stays small: 4 tables of 16 bits, then 10 of 25, then
-    20 of 32. The links are the same for each choice.
+    agreeing: how many of the blocks of bits name a shard. More fingerprints are better off with more of them, so that
+    a shard stays small: 4 tables of 16 bits, then 10 of 25, then 20 of 32. The links are the same for each choice.
     """
-    n = distinct.count()
-    agreeing = 1 if n <= 4_000_000 else 2 if n <= 400_000_000 else 3
+    if agreeing is None:
+        n = distinct.count()
+        agreeing = 1 if n <= 4_000_000 else 2 if n <= 400_000_000 else 3
     keys = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(radius, agreeing))))
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.v")
     crowded = cut_lineage(rows.groupBy("t", "v").count().filter(F.col("count") > shard_rows).withColumn("chunks", F.ceil(F.col("count") / shard_rows).cast("long")).drop("count"))
@@ -197,20 +198,26 @@ def connected(edges: DataFrame) -> DataFrame:
         before, edges = seen, cut_lineage(star(star(edges, True), False))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, agreeing: int | None = None) -> DataFrame:
     """key, fp, component_id (the smallest key reachable over links, its own included) for every row of `docs`.
 
     Null and empty texts share the fingerprint zero and are linked like any other. Rows of the same key keep their
     rows. A null key takes part and is never the smallest, unless all keys of the component are null (then null).
     An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    marked = cut_lineage(fingerprints(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", ("__key",), shingle))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("__key").alias("low")))
-    stars = connected(links(distinct, radius))
-    rooted = distinct.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("__key").alias(key), "fp", "component_id")
+    marked = cut_lineage(fingerprints(docs.select(F.col(quoted(key)).alias("__key"), F.col(quoted(text)).alias("__t")), "__t", ("__key",), shingle))
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("__key").alias("low"), F.count("*").alias("rows")))
+    return named_components(marked, distinct, connected(links(distinct, radius, agreeing=agreeing)), "fp").select(F.col("__key").alias(key), "fp", "component_id")
+
+
+def named_components(marked: DataFrame, distinct: DataFrame, stars: DataFrame, node: str) -> DataFrame:
+    """marked with root and component_id, the smallest key of the node's component (distinct: node, low, rows; stars: u, root).
+
+    A node or a component that holds many rows is no single task's work.
+    """
+    rooted = cut_lineage(distinct.join(stars.withColumnRenamed("u", node), node, "left").withColumn("root", F.coalesce("root", node)))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes"))
+    return by_share(marked, by_share(rooted, lowest, "root", "nodes").select(node, "root", "component_id", "rows"), node, "rows")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -298,14 +305,24 @@ def like_links(shards: DataFrame, like: tuple[int, int]) -> DataFrame:
     return shards.select("b", "c", "sig", "set").repartition("b", "c").sortWithinPartitions("b", "c").mapInArrow(work, "u long, v long")
 
 
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, like: tuple[int, int] = LIKE, shard_shingles: int = 2_000_000) -> DataFrame:
-    """key and component_id (the smallest key reachable over links) for every row of `docs`; keys aren't null.
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key and component_id (the smallest key reachable over links) for every row of `docs`.
+
+    Rows of the same key keep their rows. A null key takes part and is never the smallest, unless all keys of the
+    component are null (then null). Texts without a word are alike. Other columns are ignored.
+    """
+    source = docs.select(F.col(quoted(key)).alias("__key"), F.col(quoted(text)).alias("__t"))
+    return linked_texts(source, **options).select(F.col("__key").alias(key), "component_id")
+
+
+def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[int, int] = LIKE, shard_shingles: int = 2_000_000) -> DataFrame:
+    """All columns of source (__key, __t and more) but the text, with root and component_id of the row's component.
 
     Equal sets are one node. Nodes that share a band are held against each other on their exact sets, once for bands
     of the same nodes. A shard beyond `shard_shingles` is cut into chunks, and each pair of chunks is a task's work.
     """
-    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t"))
     long = T.LongType()
+    source = source.withColumn("__h", F.xxhash64(F.col("__key").cast("string"), "__t"))
 
     def start():
         def work(texts):
@@ -314,8 +331,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
 
         return work
 
-    marked = cut_lineage(map_texts(source, "__t", ("__key",), T.StructType([T.StructField("sig", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long))]), start))
-    distinct = cut_lineage(marked.groupBy("sig").agg(F.min("__key").alias("low")))
+    marked = cut_lineage(map_texts(source, "__t", tuple(c for c in source.columns if c != "__t"), T.StructType([T.StructField("sig", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long))]), start))
+    distinct = cut_lineage(marked.groupBy("sig").agg(F.min("__key").alias("low"), F.min("__h").alias("one"), F.count("*").alias("rows")))
     rows = marked.select("sig", "n", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("b")
     members = cut_lineage(rows.join(shared, "b").distinct())
@@ -331,31 +348,33 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
 
         return work
 
-    wanted = distinct.join(members.select("sig").distinct(), "sig").select(F.col("low").alias("__key")).distinct()
-    sets = map_texts(source.join(wanted, "__key", "left_semi"), "__t", ("__key",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again)
+    # One row of each set is read again; equal rows bring it several times.
+    wanted = distinct.join(members.select("sig").distinct(), "sig").select(F.col("one").alias("__h")).distinct()
+    sets = map_texts(source.select("__h", "__t").join(wanted, "__h", "left_semi"), "__t", ("__h",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again)
     # Chunk i meets chunk j in the group i * chunks + j with i < j, which holds the rows of both.
     own, chunks, zero = F.pmod(F.xxhash64("sig"), F.col("chunks")), F.col("chunks"), F.lit(0).cast("long")
     groups = F.when(chunks == 1, F.array(zero)).otherwise(F.transform(F.filter(F.sequence(zero, chunks - 1), lambda o: o != F.col("own")), lambda o: F.least(o, F.col("own")) * chunks + F.greatest(o, F.col("own"))))
     placed = members.withColumn("own", own).select("sig", "b", F.explode(groups).alias("c"))
-    # A repeated key may bring the same set several times, or sets of other nodes, which find no place or are equal ones.
     shards = placed.join(sets.dropDuplicates(["sig"]).select("sig", "set"), "sig")
     stars = connected(like_links(shards, like))
-    rooted = distinct.join(stars.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("sig", "component_id")
-    return marked.join(named, "sig").select(F.col("__key").alias(key), "component_id")
+    return named_components(marked.drop("n", "bands", "__h"), distinct.drop("one"), stars, "sig").drop("sig")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component of similar texts the row of the smallest key stays, once.
+    """The rows of `docs`, all columns, without near-duplicates: of each component of similar texts one row stays.
 
-    Repeated rows of that key count as copies of each other. Rows without a key can't be told apart by it; all stay.
+    It is the row of the smallest key (a row without a key only where no row of the component has one), of several such
+    the one whose text and then whose columns together have the smallest hash, so reruns agree. Rows of one key with
+    different texts are different documents; equal rows are copies of each other. An empty table gives an empty result.
     """
-    named = docs.filter(F.col(key).isNotNull())
-    winners = similar_texts(named, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    once = Window.partitionBy(key).orderBy(F.lit(0))
-    kept = named.join(winners, key, "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    plain = lambda f: F.col(quoted(f.name)) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(quoted(f.name)))
+    hashes = {"__of_text": F.xxhash64(quoted(text)), "__of_row": F.xxhash64(*map(plain, docs.schema))}
+    _, at, back = set_apart(docs)
+    inner = docs.select(*(F.col(quoted(c)).alias(n) for c, n in at.items()), *(c.alias(n) for n, c in hashes.items()))
+    found = linked_texts(inner.select(F.col(at[key]).alias("__key"), F.col(at[text]).alias("__t"), *hashes), **options)
+    first = found.filter(F.col("__key").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(*hashes)).alias("first"))
+    kept = inner.join(first.select("first.*"), list(hashes), "left_semi").dropDuplicates(list(hashes))
+    return kept.select(*back)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.staging import checkpointed as cut_lineage
 from ..operators.staging import quoted, shared_folder
 
-__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "shared_folder", "slices", "small_batches", "word_count"]
+__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "word_count"]
 
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +63,12 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """(docs under names that clash with nothing, these names by the old ones, the columns that bring the old names back)."""
+    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items())), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def by_share(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
     """rows left join facts (one row a key, with `count`, the key's number of rows), without a task that holds all rows of a hot key.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Recent, bounded_share, crc32_of_id, cut_lineage, map_texts, read
+from .shared import Recent, bounded_share, crc32_of_id, cut_lineage, map_texts, quoted, read, set_apart
 
 #: The labelled rows that the fit takes, at most about so many; a fifth of them calibrates.
 TRAINING_ROWS = 20_000
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     chosen = known.filter(bounded_share(known.count(), rows, F.col("key"), "toxicity")).withColumn("part", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("part")), F.lit(5)))
-    source = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    source = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("binary").alias("text")).filter("text IS NOT NULL")
     joined = source.join(F.broadcast(chosen), "key")  # `chosen` has at most about `rows` rows
     sample = cut_lineage(joined.groupBy("key", "label", "part").agg(F.min("text").alias("text")))
     counted = feature_counts(sample.filter("part > 0"))
@@ -259,6 +259,5 @@ def op9(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose toxicity is below the threshold. `labels` are the rows to learn from."""
-    inner = docs.withColumnsRenamed({c: f"__in_{c}" for c in docs.columns})
-    scored = score(inner, fit(docs, labels, key, text), f"__in_{text}", tuple(inner.columns))
-    return scored.filter(F.col("toxicity") < threshold).select(*(F.col(f"__in_{c}").alias(c) for c in docs.columns))
+    inner, names, back = set_apart(docs)
+    return score(inner, fit(docs, labels, key, text), names[text], tuple(inner.columns)).filter(F.col("toxicity") < threshold).select(*back)

@@ -148,6 +148,28 @@ def test_stage_drops_edited_copies_from_a_similarity_of_four_fifths(spark, shard
     assert got == [i for i in range(len(texts)) if up[i] == i]
 
 
+def test_links_are_the_same_for_each_number_of_agreeing_blocks(spark):
+    texts = random_texts(60, 5)
+    got = [sorted(map(tuple, near_dedup.near_duplicates(frame(spark, texts), agreeing=n).collect())) for n in (1, 2, 3)]
+    assert got[0] == got[1] == got[2] and len({c for _, _, c in got[0]}) < len(texts)
+
+
+def test_kept_rows_of_odd_tables(spark):
+    """Repeated and null keys, equal rows, columns that clash with the operator's own names, names with dots, maps."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 1), (2, long + " tail", 2), (1, "another text altogether, not like it at all", 3), (7, "only a repeated row here in the table", 4), (7, "only a repeated row here in the table", 4), (None, long, 5), (None, "no key and no copy of it anywhere else", 6), (None, None, 7), (9, "", 8), (8, " ", 9)]
+    docs = spark.createDataFrame([(k, t, n, n, {"a": n}) for k, t, n in rows], "doc_id long, text string, __n int, `a.b` int, m map<string,int>")
+    kept = near_dedup.keep_one(docs.repartition(3))
+    assert kept.columns == docs.columns
+    want = sorted([(1, 1), (1, 3), (7, 4), (None, 6), (8, 9)], key=str)
+    assert sorted(((r.doc_id, r["__n"]) for r in kept.collect()), key=str) == want
+    assert sorted(((r.doc_id, r["a.b"]) for r in near_dedup.keep_one(docs.repartition(5)).collect()), key=str) == want
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
+    # Of one key and one component the row is chosen by its content, not by where it lies.
+    same = spark.createDataFrame([(1, long, i) for i in range(6)], "doc_id long, text string, n int")
+    assert len({near_dedup.keep_one(same.repartition(p)).first().n for p in (1, 2, 4)}) == 1
+
+
 # --- token counts and packing ---
 
 
