@@ -1,44 +1,40 @@
 """Job postings in web pages: JSON-LD first, then meta tags and headings, as Column expressions over the html.
 
-JSON-LD is read as a variant, so a record's shape may differ from page to page. Lists and one `@graph` level are
-looked into; `deep_postings` finds records nested deeper, for the few pages that need it.
+JSON-LD is read as a variant, so a record's shape may differ from page to page. Lists and `@graph` lists within each
+other are looked into DEPTH levels deep; `deep_postings` finds records at any depth, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import html as entities
 import json
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import Text, col, found, one_line, spaced, work_mode
+from .text import Text, col, found, let, one_line, spaced, work_mode
 
 LD = r"(?is)<script\b[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-#: Entities that pages use in titles and prose.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Entities that pages use in titles and prose, in the order in which they are decoded.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+DEPTH = 5
 
 
-def decoded(text: Text) -> Column:
-    """Named entities and those of ASCII code points in decimal form; for others see `deep_text`."""
-    out = col(text)
-    for entity, character in ENTITIES:
-        out = F.regexp_replace(out, f"(?i){entity}", character)
-    return out
-
+def _numeric(text: Column, pattern: str, code) -> Column:
+    """The text with its references of that pattern as characters; what names no character stays."""
+    fits = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    character = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    shown = lambda r: F.coalesce(let(code(F.regexp_extract(r, "([0-9a-fA-F]+);", 1)), lambda n: F.when(fits(n), character(n))), r)
+    references = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(references(t), t, lambda done, r: F.replace(done, r, shown(r)))).otherwise(t))
 
-@F.pandas_udf(T.StringType())
-def deep_text(values: pd.Series) -> pd.Series:
-    """All character references, numeric ones included; for rows that still hold one after `decoded`."""
-    return values.map(lambda v: v if v is None else entities.unescape(v))
 
-
-def with_numeric_entities(frame: DataFrame, column: str) -> DataFrame:
-    """Rows with a numeric reference go through `deep_text`, the others stay in the JVM."""
-    numeric = F.coalesce(F.regexp_like(F.col(column), F.lit(r"&#[xX]?[0-9a-fA-F]+;")), F.lit(False))
-    return frame.filter(~numeric).unionByName(frame.filter(numeric).withColumn(column, deep_text(column)))
+def decoded(text: Text) -> Column:
+    """Named entities, `&amp;` first (so that doubly escaped ones are decoded whole), then decimal and hexadecimal references."""
+    named = reduce(lambda out, e: F.regexp_replace(out, f"(?i){e[0]}", e[1]), ENTITIES, col(text))
+    decimal = _numeric(named, "&#[0-9]+;", lambda digits: digits.try_cast("bigint"))
+    return _numeric(decimal, "(?i)&#x[0-9a-f]+;", lambda digits: F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).cast("bigint")))
 
 
 def plain(html: Text) -> Column:
@@ -74,7 +70,13 @@ def posting(html: Text) -> Column:
     """The first JSON-LD record of type JobPosting as a variant, or null; malformed blocks are passed over."""
     blocks = F.transform(F.regexp_extract_all(col(html), F.lit(LD), F.lit(1)), F.try_parse_json)
     listed = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    records = F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b), listed(b, "$"), listed(b, "$['@graph']"), F.flatten(F.transform(listed(b, "$"), lambda e: listed(e, "$['@graph']"))))))
+
+    def opened(v: Column, depth: int) -> Column:
+        """The record and all within it, in the order in which they are looked at."""
+        inner = F.concat(listed(v, "$"), listed(v, "$['@graph']"))
+        return F.concat(F.array(v), F.flatten(F.transform(inner, lambda e: opened(e, depth - 1)))) if depth else F.array(v)
+
+    records = F.flatten(F.transform(blocks, lambda b: opened(b, DEPTH)))
     kinds = lambda v: F.concat(F.array(F.try_variant_get(v, "$['@type']", "string")), F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array().cast("array<string>")))
     return F.get(F.filter(records, lambda v: F.coalesce(F.array_contains(F.array_compact(kinds(v)), "JobPosting"), F.lit(False))), F.lit(0))
 
@@ -94,9 +96,9 @@ def places(job: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(several, _place)))
 
 
-def job_page(html: Text) -> Column:
-    """struct(title, company, role, locations, description, posted, work_mode) of a page."""
-    job = posting(html)
+def job_page(html: Text, job: Column | None = None) -> Column:
+    """struct(title, company, role, locations, description, posted, work_mode) of a page. job: its posting, if it is known."""
+    job = posting(html) if job is None else job
     org = F.coalesce(_string(job, "$.hiringOrganization.name"), F.when(F.regexp_like(F.try_variant_get(job, "$.hiringOrganization", "string"), F.lit(r"^\s*[^\s{]")), _string(job, "$.hiringOrganization")))
     description = F.coalesce(F.nullif(F.substring(plain(F.try_variant_get(job, "$.description", "string")), 1, 2000), F.lit("")), meta(html, "og:description"), meta(html, "description"))
     role = F.coalesce(decoded(_string(job, "$.title")), before_bar(meta(html, "og:title")), heading(html), before_bar(title(html)))
@@ -108,12 +110,16 @@ def job_page(html: Text) -> Column:
     return F.struct(title(html).alias("title"), company.alias("company"), role.alias("role"), where.alias("locations"), description.alias("description"), posted.alias("posted"), mode.alias("work_mode"))
 
 
+#: Fixed value: the first line of a page's snapshot.
+HEADING = "Fetched job posting snapshot (trusted fetch):"
+
+
 def snapshot(page: Column, url: Column, final_url: Column) -> Column:
     """A page's fields as labelled lines, which the labelled parser reads."""
     line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
     where = F.when(F.size(page["locations"]) > 0, F.array_join(page["locations"], "; "))
     last = F.when(final_url != url, final_url)
-    return F.concat_ws("\n", F.lit("Fetched job posting snapshot (trusted fetch):"), line("Company", page["company"]), line("Role", page["role"]), line("Location", where), line("Work mode", page["work_mode"]), line("Posted", F.date_format(page["posted"], "yyyy-MM-dd")), line("Excerpt", one_line(page["description"])), line("Description", page["description"]), url, last)
+    return F.concat_ws("\n", F.lit(HEADING), line("Company", page["company"]), line("Role", page["role"]), line("Location", where), line("Work mode", page["work_mode"]), line("Posted", F.date_format(page["posted"], "yyyy-MM-dd")), line("Excerpt", one_line(page["description"])), line("Description", page["description"]), url, last)
 
 
 def deep_postings(pages: DataFrame, html: str = "html") -> DataFrame:

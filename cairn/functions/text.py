@@ -7,6 +7,7 @@ Word limits are ASCII look-arounds throughout, because Java's `\\b` also sees ac
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -37,6 +38,11 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is computed once however often `then` names it: it is a lambda's argument."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def word(pattern: str) -> str:
     """The pattern between ASCII word limits, in either case."""
     return f"(?i){BEFORE}(?:{pattern}){AFTER}"

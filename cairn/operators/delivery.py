@@ -121,6 +121,14 @@ def reaction_target(source: Column, metadata: Column, event_id: Column, default_
     )
 
 
+def exact_duplicates(links: DataFrame, events: DataFrame, default_channel: str | None = None) -> DataFrame:
+    """X5: raw_event_id, opportunity_id, channel_id, message_id of every event that was linked to a record that is there
+    already, where it came from a chat message. links: raw_event_id, opportunity_id, created; events: event_id, source,
+    source_event_id, metadata."""
+    known = events.select(F.col("event_id").alias("raw_event_id"), reaction_target(F.col("source"), F.col("metadata"), F.col("source_event_id"), default_channel).alias("target"))
+    return links.filter("NOT created").join(known.filter(F.col("target").isNotNull()), "raw_event_id").select("raw_event_id", "opportunity_id", "target.channel_id", "target.message_id")
+
+
 # --- rendering (F33, F34) ---
 
 

@@ -11,13 +11,15 @@ from ..functions import urls as ul
 PAGES, HOPS = 2, 3
 
 
-def with_pages(events: DataFrame, pages: DataFrame, most: int = PAGES) -> DataFrame:
+def with_pages(events: DataFrame, pages: DataFrame, most: int = PAGES, deep: bool = False) -> DataFrame:
     """Events (event_id, text, attachment_urls) with the snapshots of their first job pages appended, in the order of the addresses.
 
-    pages: url, final_url, html. Pages without company and role add nothing.
+    pages: url, final_url, html. Pages without company and role add nothing. deep: postings are sought at any depth of a
+    page's records, in Arrow batches, and not in the JVM `pages.DEPTH` levels deep.
     """
     wanted = events.select("event_id", F.posexplode(F.slice(F.filter(ul.urls_in("text", "attachment_urls"), lambda u: ul.is_job_url(u, "enrichment")), 1, most)).alias("pos", "url"))
-    read = pages.select("url", F.coalesce("final_url", "url").alias("final_url"), pg.job_page("html").alias("page")).filter("page.company IS NOT NULL OR page.role IS NOT NULL")
+    page = pg.job_page("html", F.try_parse_json("job")) if deep else pg.job_page("html")
+    read = (pg.deep_postings(pages) if deep else pages).select("url", F.coalesce("final_url", "url").alias("final_url"), page.alias("page")).filter("page.company IS NOT NULL OR page.role IS NOT NULL")
     shots = wanted.join(read, "url").select("event_id", F.struct("pos", pg.snapshot(F.col("page"), F.col("url"), F.col("final_url")).alias("text")).alias("s"))
     joined = shots.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n\n").alias("__more"))  # at most `most` an event
     return events.join(joined, "event_id", "left").withColumn("text", F.concat_ws("\n\n", F.nullif("text", F.lit("")), "__more")).drop("__more")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,7 @@ def parse_tables(snapshots: DataFrame, files: DataFrame | None = None) -> DataFr
     return numbered.select(*keys, "row_index", F.col("line").alias("row_text"), company.alias("company"), role.alias("role"), cell_url(cell("application_column")).alias("application_url"))
 
 
+DEFAULT_PARSER = "markdown_table_v1"
 #: Parser id -> function from (snapshots, files) to rows.
 PARSERS: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] = {}
 
@@ -103,12 +105,40 @@ def parsers() -> list[str]:
 register_parser("markdown_table_v1", parse_tables)
 
 
+def parse_files(snapshots: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of all snapshots, each by the parser that its file names (files: source_id, path, parser and options; null or
+    no entry: the default), with `parser`. Files that name an unknown parser have no rows; see `unknown_parsers`."""
+    named = snapshots.join(files.select("source_id", "path", "parser"), ["source_id", "path"], "left").withColumn("parser", F.coalesce("parser", F.lit(DEFAULT_PARSER)))
+    options = files.drop("parser")
+    made = [PARSERS[n](named.filter(F.col("parser") == n).drop("parser"), options).withColumn("parser", F.lit(n)) for n in parsers()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+
+
+def unknown_parsers(files: DataFrame) -> DataFrame:
+    """source_id, path, parser of the files that name a parser which isn't registered."""
+    return files.filter(F.col("parser").isNotNull() & ~F.col("parser").isin(*parsers())).select("source_id", "path", "parser")
+
+
 def changed(snapshots: DataFrame, cursors: DataFrame) -> DataFrame:
     """Snapshots whose content differs from what the cursor (source_id, path, content_sha256) saw last."""
     marked = snapshots.withColumn("content_sha256", F.sha2("content", 256))
     return marked.join(cursors.select("source_id", "path", "content_sha256"), ["source_id", "path", "content_sha256"], "left_anti")
 
 
+def cursors(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
+    """The cursor of each snapshot after its rows are stored: source_id, path, content_sha256, row_count, polled_at (its captured_at)."""
+    counted = rows.groupBy("source_id", "path", "captured_at").agg(F.count("*").alias("row_count"))
+    marked = snapshots.select("source_id", "path", "captured_at", F.sha2("content", 256).alias("content_sha256"))
+    return marked.join(counted, ["source_id", "path", "captured_at"], "left").select("source_id", "path", "content_sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.col("captured_at").alias("polled_at"))
+
+
+def advance(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored cursors with the fresh ones over them; of several for one file the latest counts."""
+    keys, latest = ["source_id", "path"], F.struct("polled_at", "content_sha256")
+    newest = fresh.groupBy(*keys).agg(F.max_by(F.struct("content_sha256", "row_count", "polled_at"), latest).alias("c")).select(*keys, "c.*")
+    return stored.join(newest.select(*keys), keys, "left_anti").select(*keys, "content_sha256", "row_count", "polled_at").unionByName(newest)
+
+
 def to_events(rows: DataFrame, repository: Text, branch: Text, commit: Text) -> DataFrame:
     """Raw events of parsed rows; a row is known by its address, else by a hash of where and what it is."""
     digest = F.sha2(F.concat_ws("\n", col(repository), F.col("path"), F.col("row_text")), 256)

@@ -117,8 +117,27 @@ def test_page_precedence(spark):
 def test_deep_postings_and_entities(spark):
     pages = spark.createDataFrame([(1, '<script type="application/ld+json">{"@graph":[{"@graph":[{"@type":"JobPosting","title":"T"}]}]}</script>'), (2, None)], "i int, html string")
     assert [r.job for r in pg.deep_postings(pages).orderBy("i").collect()] == ['{"@type": "JobPosting", "title": "T"}', None]
-    named = spark.createDataFrame([(1, "a &#233; b"), (2, "plain &amp; x"), (3, None)], "i int, t string")
-    assert [r.t for r in pg.with_numeric_entities(named, "t").orderBy("i").collect()] == ["a é b", "plain &amp; x", None]
+    # The posting is found in the JVM too, in lists and graphs within each other, in the order of the page.
+    nested = '<script type="application/ld+json">[{"@type":"Thing"},[{"@graph":[{"@type":"Thing"},[{"@graph":[{"@type":"JobPosting","title":"Deep"}]}]]},{"@type":"JobPosting","title":"Later"}]]</script>'
+    assert one(spark, pg.job_page("h"), h=nested).role == "Deep"
+    assert one(spark, pg.job_page("h"), h=pages.first().html).role == "T"
+
+
+def test_entities_are_decoded_in_order(spark):
+    texts = ["a &#233; b", "x &amp;lt; y &AMP;amp; z", "&#65;&#x42;&#X1F600;", "&#38;lt; &#1114112; &#55296; &#0; &#x110000; &#99999999999999999999;", "&bogus; & &#; &#x;", "&nbsp;&quot;&#39;&gt;", None]
+    assert many(spark, pg.decoded("t"), texts) == ["a é b", "x < y &amp; z", "AB😀", "&lt; &#1114112; &#55296; &#0; &#x110000; &#99999999999999999999;", "&bogus; & &#; &#x;", " \"'>", None]
+
+
+def test_forms_of_compatibility_characters(spark):
+    rows = spark.createDataFrame([(1, "Ａcme Oﬃce Ｉｎｃ．", ["Ｂoston", "plain"], None), (2, "Plain Inc", [], "x"), (3, None, None, "ﬁ")], "i int, company string, places array<string>, role string")
+    got = [(r.company, r.places, r.role, r.f) for r in tx.compatible(rows, "company", "places", "role").withColumn("f", tx.company_form("company")).orderBy("i").collect()]
+    assert got == [("Acme Office Inc.", ["Boston", "plain"], None, "acme office"), ("Plain Inc", [], "x", "plain"), (None, None, "fi", None)]
+
+
+def test_addresses_of_other_hosts_and_dot_segments(spark):
+    given = ["https://[2001:DB8::1]:443/a/./b/../c/", "https://a.com/x y?z=1", "https://a.com/../../q/.", " https://a.com/%2E%2e/x ", "https://a.com/a..b/.c"]
+    assert many(spark, ul.canonical("t"), given) == ["https://[2001:db8::1]/a/c", "https://a.com/x%20y?z=1", "https://a.com/q", "https://a.com/x", "https://a.com/a..b/.c"]
+    assert many(spark, ul.url_error("t"), ["https://[::1", "https://a b/", "ftp://a.com", "https://u@[::1]/"]) == ["invalid", "invalid", "invalid", "credentials"]
 
 
 @pytest.mark.parametrize("seed", range(3))
