@@ -246,12 +246,14 @@ def exact_dedupe_first_wins(spark, sf_dir):
     return first.join(docs.groupBy("h").agg(F.count("*").alias("copies")), "h").select("doc_id", "text_md5", "copies")
 
 
-@query("""SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00') GROUP BY ALL""")
+@query("""WITH e AS (SELECT event_id, ts, user_id, event_type, value::INT AS v FROM events), old AS (SELECT DISTINCT user_id, event_type, v FROM e WHERE ts < TIMESTAMP '2024-01-15 00:00:00'),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, v ORDER BY event_id) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-15 00:00:00')
+SELECT event_id, n = 1 AND o.user_id IS NULL AS inserted FROM fresh f LEFT JOIN old o ON f.user_id = o.user_id AND f.event_type = o.event_type AND f.v = o.v""")
 def identity_dedupe(spark, sf_dir):
-    e = b.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    e = b.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.round("value").cast("int").alias("v"))
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    new, _ = linkage.insert_new(e.filter(F.col("ts") >= cut), e.filter(F.col("ts") < cut), ["user_id", "event_type"], ["event_id"])
-    return new.select("user_id", "event_type", "event_id")
+    _, marked = linkage.insert_new(e.filter(F.col("ts") >= cut), e.filter(F.col("ts") < cut), ["user_id", "event_type", "v"], ["event_id"])
+    return marked.select("event_id", "inserted")
 
 
 @query(f"""WITH {b.ROWS}, able AS (SELECT *, min(ord) OVER (PARTITION BY l_partkey) AS head FROM texts WHERE s_nationkey % 4 IN (0, 1))
@@ -315,7 +317,7 @@ def message_sources(spark, sf_dir):
 @query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'validation_error' WHEN 3 THEN 'validation_error' WHEN 4 THEN 'empty_body' WHEN 5 THEN 'payload_too_large' END AS reject_code, CASE WHEN c_custkey % 7 IN (0, 6) THEN 'owner/' || c_name END AS source_account FROM customer""")
 def contract_validation(spark, sf_dir):
     c = b.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    good = F.concat(F.lit('{"schema_version":1,"source":"github","source_account":"owner/'), "c_name", F.lit('","source_event_id":"row-1","source_url":null,"occurred_at":null,"captured_at":"2026-07-29T22:01:00Z","author_display":null,"text":"| a |","attachments":[],"metadata":{"repository":"o/r","branch":"dev","path":"README.md","commit_sha":null,"row_index":3}}'))
+    good = F.concat(F.lit(_BODY[0]), "c_name", F.lit(_BODY[1]))
     k = F.col("c_custkey") % 7
     body = F.when(k == 1, F.substring(good, 1, 40)).when(k == 2, F.regexp_replace(good, '"github"', '"discord_manual"')).when(k == 3, F.regexp_replace(good, '"row_index":3', '"row_index":3,"more":1')).when(k == 4, "").when(k == 5, F.concat(good, F.repeat(F.lit(" "), 256 * 1024))).otherwise(good)
     parsed = events.parse_events(c.withColumn("body", body.cast("binary")))
@@ -568,15 +570,144 @@ def permitted_events(spark, sf_dir):
     return intake.permitted(e, e.filter("value > 90")).select("event_id")
 
 
-@query("SELECT (o_orderkey % 4)::INT AS status_code, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'reviews' WHEN 1 THEN 'feeds' END AS channel, CASE WHEN o_orderkey % 3 = 2 THEN 'notion_not_implemented' END AS dead_reason FROM orders")
 def outbox_routes(spark, sf_dir):
-    routed = delivery.route(_outbox(spark, sf_dir), "feed", "review")
-    return routed.filter("channel IS NOT NULL AND dead_reason IS NULL").groupBy((F.col("id") % 4).cast("int").alias("status_code")).agg(F.count("*").alias("n"))
+    kind = F.element_at(F.array(*map(F.lit, ("discord_review", "discord_feed", "notion"))), (F.col("id") % 3 + 1).cast("int"))
+    return delivery.route(_outbox(spark, sf_dir).withColumn("destination_type", kind), "feeds", "reviews").select("id", "channel", "dead_reason")
 
 
-@query("SELECT 'event_linked_twice' AS \"check\", count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'delivered_without_id', count(*) FROM orders WHERE o_orderkey % 4 = 3")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS z FROM part), twice AS (SELECT z FROM p GROUP BY 1 HAVING count(*) > 1)
+SELECT * FROM (SELECT 'address_twice' AS "check", (SELECT count(*) FROM twice) AS n UNION ALL SELECT 'job_twice', (SELECT count(*) FROM (SELECT k % 3, z FROM p GROUP BY ALL HAVING count(*) > 1))
+  UNION ALL SELECT 'event_linked_twice', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'outbox_key_twice', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1))
+  UNION ALL SELECT 'published_incomplete', (SELECT count(*) FROM p WHERE k % 2 = 0 AND k % 5 < 3) UNION ALL SELECT 'seen_before_first', (SELECT count(*) FROM p WHERE z < 10) UNION ALL SELECT 'delivered_without_id', (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 3)) WHERE n > 0""")
 def table_invariants(spark, sf_dir):
-    p = b.table(spark, sf_dir, "part")
-    records = p.select(F.col("p_partkey").cast("string").alias("canonical_url_hash"), F.lit("b").alias("stable_job_board"), F.col("p_partkey").cast("string").alias("stable_job_id"), F.lit(True).alias("needs_review"), F.lit(None).cast("string").alias("company"), F.lit("r").alias("role"), F.lit("u").alias("application_url"), F.lit(1).alias("last_seen_at"), F.lit(1).alias("first_seen_at"))
+    p, k = b.table(spark, sf_dir, "part"), F.col("p_partkey")
+    shown = lambda i, name: F.when(k % 5 != i, name).alias(name)  # noqa: E731  one of the three is missing in three of five records
+    records = p.select(F.col("p_size").cast("string").alias("canonical_url_hash"), (k % 3).cast("string").alias("stable_job_board"), F.col("p_size").cast("string").alias("stable_job_id"), (k % 2 == 1).alias("needs_review"), shown(0, "company"), shown(1, "role"), shown(2, "application_url"), F.col("p_size").alias("last_seen_at"), F.lit(10).alias("first_seen_at"))
     links = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_event_id"))
-    return upkeep.violations(records, links, _outbox(spark, sf_dir))
+    box = b.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"))
+    outbox = _outbox(spark, sf_dir).join(box, F.col("id") == F.col("o_orderkey")).withColumns({"opportunity_id": F.col("owner"), "destination_type": F.lit("t")})
+    return upkeep.violations(records, links, outbox)
+
+
+# --- what a run leaves behind ---
+
+
+@query("""SELECT l_orderkey % 16 AS source_id, 'orders/' || l_orderkey || '.md' AS path, count(DISTINCT (l_linenumber, l_partkey, l_suppkey, l_shipdate)) * (l_orderkey % 5 <> 4)::INT AS row_count
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""")
+def file_cursors(spark, sf_dir):
+    files = b.order_files(spark, sf_dir)
+    old = files.select("source_id", "path", F.lit("-").alias("content_sha256"), F.lit(-1).cast("long").alias("row_count"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("polled_at")).filter("source_id % 2 = 0")
+    return snapshots.advance(old, snapshots.cursors(files, snapshots.parse_tables(files))).select("source_id", "path", F.col("row_count").cast("long").alias("row_count"))
+
+
+@query(f"""WITH {b.ROWS}, numbered AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, event_id) - 1 AS row_index FROM rows)
+SELECT 'orders/' || l_orderkey || '.md' AS path, row_index, CASE l_orderkey % 3 WHEN 0 THEN company ELSE role END AS company, CASE WHEN l_orderkey % 3 = 0 THEN 'markdown_table_v1' ELSE 'swapped_v1' END AS parser FROM numbered WHERE l_orderkey % 3 < 2""")
+def rows_by_parser(spark, sf_dir):
+    """Files that name their parser and its options: a second one has company and role the other way round; a third is unknown."""
+    if "swapped_v1" not in snapshots.PARSERS:
+        snapshots.register_parser("swapped_v1", lambda snaps, files: snapshots.parse_tables(snaps, files.withColumns({"company_column": F.lit(1), "role_column": F.lit(0)})))
+    rows = b.opportunity_rows(spark, sf_dir)
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "event_id")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.regexp_replace("text", f"[{tx.NO_SPONSOR}{tx.LOCKED}]|{tx.CITIZENS}", "").alias("line")))), lambda r: r["line"]), "\n")  # an order's few lines
+    snaps = rows.groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.lit(1).alias("source_id"), F.concat(F.lit("orders/"), "l_orderkey", F.lit(".md")).alias("path"), F.lit(0).alias("captured_at"), F.concat(F.lit("| A | B | C | D | E |\n| --- | --- | --- | --- | --- |\n"), "lines").alias("content"))
+    files = snaps.select("source_id", "path", F.element_at(F.array(F.lit("markdown_table_v1"), F.lit("swapped_v1"), F.lit("gone_v9")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("parser"), F.lit("-").alias("inherit_marker"))
+    return snapshots.parse_files(snaps.drop("l_orderkey"), files).select("path", "row_index", F.regexp_replace(F.trim("company"), r"\s+", " ").alias("company"), "parser")
+
+
+@query("SELECT s_suppkey AS source_id, CASE s_suppkey % 3 WHEN 0 THEN ['a'] ELSE ['a', 'b'] END AS files FROM supplier WHERE s_nationkey % 2 = 0 AND s_suppkey % 4 <> 1")
+def selected_sources(spark, sf_dir):
+    k = F.col("s_suppkey")
+    file = lambda name, enabled: F.struct(F.lit(name).alias("path"), enabled.alias("enabled"))
+    config = b.table(spark, sf_dir, "supplier").select(k.alias("source_id"), F.when(F.col("s_nationkey") % 2 == 0, "github").otherwise("other").alias("type"), (k % 4 != 1).alias("enabled"), F.array(file("a", F.lit(None).cast("boolean")), file("b", k % 3 != 0)).alias("files"))
+    return upkeep.selected_sources(config).select("source_id", F.transform("files", lambda f: f["path"]).alias("files"))
+
+
+@query("SELECT s_suppkey AS source_id, s_suppkey % 7 AS path, count(*) FILTER (r = 1) AS inserted, count(*) FILTER (r > 1) AS duplicates FROM (SELECT l_suppkey AS s_suppkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) GROUP BY ALL")
+def file_poll_counts(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source_id"), (F.col("l_suppkey") % 7).alias("path"))
+    _, marked = linkage.insert_new(lines, lines.limit(0), ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return metrics.poll_counts(marked)
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 11 < 5 AND o_orderdate <= {_AT} ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def due_events(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("pending", "failed", "processing", "processed"))), (F.col("id") % 4 + 1).cast("int"))
+    return delivery.due_events(_outbox(spark, sf_dir).withColumn("status", status), F.lit(_AT[11:-1]).cast("timestamp")).select("id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'ai_unavailable' END AS reasons, CASE WHEN doc_id % 3 = 0 THEN 'm-1' END AS model, CASE WHEN doc_id % 3 = 0 THEN doc_id + 10 END AS input_tokens, CASE WHEN doc_id % 3 = 0 THEN 5 END AS latency_ms,
+  CASE WHEN doc_id % 3 > 0 THEN md5(substr('Apply for this internship in ' || doc_id || repeat(' and on', 100), 1, 500)) END AS excerpt_md5, CASE WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.0 END AS confidence FROM documents""")
+def provider_calls(spark, sf_dir):
+    """Texts that no parser reads: a provider answers a third of them, with what its call cost; the others become minimal records for review."""
+    docs = b.table(spark, sf_dir, "documents").select("doc_id")
+    text = F.concat(F.lit("Apply for this internship in "), "doc_id", F.repeat(F.lit(" and on"), 100))
+    null = F.lit(None).cast("string")
+    events_ = docs.select("doc_id", F.col("doc_id").alias("event_id"), F.lit("discord_manual").alias("source"), null.alias("source_account"), null.alias("source_url"), F.lit("2026-07-01").cast("timestamp").alias("captured_at"), text.alias("text"), F.array(F.lit("https://jobs.example.com/1")).alias("attachment_urls"), null.alias("metadata_path"), F.lit("{}").alias("metadata_json"))
+    kinds = {"locations": "array<string>", "year": "int", "posted_at": "timestamp", "confidence": "double", "evidence": "map<string,string>", "closed": "boolean"}
+    known = {"company": F.lit("this"), "role": F.lit("internship"), "application_url": F.lit("https://jobs.example.com/1"), "sponsorship_status": F.lit("unknown"), "confidence": F.lit(0.9), "parser": F.lit("model"), "locations": F.array().cast("array<string>"), "closed": F.lit(False), "evidence": F.create_map(F.lit("company"), F.lit("this"), F.lit("role"), F.lit("internship"), F.lit("application_url"), F.lit("in"))}
+    candidate = F.struct(*(known.get(n, F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in extract.CANDIDATE))
+    provider = lambda asked: asked.filter("event_id % 3 = 0").select("event_id", candidate.alias("c"), F.lit("m-1").alias("model"), (F.col("event_id") + 10).alias("input_tokens"), F.lit(5).alias("latency_ms"))
+    found = extract.prepared(extract.extract(events_, provider))
+    return found.select("doc_id", F.array_join("reasons", ",").alias("reasons"), "call.model", "call.input_tokens", F.col("call.latency_ms").cast("int").alias("latency_ms"), F.md5(F.col("description_excerpt").cast("binary")).alias("excerpt_md5"), F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 2026 ELSE 2027 END AS year, CASE WHEN c_custkey % 2 = 1 THEN NULL ELSE 'summer' END AS season, CASE c_custkey % 3 WHEN 0 THEN 'smartrecruiters' WHEN 1 THEN 'ashby' ELSE 'rippling' END AS board, CASE c_custkey % 3 WHEN 0 THEN 'Acme ' || c_custkey || 'Labs' WHEN 1 THEN 'Acme ' || c_custkey ELSE 'Acme' || c_custkey END AS company, CASE c_custkey % 3 WHEN 0 THEN 'Data Intern' END AS role, 'job-application-url-v1' AS parser FROM customer")
+def pasted_addresses(spark, sf_dir):
+    """Bare addresses of three boards, and file paths that speak of the off-season."""
+    c = b.table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://jobs.smartrecruiters.com/Acme-"), k, F.lit("Labs/74400012-data-intern"))).when(k % 3 == 1, F.concat(F.lit("https://jobs.ashbyhq.com/acme-"), k)).otherwise(F.concat(F.lit("https://ats.rippling.com/acme"), k, F.lit("/jobs/x1")))
+    null = F.lit(None).cast("string")
+    events_ = c.select("c_custkey", k.alias("event_id"), F.lit("github").alias("source"), F.lit("o/r").alias("source_account"), null.alias("source_url"), F.lit("2026-07-01").cast("timestamp").alias("captured_at"), F.concat(url, F.when(k % 2 == 0, " summer 2027").otherwise("")).alias("text"), F.array().cast("array<string>").alias("attachment_urls"), F.when(k % 2 == 1, "OFFSEASON.md").otherwise("README.md").alias("metadata_path"), F.lit("{}").alias("metadata_json"))
+    found = extract.extract(events_)
+    return found.select("c_custkey", "c.year", "c.season", F.regexp_extract(ul.host("c.application_url"), r"(smartrecruiters|ashby|rippling)", 1).alias("board"), "c.company", "c.role", "c.parser")
+
+
+_BODY = ('{"schema_version":1,"source":"github","source_account":"owner/', '","source_event_id":"row-1","source_url":null,"occurred_at":null,"captured_at":"2026-07-29T22:01:00Z","author_display":null,"text":"| a |","attachments":[],"metadata":{"repository":"o/r","branch":"dev","path":"README.md","commit_sha":null,"row_index":3}}')
+
+
+@query(f"SELECT c_custkey, sha256('{_BODY[0]}' || c_name || '{_BODY[1]}' || repeat(' ', (c_custkey % 3)::INT)) AS payload_sha256 FROM customer")
+def payload_hashes(spark, sf_dir):
+    c = b.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    body = F.concat(F.lit(_BODY[0]), "c_name", F.lit(_BODY[1]), F.repeat(F.lit(" "), (F.col("c_custkey") % 3).cast("int")))
+    return events.parse_events(c.withColumn("body", body.cast("binary"))).select("c_custkey", "event.payload_sha256")
+
+
+@query("""SELECT c_custkey, 'Review required' AS title, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Missing' END AS company, CASE c_custkey % 3 WHEN 0 THEN 'unspecified' ELSE 'low\\\\\\_confidence, missing\\\\\\_role' END AS reasons, CASE WHEN c_custkey % 5 = 0 THEN 'No source excerpt available.' ELSE 'a \\*b\\* ' || c_custkey END AS excerpt,
+  'Workflow failure' AS alert, c_custkey::VARCHAR AS attempt, CASE WHEN c_custkey % 2 = 0 THEN 'n/a' ELSE 'soon' END AS next_retry FROM customer""")
+def review_and_alert_messages(spark, sf_dir):
+    k = F.col("c_custkey")
+    null = F.lit(None).cast("string")
+    rows = b.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("o"), k).alias("opportunity_id"), F.when(k % 2 == 0, F.col("c_name")).alias("company"), null.alias("role"), null.alias("application_url"), null.alias("source_url"), F.when(k % 3 > 0, F.array(F.lit("low_confidence"), F.lit("missing_role"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.when(k % 5 > 0, F.concat(F.lit("a *b* "), k)).alias("description_excerpt"), F.lit("w").alias("workflow"), F.lit("timeout").alias("category"), k.alias("attempt"), F.when(k % 2 == 1, "soon").alias("next_retry"), F.lit("s").alias("source_id"), null.alias("execution_url"))
+    shown = rows.select("c_custkey", delivery.review_message().alias("m"), delivery.alert_message().alias("a"))
+    embed = "struct<title:string,description:string,fields:array<struct<name:string,value:string>>>"
+    read = shown.select("c_custkey", F.from_json("m", f"embeds array<{embed}>")["embeds"][0].alias("m"), F.from_json("a", f"embeds array<{embed}>")["embeds"][0].alias("a"))
+    value = lambda c, name: F.get(F.filter(F.col(c)["fields"], lambda f: f["name"] == name), F.lit(0))["value"].alias(name.lower().replace(" ", "_"))
+    return read.select("c_custkey", F.col("m.title").alias("title"), value("m", "Company"), value("m", "Reasons"), F.col("m.description").alias("excerpt"), F.col("a.title").alias("alert"), value("a", "Attempt"), value("a", "Next retry"))
+
+
+@query("""SELECT conv_id || lpad(turn::VARCHAR, 4, '0') AS raw_event_id, 'o' || (conv_id % 13) AS opportunity_id, CASE WHEN conv_id % 4 = 2 THEN '555' ELSE (conv_id % 9 + 100)::VARCHAR END AS channel_id, conv_id || lpad(turn::VARCHAR, 4, '0') AS message_id FROM conversations WHERE turn % 2 = 1""")
+def exact_duplicates(spark, sf_dir):
+    made = chat.from_messages(b.messages(spark, sf_dir)).withColumn("event_id", F.col("source_event_id"))
+    conv = F.expr("substring(source_event_id, 1, length(source_event_id) - 4)")
+    links = made.select(F.col("event_id").alias("raw_event_id"), F.concat(F.lit("o"), (conv.cast("long") % 13)).alias("opportunity_id"), (F.expr("right(source_event_id, 4)").cast("int") % 2 == 0).alias("created"))
+    return delivery.exact_duplicates(links, made, "555")
+
+
+@query("SELECT c_custkey, 'acme office no ' || c_custkey AS company_form, 'data iv intern' AS role_form, sha256('acme office no ' || c_custkey || chr(31) || 'data iv intern' || chr(31) || 'boston ma' || chr(31) || chr(31) || '2027' || chr(31) || chr(31)) AS fingerprint FROM customer")
+def compatibility_forms(spark, sf_dir):
+    """Names with wide letters, ligatures and numerals beyond ASCII, through the whole preparation."""
+    c, null = b.table(spark, sf_dir, "customer").select("c_custkey"), F.lit(None).cast("string")
+    text = F.concat(F.lit("Company: Ａcme Oﬃce № "), "c_custkey", F.lit(" Ｉｎｃ．\nRole: Ｄata Ⅳ Internships\nLocation: Ｂoston, MA\n2027"))
+    events_ = c.select("c_custkey", F.col("c_custkey").alias("event_id"), F.lit("discord_manual").alias("source"), null.alias("source_account"), null.alias("source_url"), F.lit("2026-07-01").cast("timestamp").alias("captured_at"), text.alias("text"), F.array().cast("array<string>").alias("attachment_urls"), null.alias("metadata_path"), F.lit("{}").alias("metadata_json"))
+    return extract.prepared(extract.extract(events_)).select("c_custkey", F.col("normalized_company").alias("company_form"), F.col("normalized_role").alias("role_form"), "fingerprint")
+
+
+@query("""SELECT page_id, 'T<' || page_id || '>é' AS role, 'Org & Co' AS company, 'a < b' AS description FROM pages""")
+def nested_page_records(spark, sf_dir):
+    """A posting within lists and graphs of each other, with entities that are escaped twice or numeric."""
+    pages = b.table(spark, sf_dir, "pages").select("page_id", "html")
+    record = F.concat(F.lit('<script type="application/ld+json">[{"@type":"Thing"},[{"@graph":[[{"@graph":[{"@type":"JobPosting","title":"T&amp;lt;'), "page_id", F.lit('&#62;&#xE9;","hiringOrganization":{"name":"Org & Co"},"description":"a &amp;lt; b"}]}]]}]]</script>'))
+    page = pg.job_page(F.concat(record, "html"))
+    return pages.select("page_id", page.alias("p")).select("page_id", "p.role", "p.company", "p.description")
