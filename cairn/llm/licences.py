@@ -7,8 +7,8 @@ A multinomial logistic regression gives it a probability for each licence family
 fitted on notices that were left out of training whole, so the probabilities are calibrated for wordings that
 training didn't see. A prediction counts when a family has at least `least` of the probability, the paragraph shares
 enough word pairs with one of that family's templates, and no other family's template is clearly closer. A paragraph
-without any content word of the notices has no feature and is unknown by the model's bias alone, so it is passed over
-at once with the same outcome.
+without any content word of the notices, or without any pair of a template, can't be confirmed, so it is passed over at
+once with the same outcome.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ OTHERS = (
     "All rights of way were reserved by the state.", "She reserved all rights to the seat.", "Human rights are reserved for all people.", "Copyright law protects the author.",
 )
 STOP = set(b"a an and any are as at be but by can for from has have her his if in is it its lies may must no not of on or part see she that the their this to under was were which who with without you every new each all".split())
-#: Runs of letters, and numbers of versions; names such as GPLv3 and CC-BY-4.0 fall into their parts.
-WORD = re.compile(rb"[a-z\x80-\xff]+?(?=v[0-9])|[a-z\x80-\xff]+|[0-9]+(?:\.[0-9]+)*")
+#: Runs of letters, and numbers of versions; names such as CC-BY-4.0 fall into their parts.
+WORD = re.compile(rb"[a-z\x80-\xff]+|[0-9]+(?:\.[0-9]+)*")
 SIMILAR, LEAST = 0.5, 0.5
 #: A family is clearly closer if it holds so much more of a template; left-out parts of the notices for calibration.
 CLOSER, FOLDS = 0.15, 3
@@ -82,6 +82,11 @@ class Model:
     temperature: float
     templates: dict[str, list[set]]
     content: frozenset = field(default_factory=frozenset)
+    every_pair: frozenset = field(default_factory=frozenset)  # of all templates
+
+    def may_name(self, found: list[bytes]) -> bool:
+        """Whether the words hold a content word and a pair of some template: without both, nothing can be confirmed."""
+        return not self.content.isdisjoint(found) and not self.every_pair.isdisjoint(zip(found, found[1:], strict=False) if len(found) > 1 else (tuple(found),))
 
     def probabilities(self, found: list[bytes]) -> np.ndarray:
         at = [i for g in grams(found) if (i := self.index.get(g)) is not None]
@@ -96,7 +101,7 @@ class Model:
 
     def judge(self, found: list[bytes], least: float = LEAST) -> tuple[str, float, float] | None:
         """(family, probability, similarity) if the paragraph names a licence."""
-        if self.content.isdisjoint(found):
+        if not self.may_name(found):
             return None
         p = self.probabilities(found)
         best = int(p.argmax())
@@ -110,10 +115,10 @@ class Model:
         """(lines with a word; the licences with their first line's number among these, from 0)."""
         lines = [None if not line or line.isspace() else line for line in text.split(b"\n")]
         n = sum(line is not None for line in lines)
-        if self.content.isdisjoint(words(text)):
+        if not n or not self.may_name(words(text)):
             return n, []
         hits: list[tuple[int, tuple[str, float, float]]] = []
-        wrapped: list[tuple[int, list[bytes]]] = []  # lines in a row with a content word and without a licence of their own
+        wrapped: list[tuple[int, list[bytes]]] = []  # lines in a row that may be part of a notice and name none by themselves
         number = 0
 
         def unwrap() -> None:
@@ -125,9 +130,9 @@ class Model:
             found = words(line) if line is not None else []
             if hit := self.judge(found, least) if found else None:
                 hits.append((number, hit))
-            if hit or not found:
+            if hit or not self.may_name(found):
                 unwrap()
-            elif wrapped or not self.content.isdisjoint(found):
+            else:
                 wrapped.append((number, found))
             number += line is not None
         unwrap()
@@ -210,7 +215,7 @@ def trained() -> Model:
     temperature = min(np.linspace(0.2, 4, 77), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     templates = {f: [pairs(words(n.encode())) for n in notices] for f, notices in NOTICES.items()}
     content = frozenset(w for g in index for w in g if len(g) == 1)
-    return Model(families, index, weights, bias, float(temperature), templates, content)
+    return Model(families, index, weights, bias, float(temperature), templates, content, frozenset().union(*(t for ts in templates.values() for t in ts)))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
