@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,16 +122,34 @@ def job_addresses(spark, sf_dir):
     return rows.select("event_id", "urls", "canonical", F.col("job.board").alias("board"), F.col("job.id").alias("id"), ul.is_job_url("u").alias("job_url"), ul.observation_key(F.lit("r"), "metadata_path", "text", ul.cell_url(F.get(snapshots.cells("text"), F.lit(3)))).alias("observation_key"))
 
 
-@query("""WITH p AS (SELECT page_id, url FROM pages), hop AS (SELECT page_id, url, page_id % 5 AS k FROM p)
-SELECT page_id, CASE WHEN k = 1 THEN 'https://jobs.example.com/final' WHEN k = 2 THEN NULL WHEN k = 3 THEN NULL ELSE 'https://start.example.com/' || page_id END AS resolved, CASE k WHEN 2 THEN 'missing_location' WHEN 3 THEN 'not_https' END AS error FROM hop""")
+@query("""SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'https://jobs.example.com/final' WHEN 4 THEN 'https://start.example.com/' || page_id WHEN 0 THEN 'https://start.example.com/' || page_id WHEN 5 THEN 'https://hop.example.com/3/' || page_id WHEN 6 THEN NULL END AS resolved,
+  CASE page_id % 7 WHEN 2 THEN 'missing_location' WHEN 3 THEN 'not_https' WHEN 6 THEN 'too_many_redirects' END AS error FROM pages""")
 def redirects(spark, sf_dir):
+    """No redirect, two, one without a location, one to http, none, three, four."""
     start = F.concat(F.lit("https://start.example.com/"), "page_id")
     pages = b.table(spark, sf_dir, "pages").select("page_id", start.alias("url"))
-    k = F.col("page_id") % 5
-    middle = F.concat(F.lit("https://middle.example.com/"), "page_id")
-    first = pages.filter(k.isin(1, 2, 3)).select("url", F.lit(302).alias("status"), F.when(k == 1, middle).when(k == 3, "http://plain.example.com/").alias("location"))
-    second = pages.filter(k == 1).select(middle.alias("url"), F.lit(301), F.lit("https://jobs.example.com/final#top"))
-    return enrich.resolve_redirects(pages, first.union(second)).select("page_id", "resolved", "error")
+    k, middle = F.col("page_id") % 7, F.concat(F.lit("https://middle.example.com/"), "page_id")
+    hop = lambda n: F.concat(F.lit(f"https://hop.example.com/{n}/"), "page_id")
+    steps = [
+        pages.filter(k.isin(1, 2, 3)).select("url", F.lit(302).alias("status"), F.when(k == 1, middle).when(k == 3, "http://plain.example.com/").alias("location")),
+        pages.filter(k == 1).select(middle, F.lit(301), F.lit("https://jobs.example.com/final#top")),
+        pages.filter(k.isin(5, 6)).select("url", F.lit(307), hop(1)),
+        pages.filter(k.isin(5, 6)).select(hop(1), F.lit(308), F.concat(F.lit("/2/"), "page_id")),
+        pages.filter(k.isin(5, 6)).select(hop(2), F.lit(302), hop(3)),
+        pages.filter(k == 6).select(hop(3), F.lit(302), hop(4)),
+    ]
+    return enrich.resolve_redirects(pages, reduce(lambda x, y: x.union(y), steps)).select("page_id", "resolved", "error")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'lever' WHEN 1 THEN 'ashby' WHEN 2 THEN 'greenhouse' WHEN 3 THEN 'workday' WHEN 4 THEN 'rippling' WHEN 5 THEN 'careers.acme.com' END AS board, CASE p_partkey % 8 WHEN 2 THEN p_partkey::VARCHAR WHEN 5 THEN 'id-' || p_partkey WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE 'j' || p_partkey END AS id,
+  p_partkey % 8 <> 7 AS relevant, p_partkey % 8 NOT IN (6, 7) AS fetched FROM part""")
+def board_identities(spark, sf_dir):
+    """The boards' ways to name a job, a job number in a query, an address whose query alone speaks of jobs, and a plain one."""
+    k = F.col("p_partkey")
+    forms = ("https://jobs.lever.co/acme/j%s", "https://jobs.ashbyhq.com/acme/j%s/", "https://boards.greenhouse.io/acme/jobs/%s?utm_source=x", "https://acme.wd5.myworkdayjobs.com/en/External/j%s", "https://ats.rippling.com/acme/jobs/j%s", "https://careers.acme.com/search?gh_jid=id-%s", "https://acme.com/news/%s?next=/apply", "https://acme.com/jobsite/%s")
+    url = F.element_at(F.array(*(F.concat(F.lit(f.split("%s")[0]), k.cast("string"), F.lit(f.split("%s")[1])) for f in forms)), (k % 8 + 1).cast("int"))
+    p = b.table(spark, sf_dir, "part").select("p_partkey", url.alias("u")).withColumn("job", ul.job_identity(ul.canonical("u")))
+    return p.select("p_partkey", "job.board", "job.id", ul.is_job_url("u").alias("relevant"), ul.is_job_url("u", "enrichment").alias("fetched"))
 
 
 # --- pages ---
