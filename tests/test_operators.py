@@ -212,10 +212,19 @@ def test_fuzzy_equals_brute_force(spark):
 
 
 def test_linkage_plans_have_no_nested_loop(spark):
-    rows = [(1, "1", "u", None, None, "f")]
-    keyed = linkage.key_rows(spark.createDataFrame(rows, KEYS), "event_id", "ord")
-    plan = keyed.join(keyed.withColumnRenamed("event_id", "other"), ["tag", "key"])._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    """Joins by key only, in the plans that the operators themselves make, with broadcasts forbidden."""
+    rows = [(i, str(i), f"u{i % 3}", None, None, f"f{i % 2}") for i in range(6)]
+    keys = spark.createDataFrame(rows, KEYS)
+    stored = keys.select(F.concat(F.lit("o"), F.col("event_id")).alias("opportunity_id"), F.lit(1).alias("created_at"), F.current_timestamp().alias("last_seen_at"), F.lit("active").alias("status"), F.lit("Acme").alias("company"), F.lit("Intern").alias("role"), F.lit(2027).alias("year"), *keys.columns[2:])
+    asked = keys.select("*", F.lit("Acme").alias("company"), F.lit("Intern").alias("role"), F.lit(2027).alias("year"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (linkage.link_batch(keys, stored), linkage.match_stored(keys, stored), linkage.fuzzy_matches(asked, stored)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_insert_first_write_wins(spark):
