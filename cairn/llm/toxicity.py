@@ -46,6 +46,8 @@ def chain(token: bytes) -> list[bytes]:
 class LogOdds(Recent):
     """Token -> log-odds of toxic against clean, less the toll."""
 
+    size = 100_000
+
     def __init__(self, counts: dict[bytes, tuple[int, int]], share: float):
         super().__init__()
         self.counts, self.share = counts, share
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = Model({bytes(f): (int(a), int(b)) for f, a, b in zip(table.feature, table.toxic, table.clean, strict=True)}, share)
     held = sample.filter("part = 0").select("text", "label")
     chance_law(model, held.filter("label = 0"))
-    found = sorted((r.label, r.statistic) for r in statistics_of(held, model).collect())  # a fifth of `rows`
+    found = statistics_of(held, model)  # a fifth of `rows`
     y = np.array([float(label > 0) for label, _ in found])
     if y.any() and not y.all():
         model.slope, model.bias = logistic(np.log1p([s for _, s in found]), y)
@@ -200,6 +202,7 @@ def chance_law(model: Model, clean: DataFrame) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["n", "best", "moments"])
 
     found = clean.mapInArrow(work, "n long, best double, moments array<double>").collect()
+    shared.destroy()  # workers drop this copy of the model and its cache
     texts = sorted((r.n, r.best) for r in found if r.n)
     if not texts:
         return
@@ -208,15 +211,17 @@ def chance_law(model: Model, clean: DataFrame) -> None:
     model.scale = math.exp(float(np.mean([model.decay * best - math.log(n) for n, best in texts])) - EULER)
 
 
-def statistics_of(held: DataFrame, model: Model) -> DataFrame:
-    """label, statistic of every text: the same sum over all its passages as a score is made of."""
+def statistics_of(held: DataFrame, model: Model) -> list[tuple[int, float]]:
+    """(label, statistic) of every text, sorted: the same sum over all its passages as a score is made of."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def start():
         model = shared.value
         return lambda texts: [[model.statistic(model.scores(tokens(t))) for t in texts]]
 
-    return map_texts(held, "text", ("label",), T.StructType([T.StructField("statistic", T.DoubleType())]), start)
+    found = map_texts(held, "text", ("label",), T.StructType([T.StructField("statistic", T.DoubleType())]), start).collect()
+    shared.destroy()
+    return sorted((r.label, r.statistic) for r in found)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
