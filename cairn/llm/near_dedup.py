@@ -363,18 +363,19 @@ def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[in
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, without near-duplicates: of each component of similar texts one row stays.
 
-    It is the row of the smallest key (a row without a key only where no row of the component has one), of several such
-    the one whose text and then whose columns together have the smallest hash, so reruns agree. Rows of one key with
-    different texts are different documents; equal rows are copies of each other. An empty table gives an empty result.
+    It is the row of the smallest key, of several such the one whose text and then whose columns together have the
+    smallest hash, so reruns agree. Rows of one key with different texts are different documents; equal rows are copies
+    of each other. Rows without a key can't be told apart by it; all stay. An empty table gives an empty result.
     """
     plain = lambda f: F.col(quoted(f.name)) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(quoted(f.name)))
     hashes = {"__of_text": F.xxhash64(quoted(text)), "__of_row": F.xxhash64(*map(plain, docs.schema))}
     _, at, back = set_apart(docs)
     inner = docs.select(*(F.col(quoted(c)).alias(n) for c, n in at.items()), *(c.alias(n) for n, c in hashes.items()))
-    found = linked_texts(inner.select(F.col(at[key]).alias("__key"), F.col(at[text]).alias("__t"), *hashes), **options)
-    first = found.filter(F.col("__key").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(*hashes)).alias("first"))
-    kept = inner.join(first.select("first.*"), list(hashes), "left_semi").dropDuplicates(list(hashes))
-    return kept.select(*back)
+    named = inner.filter(F.col(at[key]).isNotNull())
+    found = linked_texts(named.select(F.col(at[key]).alias("__key"), F.col(at[text]).alias("__t"), *hashes), **options)
+    first = found.filter(F.col("__key") == F.col("component_id")).groupBy("root").agg(F.min(F.struct(*hashes)).alias("first"))
+    kept = named.join(first.select("first.*"), list(hashes), "left_semi").dropDuplicates(list(hashes))
+    return kept.unionByName(inner.filter(F.col(at[key]).isNull())).select(*back)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
