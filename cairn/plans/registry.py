@@ -624,14 +624,13 @@ def file_cursors(spark, sf_dir):
 SELECT 'orders/' || l_orderkey || '.md' AS path, row_index, CASE l_orderkey % 3 WHEN 0 THEN company ELSE role END AS company, CASE WHEN l_orderkey % 3 = 0 THEN 'markdown_table_v1' ELSE 'swapped_v1' END AS parser FROM numbered WHERE l_orderkey % 3 < 2""")
 def rows_by_parser(spark, sf_dir):
     """Files that name their parser and its options: a second one has company and role the other way round; a third is unknown."""
-    if "swapped_v1" not in snapshots.PARSERS:
-        snapshots.register_parser("swapped_v1", lambda snaps, files: snapshots.parse_tables(snaps, files.withColumns({"company_column": F.lit(1), "role_column": F.lit(0)})))
+    known = snapshots.PARSERS | {"swapped_v1": lambda snaps, files: snapshots.parse_tables(snaps, files.withColumns({"company_column": F.lit(1), "role_column": F.lit(0)}))}
     rows = b.opportunity_rows(spark, sf_dir)
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "event_id")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.regexp_replace("text", f"[{tx.NO_SPONSOR}{tx.LOCKED}]|{tx.CITIZENS}", "").alias("line")))), lambda r: r["line"]), "\n")  # an order's few lines
     snaps = rows.groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.lit(1).alias("source_id"), F.concat(F.lit("orders/"), "l_orderkey", F.lit(".md")).alias("path"), F.lit(0).alias("captured_at"), F.concat(F.lit("| A | B | C | D | E |\n| --- | --- | --- | --- | --- |\n"), "lines").alias("content"))
     files = snaps.select("source_id", "path", F.element_at(F.array(F.lit("markdown_table_v1"), F.lit("swapped_v1"), F.lit("gone_v9")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("parser"), F.lit("-").alias("inherit_marker"))
-    return snapshots.parse_files(snaps.drop("l_orderkey"), files).select("path", "row_index", F.regexp_replace(F.trim("company"), r"\s+", " ").alias("company"), "parser")
+    return snapshots.parse_files(snaps.drop("l_orderkey"), files, known).select("path", "row_index", F.regexp_replace(F.trim("company"), r"\s+", " ").alias("company"), "parser")
 
 
 @query("SELECT s_suppkey AS source_id, CASE s_suppkey % 3 WHEN 0 THEN ['a'] ELSE ['a', 'b'] END AS files FROM supplier WHERE s_nationkey % 2 = 0 AND s_suppkey % 4 <> 1")

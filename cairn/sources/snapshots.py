@@ -105,12 +105,14 @@ def parsers() -> list[str]:
 register_parser("markdown_table_v1", parse_tables)
 
 
-def parse_files(snapshots: DataFrame, files: DataFrame) -> DataFrame:
+def parse_files(snapshots: DataFrame, files: DataFrame, known: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] | None = None) -> DataFrame:
     """The rows of all snapshots, each by the parser that its file names (files: source_id, path, parser and options; null or
-    no entry: the default), with `parser`. Files that name an unknown parser have no rows; see `unknown_parsers`."""
+    no entry: the default), with `parser`. known: parsers by id, else all registered ones. Files that name an unknown parser
+    have no rows; see `unknown_parsers`."""
+    known = PARSERS if known is None else known
     named = snapshots.join(files.select("source_id", "path", "parser"), ["source_id", "path"], "left").withColumn("parser", F.coalesce("parser", F.lit(DEFAULT_PARSER)))
     options = files.drop("parser")
-    made = [PARSERS[n](named.filter(F.col("parser") == n).drop("parser"), options).withColumn("parser", F.lit(n)) for n in parsers()]
+    made = [known[n](named.filter(F.col("parser") == n).drop("parser"), options).withColumn("parser", F.lit(n)) for n in sorted(known)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
 
