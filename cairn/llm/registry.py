@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import html_text, licences, mixing, near_dedup, neighbours, packing, quality, token_count, toxicity, url_filter
+from . import exact_dedup, html_text, licences, mixing, near_dedup, neighbours, packing, quality, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1,
@@ -17,7 +17,8 @@ QUERIES = {
     "op8_link_trust": url_filter.op8,
     "op9_segment_toxicity": toxicity.op9,
     "op10_licence_paragraphs": licences.op10,
+    "op13_block_naming": exact_dedup.op13,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_link_trust": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_link_trust": url_filter.SQL, "op13_block_naming": exact_dedup.SQL}

@@ -1,24 +1,28 @@
-"""The corpus registry: names, and the SQL twin of the URL filter."""
+"""The corpus registry: names, and the SQL twins."""
 
 import glob
 import os
 import re
 
 import duckdb
+import pytest
 
-from cairn.llm import registry, url_filter
+from cairn.llm import registry
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(m[1]) for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
-def test_url_filter_equals_its_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_its_sql(spark, small, name):
     connection = duckdb.connect()
     for path in glob.glob(f"{small}/*.parquet"):
         connection.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    relation = connection.sql(url_filter.SQL)
-    columns = ["page_id", "host", "path", "rule", "verdict"]
+    relation = connection.sql(registry.ORACLE_SQL[name])
+    frame = registry.QUERIES[name](spark, small)
+    columns = sorted(relation.columns)
+    assert sorted(frame.columns) == columns
     at = [relation.columns.index(c) for c in columns]
-    assert sorted(tuple(map(str, r)) for r in url_filter.op8(spark, small).select(*columns).collect()) == sorted(tuple(str(r[i]) for i in at) for r in relation.fetchall())
+    assert sorted(tuple(map(str, r)) for r in frame.select(*columns).collect()) == sorted(tuple(str(r[i]) for i in at) for r in relation.fetchall())
