@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, html_text, licences, mixing, near_dedup, neighbours, packing, quality, token_count, toxicity, url_filter, whitening
+from . import alignment, exact_dedup, html_text, licences, mixing, near_dedup, neighbours, packing, quality, token_count, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_link_trust": url_filter.op8,
     "op9_segment_toxicity": toxicity.op9,
     "op10_licence_paragraphs": licences.op10,
+    "op11_perfect_hash_alignment": alignment.op11,
     "op12_qdwh_whitening": whitening.op12,
     "op13_block_naming": exact_dedup.op13,
     "pipeline": corpus_pipeline.run,

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.staging import checkpointed as cut_lineage
 from ..operators.staging import quoted, shared_folder
 
-__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "word_count"]
+__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "tree_sum", "word_count"]
 
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,6 +82,23 @@ def by_share(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int
     return warm.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
 
 
+def tree_sum(parts: DataFrame, fan: int = 32) -> dict[int, list]:
+    """at -> the element-wise sum of the arrays `values` over all rows of this `at`. parts: part (of a task), at, values.
+
+    A task adds at most `fan` arrays up at a time, in the order of their parts. The sums reach the driver: the caller
+    bounds how many numbers they hold.
+    """
+    parts = cut_lineage(parts)
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    add = lambda x, y: F.zip_with(x, y["values"], lambda a, b: a + b)
+    while True:
+        listed = parts.groupBy(F.expr(f"part div {fan}").alias("part"), "at").agg(F.array_sort(F.collect_list(F.struct("part", "values"))).alias("all"))
+        parts = listed.select("part", "at", F.aggregate(F.slice("all", 2, fan), F.col("all")[0]["values"], add).alias("values"))
+        left = -(-left // fan)
+        if left == 1:
+            return {r.at: r["values"] for r in parts.collect()}
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null, in JVM code: a word starts where no other character of a word precedes."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut_lineage, quoted, read, small_batches
+from .shared import quoted, read, small_batches, tree_sum
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 32
-#: Partial sums that one task adds up; rows that are centred together; integers beyond this are no exact doubles.
-FAN, ROWS, EXACT = 32, 4096, 1 << 53
+#: Rows that are centred together; integers beyond this are no exact doubles.
+ROWS, EXACT = 4096, 1 << 53
 EPS = float(np.finfo(float).eps)
 
 
@@ -109,22 +109,6 @@ def components_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- sums over all rows ---
 
 
-def tree_sum(parts: DataFrame, fan: int = FAN) -> dict[int, list]:
-    """at -> the element-wise sum of the arrays `values` over all rows of this `at`. parts: part (of a task), at, values.
-
-    A task adds at most `fan` arrays up at a time, in the order of their parts.
-    """
-    parts = cut_lineage(parts)
-    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
-    add = lambda x, y: F.zip_with(x, y["values"], lambda a, b: a + b)
-    while True:
-        listed = parts.groupBy(F.expr(f"part div {fan}").alias("part"), "at").agg(F.array_sort(F.collect_list(F.struct("part", "values"))).alias("all"))
-        parts = listed.select("part", "at", F.aggregate(F.slice("all", 2, fan), F.col("all")[0]["values"], add).alias("values"))
-        left = -(-left // fan)
-        if left == 1:
-            return {r.at: r["values"] for r in parts.collect()}  # at most d + 1 arrays of at most 2 * d numbers
-
-
 def rows_of(batch: pa.RecordBatch, d: int) -> tuple[pa.RecordBatch, np.ndarray]:
     """(the rows whose vector takes part, without it; their x)."""
     column = batch.column(batch.num_columns - 1)
