@@ -200,7 +200,7 @@ class Places:
             n += int(ones.sum())
         keys = np.concatenate([s[1] for s in shards]) if shards else np.zeros(0, np.uint64)
         self.keys = np.zeros(n, np.uint64)
-        self.keys[self.unverified(keys)] = keys
+        self.keys[known(self.unverified(keys))] = keys
 
     def unverified(self, keys: np.ndarray) -> np.ndarray:
         place, open_ = np.full(len(keys), -1), np.arange(len(keys))
@@ -218,10 +218,17 @@ class Places:
         return place
 
     def of(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' places; -1 for a key that isn't one of the pairs."""
+        if not self.keys.size:
+            return np.full(len(keys), -1)
         place = self.unverified(keys)
-        if (place < 0).any() or (self.keys[place] != keys).any():
-            raise RuntimeError("a pair that the first pass didn't see: the documents changed meanwhile")
-        return place
+        return np.where(self.keys[place] == keys, place, -1)
+
+
+def known(place: np.ndarray) -> np.ndarray:
+    if (place < 0).any():
+        raise RuntimeError("a pair that the first pass didn't see: the documents changed meanwhile")
+    return place
 
 
 def perfect_hash(pairs: DataFrame, n: int) -> Places:
@@ -283,7 +290,7 @@ def dense_counts(partial: DataFrame, places: Places) -> np.ndarray:
         dense = np.zeros(BLOCK * -(-n // BLOCK), np.int64)
         for batch in stream:
             pairs, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            np.add.at(dense, shared.value.of(pairs.view(np.uint64)), counts)
+            np.add.at(dense, known(shared.value.of(pairs.view(np.uint64))), counts)
         part = TaskContext.get().partitionId()
         for at in range(0, n, BLOCK):
             block = dense[at : at + BLOCK]
@@ -313,34 +320,35 @@ def looked_up(docs: DataFrame, text: str, keep: tuple[str, ...], shared, places:
     first = (places.keys >> np.uint64(32)).astype(np.int64)
     highest = np.zeros(int(first.max(initial=0)) + 1, np.int64)
     np.maximum.at(highest, first, counts)
-    known = docs.sparkSession.sparkContext.broadcast((places, smallest(counts), counts == highest[first]))
+    # One entry more, for pairs of documents that have no tokens because of another segment.
+    tables = docs.sparkSession.sparkContext.broadcast((places, smallest(np.append(counts, 0)), np.append(counts == highest[first], False)))
 
     def start():
-        places, counts, best = known.value
+        places, counts, best = tables.value
 
         def value(aligned: list[tuple]) -> list[tuple]:
-            pairs = np.array([p for a in aligned if a for p in a[4]], np.uint64)
-            place = places.of(pairs)
-            n, top = np.concatenate([[0], np.cumsum(counts[place], dtype=np.int64)]), np.concatenate([[0], np.cumsum(best[place])])
+            place = places.of(np.array([p for a in aligned if a for p in a[4]], np.uint64))
+            upto = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (best[place], counts[place], place < 0)]
             made, at = [], 0
             for a in aligned:
-                if a:
-                    end = at + len(a[4])
-                    made.append((*a[:3], len(a[4]), int(top[end] - top[at]), int(n[end] - n[at]), a[3]))
-                    at = end
-                else:
-                    made.append(())
+                end = at + len(a[4]) if a else at
+                made.append(a and (*a[:3], len(a[4]), *(int(x[end] - x[at]) for x in upto), a[3]))
+                at = end
             return made
 
         of = per_document(shared.value, value)
 
         def work(texts: list[bytes | None]):
-            rows = [[*map(sum, list(zip(*values, strict=True))[:6]), digest(values, 6)] if values else [0] * 6 + [""] for values in of(texts)]
+            rows = []
+            for values in of(texts):
+                *sums, unknown = map(sum, list(zip(*values, strict=True))[:7]) if values else [0] * 7
+                known(np.array([-unknown]))
+                rows.append([*sums, digest(values, 7)])
             return list(zip(*rows, strict=True))
 
         return work
 
-    return map_texts(docs, text, keep, RESULTS, start, PART)
+    return map_texts(docs, text, keep, RESULTS, start, PART, raw=True)
 
 
 def joined(docs: DataFrame, text: str, keep: tuple[str, ...], shared, partial: DataFrame) -> DataFrame:
@@ -361,7 +369,7 @@ def joined(docs: DataFrame, text: str, keep: tuple[str, ...], shared, partial: D
 
     names = {c: f"__keep_{i}" for i, c in enumerate(dict.fromkeys(keep)) if c not in RESULTS.names}
     source = docs.select(F.col(quoted(text)).alias("__text"), *(F.col(quoted(c)).alias(n) for c, n in names.items()))
-    rows = cut_lineage(map_texts(source, "__text", tuple(names.values()), struct, start, PART).withColumn("__row", F.monotonically_increasing_id()))
+    rows = cut_lineage(map_texts(source, "__text", tuple(names.values()), struct, start, PART, raw=True).withColumn("__row", F.monotonically_increasing_id()))
     counts = cut_lineage(partial.groupBy("pair").agg(F.sum("n").alias("count")))
     highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("highest"))
     facts = counts.join(highest, F.shiftright("pair", 32) == F.col("a")).select("pair", "count", F.col("count").alias("documents"), (F.col("count") == F.col("highest")).alias("best"))

@@ -92,5 +92,6 @@ def test_perfect_hash_is_minimal_and_verified(spark, monkeypatch):
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 9000))
     places = alignment.perfect_hash(spark.createDataFrame([(int(k),) for k in keys], "pair long"), len(keys))
     assert sorted(places.of(keys.view(np.uint64)).tolist()) == list(range(len(keys)))
+    assert places.of(np.array([12345], np.uint64)).tolist() == [-1]
     with pytest.raises(RuntimeError, match="changed"):
-        places.of(np.array([12345], np.uint64))
+        alignment.known(places.of(np.array([12345], np.uint64)))
