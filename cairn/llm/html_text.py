@@ -279,7 +279,7 @@ def main_texts(sources: list[str], trees: boosting.Trees) -> list[str]:
 def extract(pages: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url"), trees: boosting.Trees | None = None) -> DataFrame:
     """`keep` and text (the main text, empty if none) for every row.
 
-    Null and empty html have an empty text. Repeated rows are extracted each; an empty table gives an empty result;
+    Null and empty html have an empty text; bytes that aren't UTF-8 count as U+FFFD. Repeated rows are extracted each; an empty table gives an empty result;
     a kept column named text gives way to the result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees or trained())

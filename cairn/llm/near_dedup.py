@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     def start():
         return lambda texts: [[simhash(t, shingle) for t in texts]]
 
-    return map_texts(docs, text, keep, T.StructType([T.StructField("fp", T.LongType())]), start)
+    return map_texts(docs, text, keep, T.StructType([T.StructField("fp", T.LongType())]), start, raw=True)
 
 
 def hex_digits(fp: str):
@@ -331,7 +331,7 @@ def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[in
 
         return work
 
-    marked = cut_lineage(map_texts(source, "__t", tuple(c for c in source.columns if c != "__t"), T.StructType([T.StructField("sig", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long))]), start))
+    marked = cut_lineage(map_texts(source, "__t", tuple(c for c in source.columns if c != "__t"), T.StructType([T.StructField("sig", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long))]), start, raw=True))
     distinct = cut_lineage(marked.groupBy("sig").agg(F.min("__key").alias("low"), F.min("__h").alias("one"), F.count("*").alias("rows")))
     rows = marked.select("sig", "n", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least < most").select("b")
@@ -350,7 +350,7 @@ def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[in
 
     # One row of each set is read again; equal rows bring it several times.
     wanted = distinct.join(members.select("sig").distinct(), "sig").select(F.col("one").alias("__h")).distinct()
-    sets = map_texts(source.select("__h", "__t").join(wanted, "__h", "left_semi"), "__t", ("__h",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again)
+    sets = map_texts(source.select("__h", "__t").join(wanted, "__h", "left_semi"), "__t", ("__h",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again, raw=True)
     # Chunk i meets chunk j in the group i * chunks + j with i < j, which holds the rows of both.
     own, chunks, zero = F.pmod(F.xxhash64("sig"), F.col("chunks")), F.col("chunks"), F.lit(0).cast("long")
     groups = F.when(chunks == 1, F.array(zero)).otherwise(F.transform(F.filter(F.sequence(zero, chunks - 1), lambda o: o != F.col("own")), lambda o: F.least(o, F.col("own")) * chunks + F.greatest(o, F.col("own"))))

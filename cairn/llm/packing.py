@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .pretokens import Pieces, is_plain, load
-from .shared import read, slices, small_batches
+from .shared import quoted, read, slices, small_batches, utf8
 from .token_count import tokenizer_file
 
 SEQUENCE, END = 4096, 2
@@ -165,13 +165,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
 
     tokenizer: path of a definition for the tokenizers library whose pre-tokenizer drops white space. `end` is put
     after each document. A null text counts as empty (just `end`; without `end` an empty document has no piece). Null
-    and repeated keys keep their rows. An empty table gives an empty result. Other columns are ignored.
+    and repeated keys keep their rows. Bytes that aren't UTF-8 count as U+FFFD. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    source = docs.select(F.col(quoted(key)).alias("key"), utf8(text).alias("text"))
     whole = [T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType([source.schema["key"], *whole, T.StructField("ids", T.BinaryType())])
 

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.staging import checkpointed as cut_lineage
 from ..operators.staging import quoted, shared_folder
 
-__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "tree_sum", "word_count"]
+__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "tree_sum", "utf8", "word_count"]
 
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,8 +33,13 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
-def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.StructType, start: Callable[[], Callable[[list[bytes | None]], Iterable[Sequence]]], size: int = 4 << 20) -> DataFrame:
-    """Adds `results` to the columns `keep`, computed from Arrow batches of UTF-8 texts.
+def utf8(text: str) -> Column:
+    """The bytes of a text column; what isn't UTF-8 in them is replaced by U+FFFD, one for each broken sequence."""
+    return F.make_valid_utf8(F.col(quoted(text)).cast("string")).cast("binary")
+
+
+def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.StructType, start: Callable[[], Callable[[list[bytes | None]], Iterable[Sequence]]], size: int = 4 << 20, raw: bool = False) -> DataFrame:
+    """Adds `results` to the columns `keep`, computed from Arrow batches of UTF-8 texts; `raw` leaves broken bytes as they are.
 
     `start()` runs once in each task and returns a function from a batch's texts (of about `size` bytes together, or a
     single longer one) to one sequence per result column.
@@ -42,7 +47,8 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
     """
     small_batches(frame.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in results.names]
-    source = frame.select(*map(quoted, keep), F.col(quoted(text)).cast("binary").alias("__text"))
+    names = [f"__kept_{i}" for i in range(len(keep))]  # a map over batches takes no names with dots
+    source = frame.select(*(F.col(quoted(c)).alias(n) for c, n in zip(keep, names, strict=True)), (F.col(quoted(text)).cast("binary") if raw else utf8(text)).alias("__text"))
     types = [to_arrow_type(field.dataType) for field in results]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,10 +57,11 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
             for part in slices(batch, size):  # however many rows Spark put into the batch
                 columns = work(part.column(part.num_columns - 1).to_pylist())
                 made = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *results.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*names, *results.names])
 
-    schema = T.StructType([*(frame.schema[c] for c in keep), *results])
-    return source.mapInArrow(batches, schema)
+    schema = T.StructType([*(source.schema[n] for n in names), *results])
+    made = source.mapInArrow(batches, schema)
+    return made.select(*(F.col(n).alias(c, metadata=frame.schema[c].metadata) for n, c in zip(names, keep, strict=True)), *results.names)
 
 
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -128,7 +135,7 @@ class Recent(dict):
 
 
 def crc32_of_id(key: str) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary"))
+    return F.crc32(F.col(quoted(key)).cast("string").cast("binary"))
 
 
 def bounded_share(total: int, bound: int, key: Column, seed: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Pieces, is_plain, load
-from .shared import map_texts, read
+from .shared import map_texts, read, utf8
 
 #: Words of the broadcast table (each with and without a space before it), rows that they are taken from, words that a
 #: task hands on, the longest word in the table, and bytes of text whose pre-tokens are looked up together.
@@ -115,7 +115,7 @@ def frequent_words(docs: DataFrame, text: str, rows: int = SAMPLE) -> list[str]:
         top = [(w.decode(), n) for w, n in total.most_common(SUMMARY) if len(w) < LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    drawn = docs.select(F.col(text).cast("binary").alias("t")).sample(min(1.0, rows / max(1, docs.count())), seed=42)
+    drawn = docs.select(utf8(text).alias("t")).sample(min(1.0, rows / max(1, docs.count())), seed=42)
     total: Counter = Counter()
     for r in drawn.mapInArrow(summaries, "word string, n long").collect():  # at most about rows * SUMMARY words
         total[r.word] += r.n
@@ -125,7 +125,7 @@ def frequent_words(docs: DataFrame, text: str, rows: int = SAMPLE) -> list[str]:
 def token_counts(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_bytes and n_tokens of every row. tokenizer: path of a byte-level BPE definition for the tokenizers library.
 
-    A null text counts as empty: 0 bytes and 0 tokens. Repeated rows are counted each; an empty table gives an empty
+    A null text counts as empty: 0 bytes and 0 tokens. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows are counted each; an empty table gives an empty
     result. Kept columns named n_bytes or n_tokens give way to the results.
     """
     spark: SparkSession = docs.sparkSession

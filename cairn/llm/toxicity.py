@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Recent, bounded_share, crc32_of_id, cut_lineage, map_texts, quoted, read, set_apart
+from .shared import Recent, bounded_share, crc32_of_id, cut_lineage, map_texts, quoted, read, set_apart, utf8
 
 #: The labelled rows that the fit takes, at most about so many; a fifth of them calibrates.
 TRAINING_ROWS = 20_000
@@ -161,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Rows with a null key, label or text teach nothing; of repeated keys the larger label and the smallest text count.
     Without both classes the model knows no toxic token and scores every text alike.
     """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
+    known = labels.filter(F.col(quoted(key)).isNotNull() & F.col(quoted(label)).isNotNull()).groupBy(F.col(quoted(key)).alias("key")).agg(F.max((F.col(quoted(label)) > 0).cast("int")).alias("label"))
     chosen = known.filter(bounded_share(known.count(), rows, F.col("key"), "toxicity")).withColumn("part", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("part")), F.lit(5)))
-    source = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("binary").alias("text")).filter("text IS NOT NULL")
+    source = docs.select(F.col(quoted(key)).alias("key"), utf8(text).alias("text")).filter("text IS NOT NULL")
     joined = source.join(F.broadcast(chosen), "key")  # `chosen` has at most about `rows` rows
     sample = cut_lineage(joined.groupBy("key", "label", "part").agg(F.min("text").alias("text")))
     counted = feature_counts(sample.filter("part > 0"))
@@ -227,7 +227,7 @@ def statistics_of(held: DataFrame, model: Model) -> list[tuple[int, float]]:
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, toxicity (0 to 1) and passages (array of start token, end token, normalised score) for every row.
 
-    The whole text is scanned. Null and empty texts have no passage and the probability of that. Repeated rows are
+    The whole text is scanned. Null and empty texts have no passage and the probability of that; bytes that aren't UTF-8 count as U+FFFD. Repeated rows are
     scored each; an empty table gives an empty result; kept columns of the results' names give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
