@@ -255,28 +255,31 @@ def test_quality_keeps_trusted_text_and_rejects_noise(spark):
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_quality_model_and_scores_equal_brute_force(spark):
-    """Raw counts over all texts, target counts over all trusted texts outside the fold, the ratio and every score; also with more buckets."""
+def test_scores_do_not_depend_on_the_number_of_rows(spark):
+    """Rows without a text change neither the model nor a verdict; the number of buckets is a parameter alone."""
+    docs = frame(spark, random_texts(40, 3))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    more = docs.unionByName(spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("c").alias("fp"), F.lit(1.0).alias("n_tokens")))
+    one, two = quality.fit(docs, labels), quality.fit(more, labels)
+    assert one.bits == two.bits == quality.BITS and np.array_equal(one.ratio, two.ratio) and one.threshold == two.threshold
+
+
+def test_quality_model_and_scores_equal_brute_force(spark, monkeypatch):
+    """Raw counts over all texts, target counts over all trusted texts outside the fold, the ratio and every score; with trusted keys broadcast and shuffled."""
     texts = [*random_texts(60, 9), None, "", "lone"]
     docs = frame(spark, texts).repartition(4)
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60)] + [(7, 0), (None, 1), (1000, 1)], "doc_id long, quality int")
     quality_of = {i: int(i % 3 > 0) for i in range(60)} | {7: 0}
     held = {r.doc_id for r in labels.dropna().select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(5)) == 0).alias("h")).filter("h").collect()}
-    for bits in (16, 20):
-        model = quality.fit(docs, labels) if bits == 16 else None
-        if model is None:
-            whole = quality.LEAST_BITS
-            try:
-                quality.LEAST_BITS = bits
-                model = quality.fit(docs, labels)
-            finally:
-                quality.LEAST_BITS = whole
+    for bits, shuffled in ((16, False), (20, True)):
+        monkeypatch.setattr(quality, "BROADCAST_KEYS", -1 if shuffled else 1 << 21)
+        model = quality.fit(docs, labels, bits=bits)
         raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
         for i, t in enumerate(texts):
             np.add.at(raw, quality.buckets((t or "").encode(), bits), 1)
             if quality_of.get(i) and i not in held:
                 np.add.at(target, quality.buckets((t or "").encode(), bits), 1)
-        prior, weight = (raw + 0.5) / (raw + 0.5).sum(), 64 * 2 ** (bits / 2)
+        prior, weight = (raw + 0.5) / (raw + 0.5).sum(), quality.PRIOR
         ratio = np.log((target + weight * prior) / (target.sum() + weight)) - np.log(prior)
         assert model.bits == bits and np.allclose(model.ratio, ratio, atol=1e-6)
         got = {r.doc_id: (r.quality, r.kept, r.base_failed) for r in quality.judge(docs, model).collect()}
@@ -287,10 +290,6 @@ def test_quality_model_and_scores_equal_brute_force(spark):
             assert got[i][1] == (not got[i][2] and got[i][0] >= model.threshold)
 
 
-def test_quality_buckets_grow_with_the_corpus():
-    assert [quality.bits_for(n) for n in (0, 200_000, 12_000_000, 10**12)] == [16, 16, 22, 22]
-
-
 def test_threshold_is_the_cheapest():
     scores, trusted = np.array([0.1, 0.2, 0.3, 0.4, 0.4, 0.6]), np.array([False, False, True, False, True, True])
     cut = quality.best_threshold(scores, trusted)
