@@ -2,14 +2,16 @@
 
 The documents of a source queue in a shuffled order that depends on their content alone, once for each of the `repeats`
 allowed. A word's virtual finish time is the source's words up to and including it, divided by the source's weight; a
-copy's is that of its last word. The queue is range-sorted by finish time over the whole cluster, prefix sums of the
-partitions tell in which one the budget is spent, and there it is truncated. A source that has run dry has no copies
-left, so its part goes to the others. A long copy would overshoot the cut, so copies queue in slices of at most QUANTUM
-words, and what is being served around the cut (a few slices a source) queues once more word by word: the words taken
-are those of a queue that serves single words.
+copy's is that of its last word. The queue of copies is range-sorted by finish time over the whole cluster, prefix sums
+of the partitions tell in which one the budget is spent, and there it is truncated. A source that has run dry has no
+copies left, so its part goes to the others. Whole copies miss the cut by less than one copy a source, so what is being
+served around it queues once more in slices of a 64th, these again, and at last word by word: the words taken are those
+of a queue that serves single words.
 
 Running totals are distributed: a source is dealt into buckets by the shuffle's hash, each bucket's total is summed up
-first, and a window adds up within one bucket only. So a source that holds most of the rows is many tasks' work.
+first, and a window adds up within one bucket only. Equal rows have one hash; where they are more than a SHARE-th of all
+rows they are numbered by the tasks that hold them, so that a source or a text that fills most of the rows is many
+tasks' work.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from .shared import WORD, cut_lineage, quoted, read, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, REPEATS = 1.5, 2
-#: Words of a slice; rows of one window, and slices of one range partition, on average.
-QUANTUM = 64
-BUCKET_ROWS, RANGE_ROWS = 5_000, 200_000
+#: Slices of a copy, or of a slice, that is being served at the cut; rows of one window, and entries of one range
+#: partition, on average (some 20,000 partitions for the 2e10 documents of 1e13 words).
+SLICES = 64
+BUCKET_ROWS, RANGE_ROWS = 5_000, 2_000_000
+#: Equal rows that are more than a SHARE-th of all are split; of such groups there are fewer than SHARE.
+SHARE = 1000
 
 
 def ranked_sources(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -62,8 +67,8 @@ def virtual_now(sources: DataFrame, budget: float, repeats: int) -> float:
 def named(docs: DataFrame, carry: F.Column, text: str, source: str) -> DataFrame:
     """`carry`, the source, its name without nulls (so that windows and joins share a partitioning), size, and the shuffle's hash of the row."""
     plain = [quoted(c) for c in docs.columns if isinstance(docs.schema[c].dataType, (T.StringType, T.IntegralType))]
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    return docs.select(carry.alias("row"), F.col(source).alias("source"), name.alias("name"), word_count(F.col(text)).alias("size"), F.xxhash64(*plain).alias("shuffle"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(quoted(source)).cast("string")), F.lit(""))
+    return docs.select(carry.alias("row"), F.col(quoted(source)).alias("source"), name.alias("name"), word_count(F.col(quoted(text))).alias("size"), F.xxhash64(*plain).alias("shuffle"))
 
 
 def ranged(entries: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
@@ -88,53 +93,98 @@ def time_of(ordered: DataFrame, sums: DataFrame, due: int) -> float | None:
     return None if found is None else found[0].filter(F.col("before") + F.col("words") >= due).agg(F.min("finish")).first()[0]
 
 
-def served_words(slices: DataFrame, due: int, sources: int, quantum: int, parts: int) -> DataFrame:
+def served_words(entries: DataFrame, due: int, sources: int) -> DataFrame:
     """name, served: the words of each source among the first `due` words of the queue.
 
-    slices: name, rank, weight, start (the source's words before) and words. Words of equal finish times are served in
+    entries: name, rank, weight, start (the source's words before) and words. Words of equal finish times are served in
     the order of the sources' ranks.
     """
     finish = lambda at: (F.col("start") + at) / F.col("weight")
-    ordered, sums = ranged(slices.withColumn("finish", finish(F.col("words"))), parts)
-    # Whole slices fall short of the words by less than a slice a source, so the cut lies between these times.
-    low, high = time_of(ordered, sums, due - quantum * sources), time_of(ordered, sums, due)
     total = lambda frame: frame.groupBy("name").agg(F.sum("words").alias("served"))
-    if high is None:  # all words are due, or none
-        return total(ordered if due > 0 else ordered.limit(0))
-    early = F.col("finish") < F.lit(-1.0 if low is None else low)
-    whole = cut_lineage(total(ordered.filter(early)))
-    left = due - (whole.agg(F.sum("served")).first()[0] or 0)
-    around = ordered.filter(~early & (finish(1) <= high)).select("name", "rank", "weight", "start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("words"))).alias("at"))
-    words, word_sums = ranged(around.select("name", "rank", finish(F.col("at")).alias("finish"), F.lit(1).cast("long").alias("words")), max(1, -(-4 * quantum * sources // RANGE_ROWS)))
-    last, part = within(words, word_sums, left)
-    first = words.filter(F.col("part") < part).select("name", "words").union(last.filter(F.col("before") < left).select("name", "words"))
-    return whole.union(total(first)).groupBy("name").agg(F.sum("served").alias("served"))
-
-
-def queue(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, quantum: int = QUANTUM) -> DataFrame:
+    served = []
+    while True:
+        entries = cut_lineage(entries)
+        rows, longest = entries.agg(F.count("*"), F.max("words")).first()
+        ordered, sums = ranged(entries.withColumn("finish", finish(F.col("words"))), max(1, -(-rows // RANGE_ROWS)))
+        if not rows or due <= 0:
+            break
+        high = time_of(ordered, sums, due)
+        if high is None:  # all words are due
+            served.append(total(ordered))
+            break
+        if longest == 1:
+            last, part = within(ordered, sums, due)
+            served.append(total(ordered.filter(F.col("part") < part).select("name", "words").union(last.filter(F.col("before") < due).select("name", "words"))))
+            break
+        # Whole entries fall short of the words by less than one a source, so the cut lies between these times.
+        low = time_of(ordered, sums, due - longest * sources)
+        early = F.col("finish") < F.lit(-1.0 if low is None else low)
+        whole = cut_lineage(total(ordered.filter(early)))
+        served.append(whole)
+        due -= whole.agg(F.sum("served")).first()[0] or 0
+        step = max(1, longest // SLICES)
+        starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1, F.lit(step).cast("long")))
+        cut = ordered.filter(~early & (finish(1) <= high)).select("name", "rank", "weight", "start", "words", starts.alias("at"))
+        entries = cut.select("name", "rank", "weight", (F.col("start") + F.col("at")).alias("start"), F.least(F.lit(step), F.col("words") - F.col("at")).alias("words"))
+    if not served:
+        return total(entries.limit(0))
+    every = served[0]
+    for more in served[1:]:
+        every = every.union(more)
+    return every.groupBy("name").agg(F.sum("served").alias("served"))
+
+
+GROUP = ["name", "shuffle", "size"]
+
+
+def numbered(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of the hot groups with `number`, which counts the equal rows of each from 0.
+
+    A task numbers its own rows, from where the tasks before it end: no window holds a group.
+    """
+    held = cut_lineage(rows.join(F.broadcast(hot), GROUP).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a task
+    parts = held.groupBy(*GROUP, "part").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    own = Window.partitionBy(*GROUP, "part").orderBy(F.lit(1))
+    return held.join(parts, [*GROUP, "part"]).withColumn("number", F.row_number().over(own) - 1 + F.col("ahead")).drop("part", "ahead")
+
+
+def queue(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """rows (as `named` gives them) with source_size, weight, target, served (words that the mix takes of the source) and
     before: the source's words ahead of the row's first copy."""
     sizes = cut_lineage(rows.select("source", "name", "size", "shuffle"))
     sources = ranked_sources(sizes, weights)
     now = virtual_now(sources, budget, repeats)
     total = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    bucket = F.pmod(F.col("shuffle"), F.lit(max(1, -(-total.rows // BUCKET_ROWS))))
+    hot = cut_lineage(sizes.groupBy(*GROUP).count().filter(F.col("count") > max(BUCKET_ROWS // 10, total.rows // SHARE)).select(*GROUP))
+    crowded = not hot.isEmpty()
+    place = {"bucket": F.pmod(F.col("shuffle"), F.lit(max(1, -(-total.rows // BUCKET_ROWS)))), "own": F.lit(None).cast("struct<shuffle:long,size:long>")}
+    alone = place | {"own": F.struct("shuffle", "size")}  # a hot group stands by itself, after its bucket's other rows
     # One row for each source and bucket: a window over a source sees as many rows as it has buckets.
-    ahead = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sizes.withColumn("bucket", bucket).groupBy("name", "bucket").agg(F.sum("size").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(ahead), F.lit(0)))
-    offsets = cut_lineage(buckets.join(sources, "name").select("name", "bucket", "offset", "source_size", "weight", "rank"))
+    ahead = Window.partitionBy("name").orderBy("bucket", "own").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("name", "bucket").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, -1)
 
+    def dealt(some: DataFrame) -> DataFrame:
+        if not crowded:
+            return some.withColumns(place)
+        return some.join(F.broadcast(hot), GROUP, "left_anti").withColumns(place).unionByName(some.join(F.broadcast(hot), GROUP).withColumns(alone))
+
+    buckets = dealt(sizes.drop("source")).groupBy("name", "bucket", "own").agg(F.sum("size").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(ahead), F.lit(0)))
+    offsets = cut_lineage(buckets.join(sources, "name").select("name", "bucket", "own", "offset", "source_size", "weight", "rank"))
+
     def placed(some: DataFrame) -> DataFrame:
-        own = some.withColumn("bucket", bucket).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        return own.join(offsets, ["name", "bucket"]).withColumn("before", F.col("before") + F.col("offset"))
+        cold = some.join(F.broadcast(hot), GROUP, "left_anti") if crowded else some
+        own = cold.withColumns(place).drop("own").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        found = own.join(offsets.filter("own IS NULL").drop("own"), ["name", "bucket"])
+        if crowded:
+            facts = F.broadcast(offsets.filter("own IS NOT NULL").select("name", "bucket", "own.*", "offset", "source_size", "weight", "rank"))
+            found = found.unionByName(numbered(some, hot).withColumn("before", F.col("number") * F.col("size")).drop("number").join(facts, GROUP))
+        return found.withColumn("before", F.col("before") + F.col("offset"))
 
     copies = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(quantum).cast("long")))
-    sliced = placed(sizes.select("name", "size", "shuffle")).filter("size > 0").select("name", "rank", "weight", "source_size", "size", "before", starts.alias("at")).withColumn("copy", copies)
-    slices = sliced.select("name", "rank", "weight", (F.col("before") + F.col("source_size") * F.col("copy") + F.col("at")).alias("start"), F.least(F.lit(quantum), F.col("size") - F.col("at")).alias("words"))
-    parts = max(1, -(-repeats * (total.words // quantum + total.rows) // RANGE_ROWS))
-    served = served_words(slices, round(budget * total.words), sources.count(), quantum, parts)
+    own = placed(sizes.select("name", "size", "shuffle")).filter("size > 0").withColumn("copy", copies)
+    entries = own.select("name", "rank", "weight", (F.col("before") + F.col("source_size") * F.col("copy")).alias("start"), F.col("size").alias("words"))
+    served = served_words(entries, round(budget * total.words), sources.count())
     target = F.least(F.col("source_size").cast("double") * repeats, F.col("weight") * F.lit(now))
     facts = sources.select("name").join(served, "name", "left").select("name", F.coalesce("served", F.lit(0)).alias("served"))
     return placed(rows).join(cut_lineage(facts), "name").withColumn("target", target)
@@ -152,7 +202,7 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     size counts words; a null text has none and is never taken. Null sources are one source, the last. Equal rows are
     interchangeable. An empty table gives an empty result. Other columns only take part in the shuffle.
     """
-    placed = queue(cut_lineage(named(docs, F.col(key), text, source)), weights, budget, repeats)
+    placed = queue(cut_lineage(named(docs, F.col(quoted(key)), text, source)), weights, budget, repeats)
     words = sum((taken(c) for c in range(1, repeats)), taken(0))
     return placed.select(F.col("row").alias(key), "size", "source_size", "target", words.alias("taken"))
 

@@ -1,6 +1,7 @@
 """Neighbours, mixing, HTML, URL filter, pipeline."""
 
 import random
+from collections import Counter
 import re
 import time
 
@@ -147,11 +148,13 @@ def test_mix_meets_its_targets(spark):
     assert mixing.shares(docs.limit(0)).count() == 0
 
 
-def plain_queue(rows, weights, budget, repeats):
-    """Words that a queue of single words takes of each row: finish times over shuffled documents, ties by rank."""
+def plain_queue(rows, weights, budget, repeats, crowd=10**9):
+    """Words that a queue of single words takes of each row: finish times over shuffled documents, ties by rank. Groups of
+    more than `crowd` equal rows come last of a source."""
+    many = Counter(r[1:] for r in rows)
     names = sorted(s for s in {r[2] for r in rows} if s is not None) + [s for s in {r[2] for r in rows} if s is None]
     queue, entries, total = {n: [] for n in names}, [], sum(r[1] for r in rows)
-    for key, size, source, shuffle in sorted(rows, key=lambda r: (r[3], r[1])):
+    for key, size, source, shuffle in sorted(rows, key=lambda r: (many[r[1:]] > crowd, r[3], r[1])):
         queue[source] += [key] * size
     for rank, n in enumerate(names):
         entries += [((at + 1) / weights[rank % len(weights)], rank, key) for at, key in enumerate(queue[n] * repeats)]
@@ -180,10 +183,34 @@ def test_taken_words_are_those_of_a_queue(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_equal_rows_that_fill_a_third_are_split(spark, monkeypatch):
+    """Equal to the plain queue, row by row but for equal rows, and no window holds a large part of them."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2000)
+    r = random.Random(5)
+    rows = [(1 if i % 3 == 0 else 10 + i, 7 if i % 3 == 0 else r.randint(1, 30), "hot" if i % 3 == 0 or i % 2 else "b") for i in range(1500)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string").repartition(6)
+    named = [(x.row, x.size, x.source, x.shuffle) for x in mixing.named(docs, F.col("doc_id"), "text", "source").collect()]
+    want = plain_queue(named, (5.0, 2.0, 1.0), 1.3, 2, 200)
+    got = mixing.shares(docs, budget=1.3).collect()
+    assert len(got) == 1500
+    taken = Counter()
+    for x in got:
+        taken[x.doc_id] += x.taken
+    assert {k: n for k, n in taken.items() if n} == want and any(x.taken not in (0, x.size, 2 * x.size) for x in got)
+    hot = [x for x in named if x[0] == 1]
+    rows_, facts = mixing.named(docs, F.col("doc_id"), "text", "source"), spark.createDataFrame([("=hot", hot[0][3], hot[0][1])], "name string, shuffle long, size long")
+    numbers = mixing.numbered(rows_, facts).select("number").collect()
+    assert sorted(x.number for x in numbers) == list(range(len(hot)))
+    mixed = mixing.mix(docs, budget=1.3)
+    assert mixed.groupBy("doc_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")).filter("doc_id = 1").first().n == want[1]
+
+
 def test_mix_of_odd_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 2, {"k": 1})], "doc_id long, text string, source string, `a.b c` int, m map<string,int>")
     rows = mixing.mix(docs)
     assert rows.columns == docs.columns and rows.first()["a.b c"] == 2
+    dotted = docs.withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "the.text").withColumnRenamed("source", "a.source")
+    assert mixing.shares(dotted, "doc.id", "the.text", "a.source").first()["doc.id"] == 1
 
 
 def test_mixed_rows_are_the_shares(spark):
