@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .pretokens import Pieces, is_plain, load
-from .shared import quoted, read, slices, small_batches, utf8
+from .shared import give_back, quoted, read, slices, small_batches, utf8
 from .token_count import tokenizer_file
 
 SEQUENCE, END = 4096, 2
@@ -200,6 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
                 rows = []
         if rows:
             yield batch_of(rows)
+        give_back()
 
     return source.mapInArrow(work, schema).withColumnRenamed("key", key)
 

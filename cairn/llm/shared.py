@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.staging import checkpointed as cut_lineage
 from ..operators.staging import quoted, shared_folder
 
-__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "tree_sum", "utf8", "word_count"]
+__all__ = ["WORD", "Recent", "bounded_share", "by_share", "crc32_of_id", "cut_lineage", "give_back", "map_texts", "quoted", "read", "set_apart", "shared_folder", "slices", "small_batches", "tree_sum", "utf8", "word_count"]
 
 #: A word is a run of characters other than these six; `bytes.split()` splits at exactly the same set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,12 +60,22 @@ def map_texts(frame: DataFrame, text: str, keep: Sequence[str], results: T.Struc
                 columns = work(part.column(part.num_columns - 1).to_pylist())
                 made = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*names, *results.names])
+        del work
+        give_back()
 
     schema = T.StructType([*(source.schema[n] for n in names), *results])
     made = source.mapInArrow(batches, schema)
     return made.select(*(F.col(n).alias(c, metadata=frame.schema[c].metadata) for n, c in zip(names, keep, strict=True)), *results.names)
 
 
+def give_back() -> None:
+    """Returns what a finished task freed to the system: a Python worker lives on, and its next task may need it elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
     for at in range(0, batch.num_rows, rows):
