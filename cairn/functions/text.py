@@ -61,21 +61,22 @@ def spaced(text: Text) -> Column:
 # --- normal forms (F1-F5) ---
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _nfkc(rows: pd.Series) -> pd.Series:
+    form = lambda v: v if v is None else unicodedata.normalize("NFKC", v)
+    return rows.map(lambda row: row if row is None else [part if part is None else [form(v) for v in part] for part in row])
 
 
 def compatible(frame: DataFrame, *columns: str) -> DataFrame:
-    """The columns (text or arrays of text) in Unicode's form NFKC. Only what holds a character beyond ASCII leaves the
-    JVM, all columns of a row as one text; control characters, which the form leaves alone, separate them."""
+    """The columns (text or arrays of text) in Unicode's form NFKC. Only rows that hold a character beyond ASCII leave the
+    JVM, as an array of their columns, so whatever characters a text holds, it comes back in its place."""
     listed = {c: isinstance(frame.schema[c].dataType, T.ArrayType) for c in columns}
-    packed = F.concat_ws("\x1e", *(F.coalesce(F.array_join(c, "\x1f", "") if many else F.col(c), F.lit("")) for c, many in listed.items()))
-    staged = frame.withColumn("__packed", packed)
-    staged = staged.withColumn("__nfkc", F.split(_nfkc(F.when(F.regexp_like("__packed", F.lit(r"[^\x00-\x7F]")), F.col("__packed"))), "\x1e"))
-    form = lambda i, many: F.split(F.get("__nfkc", F.lit(i)), "\x1f") if many else F.get("__nfkc", F.lit(i))
-    made = {c: F.when(F.col("__nfkc").isNull() | F.col(c).isNull() | (F.size(c) == 0 if many else F.lit(False)), F.col(c)).otherwise(form(i, many)) for i, (c, many) in enumerate(listed.items())}
-    return staged.withColumns(made).drop("__packed", "__nfkc")
+    beyond = F.regexp_like(F.concat_ws("", *columns), F.lit(r"[^\x00-\x7F]"))
+    packed = F.array(*(F.col(c) if many else F.array(c) for c, many in listed.items()))
+    staged = frame.withColumn("__nfkc", _nfkc(F.when(beyond, packed)))
+    form = lambda i, many: F.get("__nfkc", F.lit(i)) if many else F.get(F.get("__nfkc", F.lit(i)), F.lit(0))
+    made = {c: F.when(F.col("__nfkc").isNull(), F.col(c)).otherwise(form(i, many)) for i, (c, many) in enumerate(listed.items())}
+    return staged.withColumns(made).drop("__nfkc")
 
 
 def normalized(text: Text) -> Column:

@@ -269,7 +269,7 @@ def exact_dedupe_first_wins(spark, sf_dir):
 fresh AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, v ORDER BY event_id) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-15 00:00:00')
 SELECT event_id, n = 1 AND o.user_id IS NULL AS inserted FROM fresh f LEFT JOIN old o ON f.user_id = o.user_id AND f.event_type = o.event_type AND f.v = o.v""")
 def identity_dedupe(spark, sf_dir):
-    e = b.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.round("value").cast("int").alias("v"))
+    e = b.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.bround("value").cast("int").alias("v"))
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
     _, marked = linkage.insert_new(e.filter(F.col("ts") >= cut), e.filter(F.col("ts") < cut), ["user_id", "event_type", "v"], ["event_id"])
     return marked.select("event_id", "inserted")

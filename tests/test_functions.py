@@ -146,3 +146,10 @@ def test_normal_form_is_stable(spark, seed):
     texts = ["".join(r.choice("aÉ &-.,1 \tßx") for _ in range(20)) for _ in range(30)]
     once = many(spark, tx.normalized("t"), texts)
     assert many(spark, tx.normalized("t"), once) == once
+
+
+def test_normal_forms_keep_control_characters_in_their_columns(spark):
+    rows = [(1, "Ａcme\x1eX", "b", ["Ｏslo\x1fZ", None, "", "a"]), (2, "plain\x1e", None, None), (3, None, "Ｂ\x1f\x1e", []), (4, "\x1f", "c", ["d\x1e"])]
+    frame = spark.createDataFrame(rows, "i int, company string, role string, places array<string>")
+    got = [tuple(r) for r in tx.compatible(frame, "company", "role", "places").orderBy("i").collect()]
+    assert got == [(1, "Acme\x1eX", "b", ["Oslo\x1fZ", None, "", "a"]), (2, "plain\x1e", None, None), (3, None, "B\x1f\x1e", []), (4, "\x1f", "c", ["d\x1e"])]
