@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as pg
 from ..functions import text as tx
 from ..functions import urls as ul
-from ..operators import delivery, enrich, extract, intake, linkage, metrics, observations, upkeep
+from ..operators import delivery, enrich, extract, intake, linkage, metrics, observations, order, upkeep
 from ..sources import chat, events, snapshots
 from . import bindings as b
 from .process import process
@@ -304,6 +304,18 @@ def fuzzy_review(spark, sf_dir):
     return linkage.fuzzy_matches(ready.filter(F.col("captured_at") >= cut), stored).select("event_id", "opportunity_id", "role_similarity")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, first(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS kind, min(event_id) OVER (PARTITION BY user_id, event_type) AS founder FROM events),
+other AS (SELECT user_id, min(event_id) AS since FROM e WHERE event_type <> kind GROUP BY 1)
+SELECT event_id, coalesce(event_id >= since, false) AS review, event_id = founder AS created, sha256('opportunity' || chr(31) || founder) AS opportunity_id FROM e LEFT JOIN other USING (user_id)""")
+def ordered_review(spark, sf_dir):
+    """One event after the other: from the second kind of event on, whatever comes of a user resembles a record that it shares no key with."""
+    e = b.table(spark, sf_dir, "events")
+    null, print_ = F.lit(None).cast("string"), F.concat_ws("|", "user_id", "event_type")
+    turns = e.select("event_id", F.col("event_id").alias("ord"), F.col("ts").alias("captured_at"), F.lit(False).alias("review"), F.lit("active").alias("status"), F.concat(F.lit("Acme "), "user_id").alias("company"), F.lit("Data Analyst Intern").alias("role"), F.lit(2026).alias("year"), F.sha2(print_, 256).alias("canonical_url_hash"), null.alias("stable_job_board"), null.alias("stable_job_id"), print_.alias("fingerprint"))
+    made = order.link_in_order(turns, limit=1_000_000)
+    return made.select("event_id", F.col("fuzzy_opportunity_id").isNotNull().alias("review"), "created", "opportunity_id")
+
+
 @query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS s FROM part), tok AS (SELECT p_partkey, p_brand, s, unnest(s) AS w FROM t)
 SELECT p_brand, sum(j) AS total FROM (SELECT t.p_brand, len(list_intersect(t.s, b.s)) / len(list_distinct(list_concat(t.s, b.s))) AS j FROM t JOIN (SELECT p_brand, s FROM t QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1) b ON t.p_brand = b.p_brand) GROUP BY p_brand""")
 def token_jaccard(spark, sf_dir):
@@ -314,14 +326,14 @@ def token_jaccard(spark, sf_dir):
 
 @query(f"""WITH {b.ROWS} SELECT {DISPOSITION} AS disposition, count(*) AS n FROM rows GROUP BY 1""")
 def batch_summary(spark, sf_dir):
-    return metrics.dispositions(process(b.opportunity_rows(spark, sf_dir))["results"])
+    return metrics.dispositions(process(b.opportunity_rows(spark, sf_dir), in_order=False)["results"])
 
 
 @query(f"""WITH {b.ROWS}, able AS (SELECT *, min(ord) OVER (PARTITION BY l_partkey) AS head FROM texts WHERE s_nationkey % 4 IN (0, 1))
 SELECT 'discord_feed' AS destination_type, CASE {KIND} WHEN 'co_op' THEN 'co-op-feed' WHEN 'new_grad' THEN 'new-grad-feed' ELSE 'internship-feed' END AS destination_key, count(*) AS n FROM able WHERE ord = head AND l_linenumber <> 7 GROUP BY ALL
 UNION ALL SELECT 'discord_review', 'review', count(*) FROM (SELECT {FINGERPRINT} AS fp FROM rows WHERE s_nationkey % 4 = 3 GROUP BY 1)""")
 def outbox_rows(spark, sf_dir):
-    return process(b.opportunity_rows(spark, sf_dir))["outbox"].groupBy("destination_type", "destination_key").agg(F.count("*").alias("n"))
+    return process(b.opportunity_rows(spark, sf_dir), in_order=False)["outbox"].groupBy("destination_type", "destination_key").agg(F.count("*").alias("n"))
 
 
 # --- intake and messages ---
@@ -360,6 +372,16 @@ def fresh_nonces(spark, sf_dir):
     return intake.fresh_nonces(e.filter("event_type <> 'view'"), e.filter("event_type = 'view'")).select("request_id")
 
 
+@query("""WITH RECURSIVE uses AS (SELECT event_id, user_id, event_type, ts FROM events), chain AS (
+  SELECT user_id, event_type, min(ts) AS t FROM uses GROUP BY ALL UNION ALL
+  SELECT c.user_id, c.event_type, min(u.ts) FROM chain c JOIN uses u ON u.user_id = c.user_id AND u.event_type = c.event_type AND u.ts >= c.t + INTERVAL 3 DAY GROUP BY ALL)
+SELECT event_id, CASE WHEN c.t IS NULL OR row_number() OVER (PARTITION BY u.user_id, u.event_type, ts ORDER BY event_id) > 1 THEN 'replayed_nonce' END AS reject_code FROM uses u LEFT JOIN chain c ON c.user_id = u.user_id AND c.event_type = u.event_type AND c.t = u.ts""")
+def replayed_nonces(spark, sf_dir):
+    """Nonces that are used again and again: each is good once more three days after it was last accepted."""
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("caller"), F.col("event_type").alias("nonce"), F.col("ts").alias("received_at"), F.col("event_id").alias("request_id"))
+    return intake.judged_nonces(e, lifetime=3 * 86400).select(F.col("request_id").alias("event_id"), "reject_code")
+
+
 # --- delivery ---
 
 

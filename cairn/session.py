@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # State with timers, which the nonce guard keeps, needs this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Rows of documents are long: smaller Arrow batches bound the memory of a Python worker.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
@@ -21,10 +23,13 @@ _sent: set[str] = set()
 
 
 def build(name: str = "cairn", **settings: str) -> SparkSession:
+    """A session whose executors know this package."""
     builder = SparkSession.builder.appName(name)
     for key, value in (DEFAULTS | settings).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:

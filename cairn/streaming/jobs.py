@@ -6,19 +6,59 @@ its own and publishes one that is named after its batch id. A batch that runs ag
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import linkage, observations, upkeep
+from ..operators import intake, linkage, observations, upkeep
 from ..plans.process import process
 
 
-def nonce_guard(requests: DataFrame, lifetime: str = "10 minutes") -> DataFrame:
-    """The first request of each (caller, nonce) within the lifetime."""
-    return requests.withWatermark("received_at", lifetime).dropDuplicatesWithinWatermark(["caller", "nonce"])
+class NonceLife(StatefulProcessor):
+    """Keeps when a nonce was last accepted, until its lifetime is over in event time."""
+
+    def __init__(self, lifetime: int):
+        self.span = lifetime * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        uses = pd.concat(list(rows)).sort_values(["received_at", "request_id"])
+        last, codes = self.last.get()[0] if self.last.exists() else None, []
+        for at in (uses.received_at.astype("datetime64[us]").astype("int64") // 1000).tolist():
+            fresh = last is None or at - last >= self.span
+            last = at if fresh else last
+            codes.append(None if fresh else "replayed_nonce")
+        self.last.update((last,))
+        self.handle.registerTimer(last + self.span)
+        yield uses.assign(reject_code=codes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists() and self.last.get()[0] + self.span <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # else it was accepted again meanwhile, and a later timer is set
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def nonce_guard(requests: DataFrame, lifetime: int = intake.NONCE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """All requests with `reject_code`, as `intake.judged_nonces`: replayed_nonce within `lifetime` seconds of the last
+    accepted use of (caller, nonce), else null. Milliseconds count.
+
+    requests: caller, nonce, received_at, request_id. A nonce's state goes when the watermark, `delay` behind the latest
+    request, has passed the end of its lifetime; requests behind the watermark are dropped. The session's state store
+    must be RocksDB (`session.build` sets it).
+    """
+    schema = T.StructType([*requests.schema, T.StructField("reject_code", T.StringType())])
+    grouped = requests.withWatermark("received_at", delay).groupBy("caller", "nonce")
+    return grouped.transformWithStateInPandas(NonceLife(lifetime), schema, "append", "eventTime")
 
 
 def windowed_rates(results: DataFrame, length: str = "1 day", delay: str = "1 hour") -> DataFrame:

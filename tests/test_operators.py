@@ -4,6 +4,8 @@ import hashlib
 import hmac
 import json
 import random
+import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -378,14 +380,71 @@ def test_batches_that_run_again_lose_and_double_nothing(spark, tmp_path, monkeyp
         jobs.link_step(str(tmp_path / "nowhere"))(batches[1], 1)
 
 
-def test_nonce_guard_and_windows(spark, tmp_path):
-    rows = spark.createDataFrame([("c", "n1", "2026-01-01 00:00:00"), ("c", "n1", "2026-01-01 00:01:00"), ("c", "n2", "2026-01-01 00:02:00")], "caller string, nonce string, at string").withColumn("received_at", F.to_timestamp("at"))
-    rows.write.parquet(str(tmp_path / "r"))
-    q = jobs.nonce_guard(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "r"))).writeStream.format("memory").queryName("guarded").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.nonce for r in spark.table("guarded").collect()) == ["n1", "n2"]
+def test_the_nonce_guard_answers_as_the_batch(spark, tmp_path):
+    """Over several micro-batches: 0, 5, 11, 20 and 21 minutes, another key, and a key whose state is long gone."""
+    start, schema = datetime(2026, 1, 1), "caller string, nonce string, received_at timestamp, request_id string"
+    minutes = {"n": (0, 5, 11, 20, 21, 300), "m": (3, 3, 14), "late": (400, 409, 411)}
+    rows = sorted((("c", n, start + timedelta(minutes=m), f"{n}{i}") for n, ms in minutes.items() for i, m in enumerate(ms)), key=lambda r: (r[2], r[3]))
+    for i in range(0, len(rows), 4):
+        spark.createDataFrame(rows[i : i + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        time.sleep(0.02)  # files are read by their time
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
+        q = jobs.nonce_guard(stream).writeStream.format("memory").queryName("guarded").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {r.request_id: r.reject_code for r in intake.judged_nonces(spark.createDataFrame(rows, schema)).collect()}
+    assert {r.request_id: r.reject_code for r in spark.table("guarded").collect()} == want
+    assert [k for k, v in sorted(want.items()) if v] == ["late1", "m1", "n1", "n3"]
+
+
+def test_windowed_rates(spark, tmp_path):
     results = spark.createDataFrame([("s", "processed", f"2026-01-0{d} 01:00:00") for d in (1, 1, 2, 5)], "source string, disposition string, at string").withColumn("captured_at", F.to_timestamp("at"))
     results.write.parquet(str(tmp_path / "w"))
     q = jobs.windowed_rates(spark.readStream.schema(results.schema).parquet(str(tmp_path / "w"))).writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r.start)[:10], r.processed) for r in spark.table("rates").collect()} == {("2026-01-01", 2), ("2026-01-02", 1)}
+
+
+# --- nonces ---
+
+
+def plain_nonces(rows, lifetime, used=()):
+    """request_id -> accepted, one use after the other."""
+    last, out = {}, {}
+    for caller, nonce, at, request in sorted([(*u, "") for u in used] + [tuple(r) for r in rows]):
+        old = last.get((caller, nonce))
+        fresh = request == "" or old is None or (at - old).total_seconds() >= lifetime
+        if fresh:
+            last[caller, nonce] = at if old is None else max(old, at)
+        if request:
+            out[request] = fresh
+    return out
+
+
+def test_a_nonce_lives_from_its_last_accepted_use(spark):
+    start = datetime(2026, 1, 1)
+    rows = [("c", "n", start + timedelta(minutes=m), f"r{m:02d}") for m in (0, 5, 11, 20, 21)]
+    frame = spark.createDataFrame(rows, "caller string, nonce string, received_at timestamp, request_id string")
+    got = {r.request_id: r.reject_code for r in intake.judged_nonces(frame).collect()}
+    assert got == {"r00": None, "r05": "replayed_nonce", "r11": None, "r20": "replayed_nonce", "r21": None}
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_nonces_equal_one_use_after_the_other(spark, parts):
+    """Also where one key fills nearly all tasks and its accepted uses follow each other without a pause."""
+    r = random.Random(parts)
+    start = datetime(2026, 1, 1)
+    rows = [("hot", "n", start + timedelta(seconds=r.randrange(9000)), f"h{i:03d}") for i in range(400)] + [(r.choice("ab"), r.choice("xyz"), start + timedelta(seconds=r.randrange(9000)), f"c{i:03d}") for i in range(120)]
+    used = [("hot", "n", start - timedelta(seconds=50)), ("a", "x", start + timedelta(seconds=700)), ("b", "y", start - timedelta(days=9))]
+    schema = "caller string, nonce string, received_at timestamp, request_id string"
+    frame = spark.createDataFrame([*rows, (None, "n", start, "bad"), ("a", None, start, "bad"), ("a", "x", None, "bad")], schema).withColumn("__new", F.lit("clash")).repartition(5)
+    old = spark.createDataFrame(used, "caller string, nonce string, received_at timestamp")
+    found = intake.judged_nonces(frame, old, 100, parts)
+    assert found.columns == [*frame.columns, "reject_code"]
+    got = found.collect()
+    assert {x.request_id: x.reject_code is None for x in got if x.request_id != "bad"} == plain_nonces(rows, 100, used)
+    assert [x.reject_code for x in got if x.request_id == "bad"] == ["unauthorized"] * 3
+    assert intake.judged_nonces(frame.limit(0), old).count() == 0
