@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,13 +33,16 @@ from .token_count import tokenizer_file
 
 #: Pairs that are broadcast, at most (21 bytes each); pairs of a shard of the hash; bits of the hash a pair and level;
 #: numbers of a block of a dense vector; pairs that a task counts before it hands them on; segments that a worker keeps.
-PAIRS, SHARD, LOAD, BLOCK, COUNTED, KEPT = 1 << 24, 1 << 16, 2, 1 << 16, 1 << 19, 100_000
+PAIRS, SHARD, LOAD, BLOCK, COUNTED, KEPT = 1 << 24, 1 << 16, 2, 1 << 16, 1 << 19, 300_000
 #: Bytes of texts that are looked up together.
 PART = 1 << 20
 
-#: Spaces and what follows them up to the next space; on, where that ends in white space or a format character (on
-#: which engines differ), for only after a visible character do both tokenizers cut.
-SEGMENT = re.compile("(?s) +[^ ]*(?:(?<=[\\s\\x00-\\x1f\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]) +[^ ]*)*")
+#: White space and format characters, on which engines differ.
+UNSEEN = "[\\s\\x00-\\x1f\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]"
+#: Spaces and what follows them up to the next space; on, where that ends unseen, for only after a visible character do
+#: both tokenizers cut.
+SEGMENT = re.compile(f"(?s) +[^ ]*(?:(?<={UNSEEN}) +[^ ]*)*")
+ENDS_UNSEEN = re.compile(UNSEEN).match
 PROBES = ("Word, word", "a  b   c ", " x\n y\t z\r\n", "AB12cd!? 42 - 'tis", "Été 日本 語 😀 ok", "<s> ▁ <|endoftext|> <0x41>", "\n", "don't  ")
 
 
@@ -69,6 +73,7 @@ class Tokenizers:
             self.a_bytes[i] = bytes(map(at.__getitem__, token)) if all(c in at for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_length, self.b_length = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         # Segments may be encoded each for itself if no piece reaches over a cut, and the probes agree.
         self.by_segments = not any("▁" in p.lstrip("▁") for p in pieces) and all(self.encoded([" " + p]) == [self.joined(" " + p)] for p in PROBES)
@@ -93,9 +98,43 @@ class Tokenizers:
             return None
         return SEGMENT.findall(" " + known) if self.by_segments else [" " + known]
 
-    def aligned(self, segments: list[str]) -> list[tuple[int, int, int, str, list[int]] | tuple]:
-        """n_a, n_b, n_groups, the groups' text and the linked pairs (a << 32 | b) of each; () where bytes differ."""
-        return [align(a, b, self.a_bytes, self.b_bytes, s.encode()) for s, (a, b) in zip(segments, self.encoded(segments), strict=True)]
+    def aligned(self, segments: list[str], texts: bool = True) -> list[tuple[int, int, int, str, list[int]] | tuple]:
+        """n_a, n_b, n_groups, the groups' text (if asked for) and the linked pairs (a << 32 | b) of each; () where bytes differ."""
+        side = [s for s in segments if not self.by_segments or "▁" in s or ENDS_UNSEEN(s[-1])]
+        apart = set(side)
+        rest = [s for s in segments if s not in apart]
+        found = dict(zip(rest, self.side_by_side(rest, texts) or (), strict=False))
+        if len(found) < len(rest):
+            side, found = segments, {}
+        found.update((s, align(a, b, self.a_bytes, self.b_bytes, s.encode())) for s, (a, b) in zip(side, self.encoded(side), strict=True))
+        return [found[s] for s in segments]
+
+    def side_by_side(self, segments: list[str], texts: bool) -> list[tuple[int, int, int, str, list[int]]] | None:
+        """The same for segments that may follow each other in one text, which the libraries encode at once; None if it isn't spelled."""
+        if not segments:
+            return []
+        text = "".join(segments)
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        b = np.array(self.b.encode(text[1:], num_threads=1))
+        whole = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            return None
+        a_end, b_end = self.a_length[a].cumsum(), self.b_length[b].cumsum()
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        merged = np.sort(np.concatenate([a_end, b_end]), kind="stable")
+        twice = np.append(merged[1:] == merged[:-1], False)
+        cuts, spans = merged[twice], merged[~twice]
+        if (cuts[np.minimum(np.searchsorted(cuts, ends), len(cuts) - 1)] != ends).any():
+            return None
+        # Between two ends of tokens lies the overlap of one pair.
+        pairs = (a[np.searchsorted(a_end, spans)] << 32 | b[np.searchsorted(b_end, spans)]).tolist()
+        upto = [[0, *np.searchsorted(x, ends, "right").tolist()] for x in (a_end, b_end, cuts, spans)]
+        groups = []
+        if texts:
+            names, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
+            edges = ([0, *np.searchsorted(x, cuts, "right").tolist()] for x in (a_end, b_end))
+            groups = [",".join(names[i:j]) + "|" + ",".join(others[k:m]) for (i, j), (k, m) in zip(*map(itertools.pairwise, edges), strict=True)]
+        return [(a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[p0:p1]) for (a0, a1), (b0, b1), (g0, g1), (p0, p1) in zip(*map(itertools.pairwise, upto), strict=True)]
 
 
 def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], whole: bytes) -> tuple:
@@ -136,12 +175,12 @@ class Shared:
         return Tokenizers(*self.files)
 
 
-def per_document(shared: Shared, value) -> Iterable:
+def per_document(shared: Shared, value, texts: bool = True) -> Iterable:
     """A function from texts to the list of value(aligned segment) of each text; None where a text has no tokens."""
     tokenizers = shared.tokenizers
 
     def made(segments: list[str]) -> list:
-        return value(tokenizers.aligned(segments))
+        return value(tokenizers.aligned(segments, texts))
 
     pieces = Pieces(made, size=KEPT)
 
@@ -262,7 +301,7 @@ def partial_counts(docs: DataFrame, text: str, shared) -> DataFrame:
     """pair, n: in how many documents of a part of a task the pair is linked."""
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = per_document(shared.value, lambda aligned: [a and tuple(dict.fromkeys(a[4])) for a in aligned]), Counter()
+        of, counts = per_document(shared.value, lambda aligned: [a and tuple(a[4]) for a in aligned], False), Counter()
 
         def give() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
@@ -271,7 +310,7 @@ def partial_counts(docs: DataFrame, text: str, shared) -> DataFrame:
             for part in slices(batch, PART):
                 for values in of(part.column(0).to_pylist()):
                     if values:
-                        counts.update(set().union(*set(values)))
+                        counts.update(set().union(*values))
                         if len(counts) > COUNTED:
                             yield give()
                             counts.clear()
@@ -300,7 +339,7 @@ def dense_counts(partial: DataFrame, places: Places) -> np.ndarray:
     # A task takes many parts of the first pass, so vectors are as many as cores and not as parts.
     blocks = tree_sum(partial.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(work, "part long, at long, values array<long>"))
     shared.destroy()
-    return np.concatenate([np.asarray(blocks[at]) for at in range(0, n, BLOCK)])[:n] if n else np.zeros(0, np.int64)
+    return np.concatenate([blocks[at] for at in range(0, n, BLOCK)])[:n] if n else np.zeros(0, np.int64)
 
 
 def smallest(values: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def by_share(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int
     return warm.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
 
 
-def tree_sum(parts: DataFrame, fan: int = 32) -> dict[int, list]:
+def tree_sum(parts: DataFrame, fan: int = 32) -> dict[int, np.ndarray]:
     """at -> the element-wise sum of the arrays `values` over all rows of this `at`. parts: part (of a task), at, values.
 
     A task adds at most `fan` arrays up at a time, in the order of their parts. The sums reach the driver: the caller
@@ -115,7 +116,8 @@ def tree_sum(parts: DataFrame, fan: int = 32) -> dict[int, list]:
         parts = listed.select("part", "at", F.aggregate(F.slice("all", 2, fan), F.col("all")[0]["values"], add).alias("values"))
         left = -(-left // fan)
         if left == 1:
-            return {r.at: r["values"] for r in parts.collect()}
+            table = parts.select("at", "values").toArrow()
+            return {at: v.values.to_numpy() for at, v in zip(table.column("at").to_pylist(), table.column("values"), strict=True)}
 
 
 def word_count(text: Column) -> Column:

@@ -180,7 +180,7 @@ def fit(frame: DataFrame, d: int, components: int) -> Fit | None:
     found = over_rows(frame, d, totals, T.LongType())
     if not found or not found[0][0]:
         return None
-    n, halves = found[0][0], found[1]
+    n, halves = int(found[0][0]), found[1].tolist()
     sums = [(halves[i] << 26) + halves[d + i] for i in range(d)]
     mean = np.array([s / n for s in sums])
 
