@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 
@@ -55,28 +58,60 @@ def seconds_after(at: Column, seconds: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(at) + seconds)
 
 
-def settle_deliveries(outbox: DataFrame, attempts: DataFrame, now: Column, limit: int = DELIVERY_ATTEMPTS) -> DataFrame:
-    """The outbox after one attempt each (attempts: id, status_code, message_id, retry_after): delivered, retry or dead."""
-    tried = attempts.select("id", outcome(F.col("status_code"), F.col("message_id")).alias("__o"), "message_id", "retry_after")
-    joined = outbox.join(tried, "id", "left")
-    n = F.col("attempt_count") + 1
-    over = (F.col("__o") == "permanent") | (n >= limit)
-    status = F.when(F.col("__o").isNull(), F.col("status")).when(F.col("__o") == "delivered", "delivered").when(over, "dead").otherwise("retry")
-    asked = F.when(F.col("__o") == "rate_limited", F.coalesce("retry_after", F.lit(30)))
-    next_at = F.when(status == "retry", F.when(F.col("__o").isNotNull(), seconds_after(now, delivery_backoff(n, asked))).otherwise(F.col("next_attempt_at"))).when(F.col("__o").isNull(), F.col("next_attempt_at"))
-    external = F.when(F.col("__o") == "delivered", F.col("message_id")).otherwise(F.col("external_id"))
-    return joined.select(*(c for c in outbox.columns if c not in ("status", "attempt_count", "next_attempt_at", "external_id")), status.alias("status"), F.when(F.col("__o").isNull(), F.col("attempt_count")).otherwise(n).alias("attempt_count"), next_at.alias("next_attempt_at"), external.alias("external_id"))
-
-
-def settle_events(queue: DataFrame, results: DataFrame, now: Column, limit: int = EVENT_ATTEMPTS) -> DataFrame:
-    """The event queue after a run (results: id, disposition processed, review, ignored or failed)."""
-    joined = queue.join(results.select("id", "disposition"), "id", "left")
-    n, failed = F.col("attempt_count") + 1, F.col("disposition") == "failed"
-    done = F.col("disposition").isNotNull()
-    return joined.select(
-        *(c for c in queue.columns if c not in ("status", "attempt_count", "next_attempt_at")), F.when(done, F.col("disposition")).otherwise(F.col("status")).alias("status"), F.when(done, n).otherwise(F.col("attempt_count")).alias("attempt_count"),
-        F.when(failed & (n < limit), seconds_after(now, event_backoff(n))).when(~done, F.col("next_attempt_at")).alias("next_attempt_at"),
-    )
+def attempt_log(attempts: DataFrame, now: Column | None, limit: int, *facts: Column) -> DataFrame:
+    """id and log: the attempts of each id in the order of their times, the first `limit` of them.
+
+    Each attempt counts one, so no later one can matter. Spark prunes them before the shuffle, so an id with many attempts
+    costs little. Attempts without a time, or all without the column, are made `now`; equal rows are one attempt.
+    """
+    at = F.coalesce(*([F.col("attempted_at")] if "attempted_at" in attempts.columns else []), *([now] if now is not None else []), F.lit(None).cast("timestamp"))
+    made = attempts.select("id", at.cast("timestamp").alias("at"), *facts).distinct()
+    entry = made.columns[1:]
+    first = made.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*entry))).filter(F.col("__n") <= limit)
+    return first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("__log"))
+
+
+def folded(rows: DataFrame, log: DataFrame, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], done: Callable[[Column], Column]) -> DataFrame:
+    """The rows with the columns of `start` as the log leaves them: `step` gives them after an attempt, unless `done`."""
+    state = F.struct(*(c.alias(n) for n, c in start.items()))
+    take = lambda s, a: F.when(done(s), s).otherwise(F.struct(*(c.alias(n) for n, c in step(s, a).items())))
+    joined = rows.join(log, "id", "left")
+    entries = F.coalesce("__log", F.array().cast(log.schema["__log"].dataType))
+    ended = joined.withColumn("__end", F.aggregate(entries, state, take))
+    return ended.select(*(F.col("__end").getField(c).cast(rows.schema[c].dataType).alias(c) if c in start else F.col(c) for c in rows.columns))
+
+
+def settle_deliveries(outbox: DataFrame, attempts: DataFrame, now: Column | None = None, limit: int = DELIVERY_ATTEMPTS) -> DataFrame:
+    """The outbox after the attempts (id, status_code, message_id, retry_after and attempted_at, else all `now`): delivered, retry or dead.
+
+    An id's attempts count one after the other, until one delivers or the row is dead: such a row isn't attempted again.
+    Each row stays one row, whatever the log holds; attempts of unknown ids change nothing.
+    """
+    log = attempt_log(attempts, now, limit, outcome(F.col("status_code"), F.col("message_id")).alias("o"), F.col("message_id").cast("string").alias("message_id"), F.col("retry_after").cast("double").alias("retry_after"))
+
+    def step(s: Column, a: Column) -> dict[str, Column]:
+        n = s["attempt_count"] + 1
+        status = F.when(a["o"] == "delivered", "delivered").when((a["o"] == "permanent") | (n >= limit), "dead").otherwise("retry")
+        asked = F.when(a["o"] == "rate_limited", F.coalesce(a["retry_after"], F.lit(30.0)))
+        return {"status": status, "attempt_count": n, "next_attempt_at": F.when(status == "retry", seconds_after(a["at"], delivery_backoff(n, asked))), "external_id": F.when(status == "delivered", a["message_id"]).otherwise(s["external_id"])}
+
+    start = {"status": F.col("status"), "attempt_count": F.col("attempt_count").cast("long"), "next_attempt_at": F.col("next_attempt_at").cast("timestamp"), "external_id": F.col("external_id").cast("string")}
+    return folded(outbox, log, start, step, lambda s: s["status"].isin("delivered", "dead"))
+
+
+def settle_events(queue: DataFrame, results: DataFrame, now: Column | None = None, limit: int = EVENT_ATTEMPTS) -> DataFrame:
+    """The event queue after runs (results: id, disposition processed, review, ignored or failed, and attempted_at, else all `now`).
+
+    An id's runs count one after the other, until one settles it or the last attempt has failed.
+    """
+    log = attempt_log(results.filter("disposition IS NOT NULL"), now, limit, F.col("disposition"))
+
+    def step(s: Column, a: Column) -> dict[str, Column]:
+        n, failed = s["attempt_count"] + 1, a["disposition"] == "failed"
+        return {"status": a["disposition"], "attempt_count": n, "next_attempt_at": F.when(failed & (n < limit), seconds_after(a["at"], event_backoff(n)))}
+
+    start = {"status": F.col("status"), "attempt_count": F.col("attempt_count").cast("long"), "next_attempt_at": F.col("next_attempt_at").cast("timestamp")}
+    return folded(queue, log, start, step, lambda s: s["status"].isin("processed", "review", "ignored") | ((s["status"] == "failed") & (s["attempt_count"] >= limit)))
 
 
 # --- gates, payloads, routing (P11, P12, P15, P17, P18, S10) ---

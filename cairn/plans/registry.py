@@ -241,6 +241,33 @@ def observation_state(spark, sf_dir):
     return observations.observe(state, seen, "2030-01-01 00:00:00")
 
 
+def _monthly(spark, sf_dir):
+    """(a state, the keys that monthly snapshots of eight sources show)."""
+    seen = b.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("source_id"), F.col("l_partkey").cast("string").alias("observation_key"), F.date_trunc("month", "l_shipdate").alias("observed_at"))
+    part = b.table(spark, sf_dir, "part").filter("p_partkey % 2 = 0")
+    state = part.select((F.col("p_partkey") % 10).alias("source_id"), F.col("p_partkey").cast("string").alias("observation_key"), F.lit("1990-01-01 00:00:00").cast("timestamp").alias("last_seen_at"), (F.col("p_size") % 4).alias("consecutive_misses"))
+    return state, seen
+
+
+_GRID = """s AS (SELECT DISTINCT l_suppkey % 8 AS source_id, l_partkey::VARCHAR AS observation_key, date_trunc('month', l_shipdate)::TIMESTAMP AS t FROM lineitem), r AS (SELECT source_id, t, row_number() OVER (PARTITION BY source_id ORDER BY t) AS n FROM (SELECT DISTINCT source_id, t FROM s)),
+st AS (SELECT p_partkey % 10 AS source_id, p_partkey::VARCHAR AS observation_key, p_size % 4 AS m FROM part WHERE p_partkey % 2 = 0), ks AS (SELECT source_id, observation_key FROM s UNION SELECT source_id, observation_key FROM st),
+grid AS (SELECT ks.source_id, ks.observation_key, r.t, r.n, st.m, s.t IS NOT NULL AS hit FROM ks JOIN r USING (source_id) LEFT JOIN s ON s.source_id = ks.source_id AND s.observation_key = ks.observation_key AND s.t = r.t LEFT JOIN st ON st.source_id = ks.source_id AND st.observation_key = ks.observation_key),
+told AS (SELECT *, max(CASE WHEN hit THEN n END) OVER w AS hit_n, max(CASE WHEN hit THEN t END) OVER w AS hit_t FROM grid WINDOW w AS (PARTITION BY source_id, observation_key ORDER BY n)),
+counted AS (SELECT *, CASE WHEN hit_n IS NULL THEN m + n ELSE n - hit_n END AS misses FROM told WHERE hit_n IS NOT NULL OR m IS NOT NULL),
+turns AS (SELECT *, coalesce(lag(misses) OVER (PARTITION BY source_id, observation_key ORDER BY n), m, 0) AS before, n = 1 AS opening FROM counted)"""
+
+
+@query(f"""WITH {_GRID} SELECT source_id, observation_key, coalesce(hit_t, TIMESTAMP '1990-01-01 00:00:00') AS last_seen_at, misses::INT AS consecutive_misses FROM counted QUALIFY n = max(n) OVER (PARTITION BY source_id, observation_key)
+UNION ALL SELECT source_id, observation_key, TIMESTAMP '1990-01-01 00:00:00', m::INT FROM st WHERE source_id NOT IN (SELECT source_id FROM r)""")
+def backfilled_state(spark, sf_dir):
+    return observations.observe_all(*_monthly(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_GRID} SELECT source_id, observation_key, CASE WHEN hit THEN 'reappeared' WHEN misses = 1 THEN 'possibly_removed' ELSE 'closed' END AS event, t AS observed_at FROM turns WHERE (hit AND before > 0) OR (NOT hit AND (misses <= 2 OR opening))""")
+def backfilled_events(spark, sf_dir):
+    return observations.observe_all(*_monthly(spark, sf_dir))[1]
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN starts_with(o_orderpriority, '1') THEN 'closed' ELSE 'possibly_removed' END ELSE 'active' END AS status FROM orders""")
 def closed_records(spark, sf_dir):
     keys = _order_keys(spark, sf_dir)
@@ -408,7 +435,7 @@ def due_deliveries(spark, sf_dir):
 _CODE = "CASE id % 6 WHEN 0 THEN 201 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN 400 WHEN 4 THEN 200 END"
 
 
-@query(f"""WITH {_OUTBOX}, tried AS (SELECT *, {_CODE} AS code FROM outbox), judged AS (SELECT *, attempt_count + 1 AS n, CASE WHEN code = 201 THEN 'delivered' WHEN code = 400 OR (code IS NOT NULL AND attempt_count + 1 >= 10) THEN 'dead' WHEN code IS NULL THEN status ELSE 'retry' END AS s FROM tried)
+@query(f"""WITH {_OUTBOX}, tried AS (SELECT *, CASE WHEN status <> 'delivered' THEN {_CODE} END AS code FROM outbox), judged AS (SELECT *, attempt_count + 1 AS n, CASE WHEN code = 201 THEN 'delivered' WHEN code = 400 OR (code IS NOT NULL AND attempt_count + 1 >= 10) THEN 'dead' WHEN code IS NULL THEN status ELSE 'retry' END AS s FROM tried)
 SELECT id, s AS status, CASE WHEN code IS NULL THEN attempt_count ELSE n END AS attempt_count, CASE WHEN code IS NULL THEN o_orderdate WHEN s = 'retry' THEN {_AT} + to_seconds(CASE WHEN code = 429 THEN least(id % 200000 + 1, 86400) ELSE [30, 120, 600, 3600, 21600][least(n, 5)] END) END AS next_attempt_at, CASE WHEN s = 'delivered' AND code IS NOT NULL THEN 'm' || id END AS external_id FROM judged""")
 def settled_deliveries(spark, sf_dir):
     box = _outbox(spark, sf_dir)
@@ -426,6 +453,28 @@ def settled_events(spark, sf_dir):
     return delivery.settle_events(queue, results, F.lit("1996-01-01 00:00:00").cast("timestamp"))
 
 
+@query(f"""WITH {_OUTBOX}, tries AS (SELECT l_orderkey AS id, l_shipdate + to_seconds(l_linenumber * 1000000 + l_partkey) AS tried_at, l_partkey % 6 AS k, l_suppkey AS asked, 'm' || l_linenumber AS message, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate + to_seconds(l_linenumber * 1000000 + l_partkey)) AS n FROM lineitem),
+joined AS (SELECT t.*, attempt_count + n AS total, k IN (0, 3) OR attempt_count + n >= 10 AS ends FROM tries t JOIN outbox o ON o.id = t.id AND status <> 'delivered'),
+ended AS (SELECT *, coalesce(min(n) FILTER (ends) OVER (PARTITION BY id), max(n) OVER (PARTITION BY id)) AS stop FROM joined), final AS (SELECT *, CASE WHEN k = 0 THEN 'delivered' WHEN ends THEN 'dead' ELSE 'retry' END AS s FROM ended WHERE n = stop)
+SELECT o.id, coalesce(s, status) AS status, coalesce(total, attempt_count) AS attempt_count, CASE WHEN s IS NULL THEN o_orderdate WHEN s = 'retry' THEN date_trunc('second', tried_at) + to_seconds(CASE WHEN k = 1 AND asked > 0 THEN least(asked, 86400) ELSE [30, 120, 600, 3600, 21600][least(total, 5)] END) END AS next_attempt_at, CASE WHEN s = 'delivered' THEN message END AS external_id FROM outbox o LEFT JOIN final f ON f.id = o.id""")
+def logged_deliveries(spark, sf_dir):
+    """A log of up to seven attempts a delivery, in any order."""
+    codes = F.element_at(F.array(*map(F.lit, (201, 429, 500, 400, 200, 503))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    at = F.col("l_shipdate") + F.make_dt_interval(secs=F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+    log = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), at.alias("attempted_at"), codes.alias("status_code"), F.when(codes == 201, F.concat(F.lit("m"), "l_linenumber")).alias("message_id"), F.when(codes == 429, F.col("l_suppkey")).alias("retry_after"))
+    return delivery.settle_deliveries(_outbox(spark, sf_dir), log).select("id", "status", "attempt_count", "next_attempt_at", "external_id")
+
+
+@query("""WITH runs AS (SELECT l_orderkey AS id, l_shipdate + to_seconds(l_linenumber * 1000000 + l_partkey) AS tried_at, CASE l_returnflag WHEN 'A' THEN 'processed' WHEN 'N' THEN 'failed' ELSE CASE WHEN l_linenumber > 3 THEN 'review' ELSE 'failed' END END AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate + to_seconds(l_linenumber * 1000000 + l_partkey)) AS n FROM lineitem),
+joined AS (SELECT r.*, o_orderkey % 3 + n AS total, d <> 'failed' OR o_orderkey % 3 + n >= 5 AS ends FROM runs r JOIN orders ON o_orderkey = id), ended AS (SELECT *, coalesce(min(n) FILTER (ends) OVER (PARTITION BY id), max(n) OVER (PARTITION BY id)) AS stop FROM joined)
+SELECT o_orderkey AS id, coalesce(d, 'pending') AS status, coalesce(total, o_orderkey % 3) AS attempt_count, CASE WHEN d IS NULL THEN o_orderdate WHEN d = 'failed' AND total < 5 THEN date_trunc('second', tried_at) + to_seconds(least(3600, 30 * 2 ^ (total - 1))::BIGINT) END AS next_attempt_at FROM orders LEFT JOIN (SELECT * FROM ended WHERE n = stop) ON id = o_orderkey""")
+def logged_runs(spark, sf_dir):
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), (F.col("o_orderkey") % 3).alias("attempt_count"), F.col("o_orderdate").alias("next_attempt_at"))
+    kind = F.when(F.col("l_returnflag") == "A", "processed").when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 3), "review").otherwise("failed")
+    log = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_shipdate") + F.make_dt_interval(secs=F.col("l_linenumber") * 1000000 + F.col("l_partkey"))).alias("attempted_at"), kind.alias("disposition"))
+    return delivery.settle_events(o, log)
+
+
 @query(f"WITH {_OUTBOX} SELECT destination_type, status, count(*) AS n, sum(greatest(attempt_count - 1, 0))::BIGINT AS retries FROM outbox GROUP BY ALL")
 def delivery_counts(spark, sf_dir):
     return metrics.delivery_counts(_outbox(spark, sf_dir))

@@ -448,3 +448,57 @@ def test_nonces_equal_one_use_after_the_other(spark, parts):
     assert {x.request_id: x.reject_code is None for x in got if x.request_id != "bad"} == plain_nonces(rows, 100, used)
     assert [x.reject_code for x in got if x.request_id == "bad"] == ["unauthorized"] * 3
     assert intake.judged_nonces(frame.limit(0), old).count() == 0
+
+
+# --- whole logs ---
+
+
+def test_a_log_of_attempts_equals_one_call_an_attempt(spark):
+    r, start = random.Random(4), datetime(2026, 1, 1)
+    box = [(i, r.choice(["pending", "retry", "delivering", "delivered", "dead"]), r.randrange(9), start, None, "x") for i in range(60)]
+    outbox = spark.createDataFrame(box, "id long, status string, attempt_count int, next_attempt_at timestamp, external_id string, at string")
+    log = [(r.randrange(65), start + timedelta(seconds=i), r.choice([200, 201, 429, 500, 400, None]), r.choice([None, "", "m"]), r.choice([None, 0, 7, 10**6])) for i in range(300)]
+    log += [(7, start + timedelta(days=1, seconds=i), 500, None, None) for i in range(40)]  # far more than can matter
+    schema = "id long, attempted_at timestamp, status_code int, message_id string, retry_after int"
+    state = linkage.checkpointed(outbox)
+    for turn in range(max(sum(a[0] == i for a in log) for i in range(65))):  # the n-th attempt of each id
+        some = [own[turn] for i in range(65) if len(own := [a for a in log if a[0] == i]) > turn]
+        one = spark.createDataFrame(some, schema)
+        state = linkage.checkpointed(delivery.settle_deliveries(state, one))
+        if turn == 11:
+            break
+    got = delivery.settle_deliveries(outbox, spark.createDataFrame([*log, *log[:50]], schema).repartition(4))
+    assert got.columns == outbox.columns and dict(got.dtypes) == dict(outbox.dtypes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, state.collect()))
+    queue = outbox.drop("external_id", "at").withColumn("status", F.when(F.col("status") == "dead", "failed").when(F.col("status") == "delivered", "processed").otherwise("pending"))
+    runs = [(i, at, r.choice(["failed", "failed", "failed", "processed", "review", None])) for i, at, *_ in log[:200]]
+    known = spark.createDataFrame(runs, "id long, attempted_at timestamp, disposition string")
+    state = queue
+    for turn in range(12):
+        some = [own[turn] for i in range(65) if len(own := [a for a in runs if a[0] == i]) > turn]
+        if some:
+            state = linkage.checkpointed(delivery.settle_events(state, spark.createDataFrame(some, known.schema)))
+    assert sorted(map(str, delivery.settle_events(queue, known).collect())) == sorted(map(str, state.collect()))
+
+
+def test_many_snapshots_equal_one_after_the_other(spark):
+    r, start = random.Random(6), datetime(2026, 1, 1)
+    state = spark.createDataFrame([(s, f"k{k}", start, r.randrange(4)) for s in (1, 2, 3, 9) for k in range(6)], "source_id long, observation_key string, last_seen_at timestamp, consecutive_misses int")
+    rows = [(s, start + timedelta(days=d), f"k{k}") for d in range(1, 9) for s in (1, 2, 3) if r.random() < 0.7 for k in [r.randrange(9), *(k for k in range(9) if r.random() < 0.5)]]
+    seen = spark.createDataFrame(rows, "source_id long, observed_at timestamp, observation_key string").repartition(3)
+    now, told, last = state, [], {}
+    for at in sorted({x[1] for x in rows}):
+        step = linkage.checkpointed(observations.observe(now, seen.filter(F.col("observed_at") == at), at))
+        for x in step.filter("event IS NOT NULL").collect():
+            key = (x.source_id, x.observation_key)
+            if not (x.event == "closed" and last.get(key) == "closed"):
+                told.append((*key, x.event, at))
+            last[key] = x.event
+        now = step.drop("event")
+    after, events_ = observations.observe_all(state, seen)
+    assert sorted(map(tuple, after.select(now.columns).collect())) == sorted(map(tuple, now.collect()))
+    assert sorted(map(tuple, events_.collect())) == sorted(told) and {t[2] for t in told} == {"possibly_removed", "closed", "reappeared"}
+    # An empty snapshot is a read too.
+    reads = seen.select("source_id", "observed_at").union(spark.createDataFrame([(9, start), (9, start + timedelta(days=1))], "source_id long, observed_at timestamp"))
+    nine = observations.observe_all(state, seen, reads)[0].filter("source_id = 9").collect()
+    assert {x.observation_key: x.consecutive_misses for x in nine} == {x.observation_key: x.consecutive_misses + 2 for x in state.filter("source_id = 9").collect()}
