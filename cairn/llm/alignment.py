@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens, and how many documents link each pair of their ids.
 
-A text is cut into segments at which both tokenizers cut: before a space that follows a visible character. A worker
-encodes, aligns and remembers segments, so a text costs a lookup a segment. The first pass sums up in its tasks how
+A text is cut into segments at which both tokenizers cut: before a space that follows a visible character, in plain texts
+around a line end and before a stop that follows a letter too. A worker encodes, aligns and remembers segments, so a text
+costs a lookup a segment. The first pass sums up in its tasks how
 many documents hold a pair. A minimal perfect hash over the distinct pairs, built in shards, gives each pair a place of
 its own in a dense vector; tasks add their counts up in such vectors and these in a tree. The pairs themselves lie at
 their places too, so every lookup is verified. The second pass aligns the documents again and looks the counts up.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import Pieces
+from .pretokens import Pieces, is_plain
 from .shared import by_share, cut_lineage, map_texts, quoted, read, slices, small_batches, tree_sum
 from .token_count import tokenizer_file
 
@@ -43,7 +44,9 @@ UNSEEN = "[\\s\\x00-\\x1f\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\
 #: both tokenizers cut.
 SEGMENT = re.compile(f"(?s) +[^ ]*(?:(?<={UNSEEN}) +[^ ]*)*")
 ENDS_UNSEEN = re.compile(UNSEEN).match
-PROBES = ("Word, word", "a  b   c ", " x\n y\t z\r\n", "AB12cd!? 42 - 'tis", "Été 日本 語 😀 ok", "<s> ▁ <|endoftext|> <0x41>", "\n", "don't  ")
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?)]}|\"*"
+OTHER_SPACE = re.compile(r"[^\S \n]").search
+PROBES = ("Word, word", "a  b   c ", " x\n y\t z\r\n", "AB12cd!? 42 - 'tis", "Été 日本 語 😀 ok", "<s> ▁ <|endoftext|> <0x41>", "\n", "don't  ", "One, two.\nThree (four); x.y \n\n five!\n", "a|b ...c. .d\n.e\n f")
 
 
 # --- encoding and aligning ---
@@ -76,16 +79,38 @@ class Tokenizers:
         self.a_length, self.b_length = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         # Segments may be encoded each for itself if no piece reaches over a cut, and the probes agree.
-        self.by_segments = not any("▁" in p.lstrip("▁") for p in pieces) and all(self.encoded([" " + p]) == [self.joined(" " + p)] for p in PROBES)
+        inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.by_segments, self.fine = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces), None
+        letters = [c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)]
+        stops = re.escape("".join(c for c in STOPS if not any(x + c in inside for x in letters)))
+        self.by_segments = self.by_segments and self.agrees()
+        if self.by_segments and stops:
+            self.fine = re.compile(rf"\n(?=[^ \n])|[ \n]*(?:[^ \n{LETTERS}]+|[{LETTERS}]++(?![{stops}]))*+[{LETTERS}]*")
+            self.fine = self.fine if self.agrees() else None
+
+    def agrees(self) -> bool:
+        return all(self.joined(" " + p) == tuple(map(list, self.whole(" " + p))) for p in PROBES)
+
+    def whole(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
 
     def encoded(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Both id lists of each segment; a segment begins with a space, which the second library adds by itself."""
+        """Both id lists of each segment. The second library adds a space by itself: it takes that of a segment which
+        begins with one, and is dropped with a line end in front of others."""
         first = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        second = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return [(a, [self.space] if s == " " else b) for s, a, b in zip(segments, first, second, strict=True)]
+        second = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in segments], num_threads=1)
+        return [(a, b[2:] if s[0] != " " else [self.space] if s == " " else b) for s, a, b in zip(segments, first, second, strict=True)]
+
+    def pieces(self, text: str) -> list[str]:
+        """The segments of a text that begins with a space."""
+        if not self.by_segments:
+            return [text]
+        if self.fine is not None and is_plain(text) and not OTHER_SPACE(text):
+            return list(filter(None, self.fine.findall(text)))
+        return SEGMENT.findall(text)
 
     def joined(self, text: str) -> tuple[list[int], list[int]]:
-        made = self.encoded(SEGMENT.findall(text))
+        made = self.encoded(self.pieces(text))
         return [i for a, _ in made for i in a], [i for _, b in made for i in b]
 
     def cut(self, text: bytes | None) -> list[str] | None:
@@ -94,13 +119,11 @@ class Tokenizers:
             known = (text or b"").decode()
         except UnicodeDecodeError:
             return None
-        if not known:
-            return None
-        return SEGMENT.findall(" " + known) if self.by_segments else [" " + known]
+        return self.pieces(" " + known) if known else None
 
     def aligned(self, segments: list[str], texts: bool = True) -> list[tuple[int, int, int, str, list[int]] | tuple]:
         """n_a, n_b, n_groups, the groups' text (if asked for) and the linked pairs (a << 32 | b) of each; () where bytes differ."""
-        side = [s for s in segments if not self.by_segments or "▁" in s or ENDS_UNSEEN(s[-1])]
+        side = [s for s in segments if not self.by_segments or "▁" in s or "\n" in s or s[:2] == "  " or ENDS_UNSEEN(s[-1])]
         apart = set(side)
         rest = [s for s in segments if s not in apart]
         found = dict(zip(rest, self.side_by_side(rest, texts) or (), strict=False))
@@ -110,12 +133,13 @@ class Tokenizers:
         return [found[s] for s in segments]
 
     def side_by_side(self, segments: list[str], texts: bool) -> list[tuple[int, int, int, str, list[int]]] | None:
-        """The same for segments that may follow each other in one text, which the libraries encode at once; None if it isn't spelled."""
+        """The same for segments that may stand in lines of their own in one text, which the libraries encode at once; None if it isn't spelled."""
         if not segments:
             return []
+        segments = [x for s in segments for x in ("\n", s)]
         text = "".join(segments)
         a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        b = np.array(self.b.encode(text[1:], num_threads=1))
+        b = np.array(self.b.encode(text, num_threads=1)[1:])  # without the space that is added
         whole = text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
             return None
@@ -134,7 +158,7 @@ class Tokenizers:
             names, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
             edges = ([0, *np.searchsorted(x, cuts, "right").tolist()] for x in (a_end, b_end))
             groups = [",".join(names[i:j]) + "|" + ",".join(others[k:m]) for (i, j), (k, m) in zip(*map(itertools.pairwise, edges), strict=True)]
-        return [(a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[p0:p1]) for (a0, a1), (b0, b1), (g0, g1), (p0, p1) in zip(*map(itertools.pairwise, upto), strict=True)]
+        return [(a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[p0:p1]) for (a0, a1), (b0, b1), (g0, g1), (p0, p1) in itertools.islice(zip(*map(itertools.pairwise, upto), strict=True), 1, None, 2)]
 
 
 def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], whole: bytes) -> tuple:

@@ -29,9 +29,14 @@ def both():
 
 
 def test_segments_give_the_ids_of_whole_texts(both):
-    assert both.by_segments
-    for t in texts(3000, 1):
-        assert both.joined(" " + t) == (both.a.encode(" " + t, add_special_tokens=False).ids, both.b.encode(t))
+    assert both.by_segments and both.fine
+    r = random.Random(2)
+    plain_ones = ["".join(r.choice(["ab", "Cd", "é", "l'", "d'", ".", ",", "x.y", "n't", "12", "-", "(", ")", "|", "!", ":", "\n", "\n", " ", " ", "  ", "e.g.", "St.", "*"]) for _ in range(r.randint(1, 30))) for _ in range(4000)]
+    for t in texts(2000, 1) + plain_ones:
+        found = both.pieces(" " + t)
+        assert "".join(found) == " " + t
+        assert both.joined(" " + t) == (both.a.encode(" " + t, add_special_tokens=False).ids, both.b.encode(t)), t
+        assert [x and x[:3] for x in both.aligned(found)] == [x and x[:3] for x in (alignment.align(a, b, both.a_bytes, both.b_bytes, s.encode()) for s, (a, b) in zip(found, both.encoded(found), strict=True))]
 
 
 def plain(rows):
