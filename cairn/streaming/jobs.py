@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import intake, linkage, observations, upkeep
+from ..operators import intake, linkage, observations, store, upkeep
 from ..plans.process import process
 
 
@@ -92,12 +92,21 @@ def records_of(spark: SparkSession, folder: str, version: str | None = None) ->
     return linkage.touch(upkeep.published(spark, folder, "opportunities", version), upkeep.published(spark, folder, "touches", version))
 
 
+#: What linkage needs of a record.
+RECORD = "opportunity_id string, created_at timestamp, last_seen_at timestamp, status string, company string, role string, year int, canonical_url_hash string, stable_job_board string, stable_job_id string, fingerprint string"
+COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+INDEXED = f"tag string, key string, {RECORD}"
+
+
 def link_events(stream: DataFrame, folder: str, checkpoint: str, compact: int = 50, **options) -> DataStreamWriter:
     """Processes each micro-batch of events against the records stored so far; `start()` or `trigger()` it as needed.
 
     A batch adds its own records, links, outbox rows and observations (touches) to the version before; every `compact`
     batches the tables are written anew as one folder each. Read the records by `records_of`. An event that was seen in
     an earlier batch (by event_id) changes nothing, and a batch that runs again starts from the same version as before.
+
+    What a batch reads doesn't grow with the store: of an index (`operators.store`) the files that can hold its keys, and
+    a table of the most recent records, which is all that review of similar events looks at.
     """
 
     return stream.writeStream.foreachBatch(link_step(folder, compact, **options)).option("checkpointLocation", checkpoint)
@@ -107,28 +116,47 @@ def link_step(folder: str, compact: int = 50, **options) -> Callable[[DataFrame,
     """What `link_events` does with a micro-batch and its number."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark, keys = batch.sparkSession, ["opportunity_id", "destination_type", "destination_key"]
+        spark = batch.sparkSession
         last = version_before(spark, folder, number)
         once = linkage.first_of(batch, ["event_id"], ["ord"])
-        stored = None
-        if last is not None:
-            stored = records_of(spark, folder, last)
-            once = once.join(upkeep.published(spark, folder, "links", last).select(F.col("raw_event_id").alias("event_id")), "event_id", "left_anti")
-        made = process(linkage.checkpointed(once), stored, **options)
+        before = spark.createDataFrame([], RECORD)
+        files = None if last is None else upkeep.published(spark, folder, "index", last)
+        if files is not None:
+            known, _ = store.looked_up(files, once.select(F.lit("e").alias("tag"), F.col("event_id").cast("string").alias("key")), INDEXED)
+            once = once.join(known.select(F.col("key").alias("event_id")), "event_id", "left_anti")
+
+        def stored(ready: DataFrame) -> DataFrame:
+            nonlocal before
+            hits, _ = store.looked_up(files, linkage.key_rows(ready.filter("disposition <> 'ignored'")), INDEXED)
+            recent = upkeep.published(spark, folder, "recent", last)
+            others = hits.filter("tag <> 'e'").select(*COLUMNS).dropDuplicates(["opportunity_id"]).join(recent, "opportunity_id", "left_anti")
+            before = linkage.checkpointed(recent.unionByName(others))
+            return before
+
+        made = process(linkage.checkpointed(once), None if last is None else stored, **options)
         seen = made["links"].filter("NOT created").join(made["results"].select(F.col("event_id").alias("raw_event_id"), F.col("captured_at").alias("observed_at")), "raw_event_id")
-        tables = {n: made[n] for n in ("opportunities", "links", "outbox")} | {"touches": seen.groupBy("opportunity_id").agg(F.max("observed_at").alias("observed_at"))}
-        if last is not None:
-            tables["outbox"] = tables["outbox"].join(upkeep.published(spark, folder, "outbox", last).select(*keys), keys, "left_anti")
-            if number % compact == 0:
-                tables = {n: upkeep.published(spark, folder, n, last).unionByName(t) for n, t in tables.items()}
-                tables["opportunities"] = linkage.touch(tables["opportunities"], tables["touches"])
-                tables["touches"] = tables["touches"].limit(0)
-                last = None
-        upkeep.publish(tables, folder, named(number), last)
+        tables = {n: made[n] for n in ("opportunities", "links", "outbox")} | {"touches": linkage.checkpointed(seen.groupBy("opportunity_id").agg(F.max("observed_at").alias("observed_at")))}
+        new = linkage.checkpointed(made["opportunities"].select(*COLUMNS))
+        latest = linkage.recent(linkage.touch(before.unionByName(new), tables["touches"])).select(*COLUMNS)
+        nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in RECORD.split(", "))]
+        keys = linkage.key_rows(new, *COLUMNS).unionByName(made["links"].select(F.lit("e").alias("tag"), F.col("raw_event_id").cast("string").alias("key"), *nothing))
+        index = store.added(files, keys.select("tag", "key", *COLUMNS), f"{folder}/_index")
+        if last is not None and number % compact == 0:
+            tables = {n: upkeep.published(spark, folder, n, last).unionByName(t) for n, t in tables.items()}
+            tables["opportunities"] = linkage.touch(tables["opportunities"], tables["touches"])
+            tables["touches"] = tables["touches"].limit(0)
+            last = None
+        upkeep.publish(tables | {"recent": latest, "index": index}, folder, named(number), last, instead=("recent", "index"))
 
     return step
 
 
+def forget(spark: SparkSession, folder: str, keep: int = 3) -> None:
+    """Removes all versions of a linkage store but the last `keep`, with what none of these names. For a time without a running stream."""
+    upkeep.forget(spark, folder, keep)
+    store.forget(spark, f"{folder}/_index", *(upkeep.published(spark, folder, "index", v) for v in upkeep.versions(spark, folder)))
+
+
 def observe_snapshots(stream: DataFrame, folder: str, checkpoint: str, observed_at: Callable[[DataFrame], str]) -> DataStreamWriter:
     """Moves the observation state on by one full snapshot a micro-batch (absence is only known from a whole snapshot)."""
 

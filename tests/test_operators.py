@@ -359,8 +359,10 @@ def test_batches_that_run_again_lose_and_double_nothing(spark, tmp_path, monkeyp
     whole = None
     for crash in (False, True):
         folder = str(tmp_path / f"out{crash}")
-        step = jobs.link_step(folder, compact=2)
+        step, read, published = jobs.link_step(folder, compact=2), [], upkeep.published
+        monkeypatch.setattr(upkeep, "published", lambda s, f, name, version=None: (read.append(name), published(s, f, name, version))[1])
         for n, batch in enumerate(batches):
+            assert n != 2 or set(read) == {"index", "recent"}  # no batch reads the tables, but to write them anew
             if crash:
                 with monkeypatch.context() as m:  # the tables are written, the manifest isn't
                     m.setattr(upkeep, "file_system", lambda *a: (_ for _ in ()).throw(OSError("lost")))
@@ -368,11 +370,14 @@ def test_batches_that_run_again_lose_and_double_nothing(spark, tmp_path, monkeyp
                         upkeep.publish({"links": spark.range(1)}, folder, jobs.named(n))
             step(batch, n)
             step(batch, n)  # the progress of the stream wasn't saved
+        monkeypatch.setattr(upkeep, "published", published)
         got = linked(spark, folder)
         whole = whole or got
         assert got == whole
         assert len(got["links"]) == 12 and len(set(got["opportunities"])) == len(got["opportunities"])
-        upkeep.forget(spark, folder, keep=1)
+        runs = len(list((tmp_path / f"out{crash}" / "_index").iterdir()))
+        jobs.forget(spark, folder, keep=1)
+        assert runs == 6 and len(list((tmp_path / f"out{crash}" / "_index").iterdir())) == 3  # each batch ran twice
         assert linked(spark, folder) == whole and upkeep.versions(spark, folder) == [jobs.named(2)]
         with pytest.raises(RuntimeError, match="another checkpoint"):
             step(batches[0], 0)
