@@ -26,9 +26,9 @@ from .shared import WORD, cut_lineage, quoted, read, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, REPEATS = 1.5, 2
 #: Slices of a copy, or of a slice, that is being served at the cut; rows of one window, and entries of one range
-#: partition, on average (some 20,000 partitions for the 2e10 documents of 1e13 words).
+#: partition, on average, as long as these are at most RANGE_PARTS (the 2e10 documents of 1e13 words: 2 million each).
 SLICES = 64
-BUCKET_ROWS, RANGE_ROWS = 5_000, 2_000_000
+BUCKET_ROWS, RANGE_ROWS, RANGE_PARTS = 5_000, 200_000, 20_000
 #: Equal rows that are more than a SHARE-th of all are split; of such groups there are fewer than SHARE.
 SHARE = 1000
 
@@ -105,7 +105,7 @@ def served_words(entries: DataFrame, due: int, sources: int) -> DataFrame:
     while True:
         entries = cut_lineage(entries)
         rows, longest = entries.agg(F.count("*"), F.max("words")).first()
-        ordered, sums = ranged(entries.withColumn("finish", finish(F.col("words"))), max(1, -(-rows // RANGE_ROWS)))
+        ordered, sums = ranged(entries.withColumn("finish", finish(F.col("words"))), max(1, min(RANGE_PARTS, -(-rows // RANGE_ROWS))))
         if not rows or due <= 0:
             break
         high = time_of(ordered, sums, due)
