@@ -65,6 +65,34 @@ def latencies(times: DataFrame, start: str, end: str, by: tuple[str, ...] = ())
     return times.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.max(seconds).alias("longest"))
 
 
+#: Size of a latency sketch. Up to so many values it is exact; beyond, a quantile's rank is off by under 0.2 % of the
+#: values (99 % of the time), also after any number of merges.
+SKETCH = 2000
+
+
+def latency_sketches(times: DataFrame, start: str, end: str, by: tuple[str, ...] = (), period: str = "1 day") -> DataFrame:
+    """A9, A7: by and period (of the start): n, longest and a sketch of the seconds from start to end, to be stored and merged.
+
+    A task hands on sketches, never values, so a period with many values is many tasks' work. Rows without one of the
+    times don't count.
+    """
+    seconds = (F.unix_timestamp(end) - F.unix_timestamp(start)).alias("__seconds")
+    rows = times.select(*by, F.window(start, period)["start"].alias("start"), seconds).filter("__seconds IS NOT NULL")
+    return rows.groupBy(*by, "start").agg(F.count("*").alias("n"), F.max("__seconds").alias("longest"), F.kll_sketch_agg_bigint("__seconds", SKETCH).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, by: tuple[str, ...] = (), period: str = "7 days", offset: str = "4 days") -> DataFrame:
+    """The sketches of longer periods: from days to weeks, which start on Mondays."""
+    longer = F.window("start", period, period, offset)["start"].alias("start")
+    return sketches.groupBy(*by, longer).agg(F.sum("n").alias("n"), F.max("longest").alias("longest"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketched_latencies(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """p50 and p95 (values that occur) of stored sketches."""
+    at = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+    return sketches.select(*by, "start", "n", at(0.5).alias("p50"), at(0.95).alias("p95"), "longest")
+
+
 def delivery_counts(outbox: DataFrame) -> DataFrame:
     """A10."""
     return outbox.groupBy("destination_type", "status").agg(F.count("*").alias("n"), F.sum(F.greatest(F.col("attempt_count") - 1, F.lit(0))).alias("retries"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import intake, linkage, observations, store, upkeep
@@ -68,6 +68,31 @@ def windowed_rates(results: DataFrame, length: str = "1 day", delay: str = "1 ho
     return grouped.select(F.col("window.start").alias("start"), "source", "events", "processed", "review", "ignored")
 
 
+def latency_stream(captured: DataFrame, canonical: DataFrame, delivered: DataFrame, delay: str = "1 hour", horizon: str = "1 day") -> DataFrame:
+    """A9: event_id, opportunity_id, the three times and the seconds to_canonical and to_delivered, once all three have come.
+
+    captured: event_id, captured_at. canonical: event_id, opportunity_id, canonical_at. delivered: opportunity_id,
+    delivered_at. A step that takes longer than `horizon` isn't matched: state is kept for that long behind the watermark,
+    `delay` behind the latest rows. Rows behind the watermark are dropped, and the query's progress counts them
+    (`late_rows`). `metrics.latencies` of the result is that of a batch.
+    """
+    within = lambda later, earlier: (F.col(later) >= F.col(earlier)) & (F.col(later) <= F.col(earlier) + F.expr(f"INTERVAL {horizon}"))
+    first = captured.withWatermark("captured_at", delay).select("event_id", "captured_at")
+    second = canonical.withWatermark("canonical_at", delay).select(F.col("event_id").alias("__event"), "opportunity_id", "canonical_at")
+    third = delivered.withWatermark("delivered_at", delay).select(F.col("opportunity_id").alias("__record"), "delivered_at")
+    # A join takes one column of event time from each side; the computed copy of the other is a plain time.
+    both = first.join(second, (F.col("event_id") == F.col("__event")) & within("canonical_at", "captured_at"))
+    both = both.select("event_id", "opportunity_id", "canonical_at", F.timestamp_micros(F.unix_micros("captured_at")).alias("captured_at"))
+    every = both.join(third, (F.col("opportunity_id") == F.col("__record")) & within("delivered_at", "canonical_at"))
+    seconds = lambda at: F.unix_timestamp(at) - F.unix_timestamp("captured_at")
+    return every.select("event_id", "opportunity_id", "captured_at", "canonical_at", "delivered_at", seconds("canonical_at").alias("to_canonical"), seconds("delivered_at").alias("to_delivered"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query dropped because they came behind its watermark."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+
+
 def version_before(spark: SparkSession, folder: str, number: int) -> str | None:
     """The version that batch `number` starts from: the last one before its own, never one of an earlier try of it.
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
-from cairn.operators import delivery, extract, intake, linkage, observations, upkeep
+from cairn.operators import delivery, extract, intake, linkage, metrics, observations, upkeep
 from cairn.plans import bindings
 from cairn.plans.process import process
 from cairn.sources import events as ev
@@ -332,6 +332,54 @@ def test_publishing_is_a_switch(spark, tmp_path):
         upkeep.published(spark, str(tmp_path / "none"), "a")
 
 
+def test_days_retire_without_a_rewritten_file(spark, tmp_path):
+    folder, start = str(tmp_path / "tables"), datetime(2026, 1, 1)
+    rows = spark.createDataFrame([(i, start + timedelta(hours=i)) for i in range(100)] + [(100, None)], "id long, at timestamp")
+    upkeep.publish({"e": rows.filter("id < 60 OR id = 100"), "other": spark.range(3)}, folder, "v1", dated={"e": "at"})
+    upkeep.publish({"e": rows.filter("id BETWEEN 60 AND 99")}, folder, "v2", onto="v1", dated={"e": "at"})
+    assert sorted(r.id for r in upkeep.published(spark, folder, "e").collect()) == list(range(101)) and upkeep.published(spark, folder, "e").columns == ["id", "at"]
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    there, cut = files(), datetime(2026, 1, 3)
+    assert len(upkeep.retire(spark, folder, "e", cut.date(), "v3", "v2")) == 2
+    assert files() == there
+    left = upkeep.published(spark, folder, "e")
+    assert sorted(r.id for r in left.collect()) == sorted(r.id for r in rows.filter(F.col("at").isNull() | (F.col("at") >= F.lit(cut))).collect())
+    assert upkeep.published(spark, folder, "e", "v2").count() == 101 and upkeep.published(spark, folder, "other").count() == 3
+    upkeep.forget(spark, folder, keep=1)
+    assert set(files()) < set(there) and upkeep.published(spark, folder, "e").count() == left.count()
+    upkeep.retire(spark, folder, "e", datetime(2030, 1, 1).date(), "v4", "v3")
+    assert [r.id for r in upkeep.published(spark, folder, "e").collect()] == [100]
+
+
+def test_sketches_keep_their_rank_error(spark):
+    times = spark.range(0, 60_000, 1, 6).select(F.timestamp_seconds(F.lit(1_767_225_600) + F.col("id") * 20).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("s")).withColumn("b", F.timestamp_seconds(F.unix_timestamp("a") + F.col("s")))
+    weeks = metrics.sketched_latencies(metrics.rolled_up(metrics.latency_sketches(times, "a", "b"))).collect()
+    for w in weeks:
+        own = sorted(r.s for r in times.filter((F.col("a") >= F.lit(w.start)) & (F.col("a") < F.lit(w.start + timedelta(days=7)))).select("s").collect())
+        assert w.n == len(own) and w.longest == own[-1]
+        for value, q in ((w.p50, 0.5), (w.p95, 0.95)):
+            assert abs(sum(x <= value for x in own) / len(own) - q) < 0.005
+    assert sum(w.n for w in weeks) == 60_000 and all(w.start.weekday() == 0 for w in weeks)
+
+
+def test_streamed_latencies_equal_the_batch(spark, tmp_path):
+    start, r = datetime(2026, 1, 1), random.Random(3)
+    events_ = [(f"e{i}", start + timedelta(minutes=i)) for i in range(40)]
+    canonical = [(e, f"o{i}", at + timedelta(seconds=r.randrange(3000))) for i, (e, at) in enumerate(events_) if i % 5]
+    delivered = [(o, at + timedelta(seconds=r.randrange(3000))) for i, (_, o, at) in enumerate(canonical) if i % 3]
+    canonical.append(("e7", "slow", start + timedelta(days=3)))  # beyond the horizon
+    frames = {"a": spark.createDataFrame(events_, "event_id string, captured_at timestamp"), "b": spark.createDataFrame(canonical, "event_id string, opportunity_id string, canonical_at timestamp"), "c": spark.createDataFrame(delivered, "opportunity_id string, delivered_at timestamp")}
+    for n, f in frames.items():
+        f.repartition(2).write.parquet(str(tmp_path / n))
+    stream = lambda n: spark.readStream.schema(frames[n].schema).parquet(str(tmp_path / n))
+    q = jobs.latency_stream(*map(stream, "abc")).writeStream.format("memory").queryName("latencies").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got, columns = spark.table("latencies"), ["event_id", "captured_at", "delivered_at"]
+    want = frames["a"].join(frames["b"], "event_id").join(frames["c"], "opportunity_id").filter("opportunity_id <> 'slow'")
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) and jobs.late_rows(q) == 0
+    assert metrics.latencies(got, "captured_at", "delivered_at").first() == metrics.latencies(want, "captured_at", "delivered_at").first()
+
+
 def linked(spark, folder):
     """Rows of the linkage store, as text."""
     tables = {"opportunities": jobs.records_of(spark, folder)} | {n: upkeep.published(spark, folder, n) for n in ("links", "outbox")}
