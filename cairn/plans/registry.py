@@ -12,8 +12,10 @@ from ..functions import pages as pg
 from ..functions import text as tx
 from ..functions import urls as ul
 from ..operators import delivery, enrich, extract, intake, linkage, metrics, observations, order, upkeep
+from ..operators.staging import shared_folder
 from ..sources import chat, events, snapshots
 from . import bindings as b
+from .poll import poll
 from .process import process
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,6 +222,20 @@ def seen_keys(spark, sf_dir):
     return snapshots.seen_keys(snapshots.parse_tables(b.order_files(spark, sf_dir)), F.lit("owner/repo"))
 
 
+@query(f"""WITH {b.ROWS}, numbered AS (SELECT *, 'owner/repo' || l_orderkey % 16 AS account, 'orders/' || l_orderkey || '.md' AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, event_id) AS i FROM rows WHERE l_orderkey % 5 <> 4),
+old AS (SELECT DISTINCT account, url || tracking AS k FROM numbered WHERE l_orderkey % 2 = 0), told AS (SELECT n.*, old.k IS NULL AND row_number() OVER (PARTITION BY n.account, url || tracking ORDER BY path, i) = 1 AS fresh FROM numbered n LEFT JOIN old ON old.account = n.account AND old.k = url || tracking WHERE l_orderkey % 2 = 1),
+counts AS (SELECT l_orderkey, count(*) FILTER (fresh) AS inserted, count(*) FILTER (NOT fresh) AS duplicates FROM told GROUP BY 1)
+SELECT o.l_orderkey % 16 AS source_id, 'orders/' || o.l_orderkey || '.md' AS path, CASE WHEN o.l_orderkey % 5 = 4 THEN 'drift' WHEN o.l_orderkey % 2 = 0 THEN 'not_modified' ELSE 'inserted' END AS disposition, coalesce(inserted, 0) AS inserted, coalesce(duplicates, 0) AS duplicates
+FROM (SELECT DISTINCT l_orderkey FROM rows) o LEFT JOIN counts c ON c.l_orderkey = o.l_orderkey""")
+def second_poll(spark, sf_dir):
+    """Half of the files are polled, then all: what was read is skipped, what is known is a duplicate, drift is told again."""
+    fetched = linkage.checkpointed(b.order_files(spark, sf_dir))
+    sources = spark.range(16).select(F.col("id").alias("source_id"), F.concat(F.lit("owner/repo"), "id").alias("repository"), F.lit("dev").alias("branch"), F.lit("-").alias("commit_sha"))
+    folder = shared_folder(spark, "polls")
+    poll(fetched.filter(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 2 == 0), sources, folder, 0, "2026-01-01 00:00:00")
+    return poll(fetched, sources, folder, 1, "2026-01-02 00:00:00").drop("detail")
+
+
 @query("SELECT o_orderkey % 8 AS source_id, 'url:https://x.example/' || o_orderkey AS observation_key FROM orders WHERE o_orderstatus = 'F'")
 def removed_keys(spark, sf_dir):
     keys = _order_keys(spark, sf_dir)
