@@ -59,11 +59,12 @@ def company_and_role_forms(spark, sf_dir):
     return rows.select("event_id", tx.company_form(F.get(cell, F.lit(0))).alias("company_form"), tx.role_form(F.regexp_replace(F.get(cell, F.lit(1)), f"{tx.NO_SPONSOR}|{tx.CITIZENS}|{tx.LOCKED}", "")).alias("role_form"))
 
 
-@query("""SELECT o_orderkey, CASE month(o_orderdate) // 4 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'fall' END AS season, (year(o_orderdate) + 30)::INT AS year FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE CASE month(o_orderdate) // 4 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'fall' END END AS season, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE (year(o_orderdate) + 30)::INT END AS year FROM orders""")
 def season_and_year(spark, sf_dir):
-    o = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    """With both, without one of them, and without a text."""
+    o, k = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey")
     name = F.element_at(F.array(*map(F.lit, ("Winter ", "spring", "SUMMER-", "Autumn  "))), (F.floor(F.month("o_orderdate") / 4) + 1).cast("int"))
-    text = F.concat(F.lit("Req 920301 near Falls Church, "), name, F.year("o_orderdate") + 30, F.lit(" start"))
+    text = F.when(k % 11 != 0, F.concat(F.lit("Req 920301 near Falls Church, "), F.when(k % 5 == 0, "").otherwise(name), F.when(k % 7 == 0, "").otherwise((F.year("o_orderdate") + 30).cast("string")), F.lit(" start")))
     return o.select("o_orderkey", tx.season_of(text).alias("season"), tx.year_of(text).alias("year"))
 
 
@@ -167,10 +168,13 @@ def page_fields(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").select("page_id", page["role"].alias("role"), page["title"].alias("title"), F.md5(pg.plain("html").cast("binary")).alias("text_md5"))
 
 
-@query("SELECT page_id, 'Acme ' || page_id AS company, 'Engineer Intern' AS role, ['Boston, MA'] AS locations, 'Remote' AS work_mode FROM pages")
+@query("""SELECT page_id, 'Acme ' || page_id AS company, 'Engineer & Intern ' || page_id AS role, CASE page_id % 4 WHEN 0 THEN ['Boston, MA'] WHEN 1 THEN ['Austin, TX', 'Site ' || page_id] WHEN 2 THEN ['Berlin, DE'] ELSE [] END AS locations, 'Remote' AS work_mode FROM pages""")
 def json_ld_postings(spark, sf_dir):
-    pages = b.table(spark, sf_dir, "pages").select("page_id", "html")
-    record = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":["Thing","JobPosting"],"title":"Engineer Intern","jobLocationType":"TELECOMMUTE","hiringOrganization":{"name":"Acme '), "page_id", F.lit('"},"jobLocation":{"address":{"addressLocality":"Boston","addressRegion":"MA","addressCountry":"US"}}}]}</script>'))
+    """Records in a graph, with an address in the US, names in a list, an address elsewhere, or no place; before them a broken one."""
+    pages, k = b.table(spark, sf_dir, "pages").select("page_id", "html"), F.col("page_id")
+    address = lambda city, region, country: F.lit(f'{{"address":{{"addressLocality":"{city}","addressRegion":{region},"addressCountry":"{country}"}}}}')
+    where = F.when(k % 4 == 0, address("Boston", '"MA"', "US")).when(k % 4 == 1, F.concat(F.lit('["Austin, TX",{"name":"Site '), "page_id", F.lit('"},"Austin, TX"]'))).when(k % 4 == 2, address("Berlin", "null", "DE")).otherwise("null")
+    record = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Thing","JobPosting"],"title":"Engineer &amp; Intern '), "page_id", F.lit('","jobLocationType":"TELECOMMUTE","hiringOrganization":{"name":"Acme '), "page_id", F.lit('"},"jobLocation":'), where, F.lit("}]}</script>"))
     page = pg.job_page(F.concat(F.lit('<script type="application/ld+json">{broken</script>'), record, "html"))
     return pages.select("page_id", page.alias("p")).select("page_id", "p.company", "p.role", "p.locations", "p.work_mode")
 
