@@ -34,7 +34,7 @@ from .token_count import tokenizer_file
 
 #: Pairs that are broadcast, at most (21 bytes each); pairs of a shard of the hash; bits of the hash a pair and level;
 #: numbers of a block of a dense vector; pairs that a task counts before it hands them on; segments that a worker keeps.
-PAIRS, SHARD, LOAD, BLOCK, COUNTED, KEPT = 1 << 24, 1 << 16, 2, 1 << 16, 1 << 19, 300_000
+PAIRS, SHARD, LOAD, BLOCK, COUNTED, KEPT = 1 << 24, 1 << 16, 2, 1 << 16, 1 << 19, 400_000
 #: Bytes of texts that are looked up together.
 PART = 1 << 20
 
@@ -186,10 +186,10 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
 
 
 class Shared:
-    """What is broadcast; a worker process builds its tokenizers once, however many tasks it runs."""
+    """What is broadcast; a worker process builds its tokenizers once, and remembers segments from task to task of a pass."""
 
     def __init__(self, a_definition: str, b_model: bytes):
-        self.files = a_definition, b_model
+        self.files, self.known = (a_definition, b_model), ("", None)
 
     def __reduce__(self):
         return Shared, self.files
@@ -199,14 +199,19 @@ class Shared:
         return Tokenizers(*self.files)
 
 
-def per_document(shared: Shared, value, texts: bool = True) -> Iterable:
-    """A function from texts to the list of value(aligned segment) of each text; None where a text has no tokens."""
+def per_document(shared: Shared, name: str, value, texts: bool = True) -> Iterable:
+    """A function from texts to the list of value(aligned segment) of each text; None where a text has no tokens.
+
+    A worker keeps what it made of segments until a pass of another name begins.
+    """
     tokenizers = shared.tokenizers
 
     def made(segments: list[str]) -> list:
         return value(tokenizers.aligned(segments, texts))
 
-    pieces = Pieces(made, size=KEPT)
+    if shared.known[0] != name:
+        shared.known = name, Pieces(made, size=KEPT)
+    pieces = shared.known[1]
 
     def of(texts: list[bytes | None]) -> list[list | None]:
         cuts = [tokenizers.cut(t) for t in texts]
@@ -325,7 +330,7 @@ def partial_counts(docs: DataFrame, text: str, shared) -> DataFrame:
     """pair, n: in how many documents of a part of a task the pair is linked."""
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = per_document(shared.value, lambda aligned: [a and tuple(a[4]) for a in aligned], False), Counter()
+        of, counts = per_document(shared.value, "pairs", lambda aligned: [a and tuple(a[4]) for a in aligned], False), Counter()
 
         def give() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
@@ -399,7 +404,7 @@ def looked_up(docs: DataFrame, text: str, keep: tuple[str, ...], shared, places:
                 at = end
             return made
 
-        of = per_document(shared.value, value)
+        of = per_document(shared.value, "counts", value)
 
         def work(texts: list[bytes | None]):
             rows = []
@@ -419,7 +424,7 @@ def joined(docs: DataFrame, text: str, keep: tuple[str, ...], shared, partial: D
     struct = T.StructType([*RESULTS.fields[:4], RESULTS["groups_sha256"], T.StructField("links", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())])))])
 
     def start():
-        of = per_document(shared.value, lambda aligned: aligned)
+        of = per_document(shared.value, "links", lambda aligned: aligned)
 
         def work(texts: list[bytes | None]):
             rows = []
