@@ -3,8 +3,9 @@
 Words and word pairs are hashed into buckets, the same number for every corpus. One multinomial describes the raw corpus
 (all documents), one the trusted target (all documents with a trusted label, but for the fold that sets the threshold).
 A text's score is the mean log-ratio of target to raw over its n-grams, so length plays no part. Every document whose
-score is below a fixed threshold is rejected; nothing is drawn at random. The threshold is the score that splits the
-labelled texts of the fold best, where rejecting a trusted text costs TRUSTED_COST times as much as keeping another.
+score is below a fixed threshold is rejected; nothing is drawn at random. The threshold is the score that splits all
+labelled texts of the fold best, where rejecting a trusted text costs TRUSTED_COST times as much as keeping another: the
+fold grows with the labels, so its scores are range-sorted and the costs of all cuts come from prefix sums.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .shared import bounded_share, cut_lineage, give_back, map_texts, quoted, read, set_apart, utf8
+from .shared import cut_lineage, give_back, map_texts, quoted, read, set_apart, utf8
 
 #: Bits of a bucket's number (a model of 4 MB); the weight of the raw corpus as the target's prior, in n-grams.
 BITS, PRIOR = 20, 16_384
-#: Trusted keys that are broadcast, at most, if they are numbers; more are joined by a shuffle.
+#: Labelled keys that are broadcast, at most, if they are numbers; more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 21
-#: Labelled rows that set the threshold, at most about so many.
-LABELLED_ROWS = 8_000
+#: Distinct scores of a range partition, of which a task sums up one.
+SCORES = 200_000
 TRUSTED_COST = 4.0
 WINDOW = 5
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -106,12 +108,39 @@ def marked(source: DataFrame, trusted: DataFrame) -> DataFrame:
     are joined by a shuffle, from which rows without a key stay away.
     """
     known = trusted.select("key").withColumn("trusted", F.lit(True))
-    if isinstance(source.schema["key"].dataType, T.NumericType) and trusted.count() <= BROADCAST_KEYS:
+    if few_numbers(source, trusted):
         return source.join(F.broadcast(known), "key", "left")
     joined = source.filter("key IS NOT NULL").join(known.hint("shuffle_hash"), "key", "left")
     return joined.unionByName(source.filter("key IS NULL").withColumn("trusted", F.lit(None).cast("boolean")))
 
 
+def few_numbers(source: DataFrame, known: DataFrame) -> bool:
+    return isinstance(source.schema["key"].dataType, T.NumericType) and known.count() <= BROADCAST_KEYS
+
+
+def cheapest_cut(scored: DataFrame) -> float:
+    """`best_threshold` of any number of rows (score, trusted). The driver sees three numbers a range of SCORES distinct scores."""
+    sums = cut_lineage(scored.groupBy("score").agg(F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("other")))
+    ranges = cut_lineage(sums.repartitionByRange(-(-max(1, sums.count()) // SCORES), "score").withColumn("part", F.spark_partition_id()))
+    parts = ranges.groupBy("part").agg(F.sum("good").alias("good"), F.sum("other").alias("other"), F.max("score").alias("last")).orderBy("part").toPandas()
+    good, other = int(parts.good.sum()), int(parts.other.sum())
+    if not good or not other:
+        return -np.inf
+    before = parts.assign(good=parts.good.cumsum() - parts.good, other=parts.other.cumsum() - parts.other, last=parts["last"].shift())
+    facts = scored.sparkSession.createDataFrame([(int(r.part), int(r.good), int(r.other), None if np.isnan(r.last) else float(r.last)) for r in before.itertuples()], "part int, good0 long, other0 long, last double")
+    lower = Window.partitionBy("part").orderBy("score")
+    upto = lambda c: F.coalesce(F.sum(c).over(lower.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(c + "0")
+    # The cut below each score but the lowest: what lies below is rejected.
+    cuts = ranges.join(F.broadcast(facts), "part").select("score", F.coalesce(F.lag("score").over(lower), "last").alias("below"), (upto("good") * TRUSTED_COST + other - upto("other")).alias("cost"))
+    best = cuts.filter("below IS NOT NULL").agg(F.min(F.struct("cost", "score", "below")).alias("one")).select("one.*").first()
+    costs = [float(other), np.inf if best.cost is None else best.cost, good * TRUSTED_COST]
+    at = int(np.argmin(costs))
+    if at == 0:
+        return -np.inf
+    # Nearer to what is rejected: keeping is the default.
+    return float(best.below + (best.score - best.below) / 4) if at == 1 else float(np.nextafter(parts["last"].iloc[-1], np.inf))
+
+
 def best_threshold(scores: np.ndarray, trusted: np.ndarray) -> float:
     """The score from which on keeping costs least (in the lowest such gap). Without both classes, minus infinity."""
     if not trusted.any() or trusted.all():
@@ -128,9 +157,9 @@ def best_threshold(scores: np.ndarray, trusted: np.ndarray) -> float:
     return float(scores[at - 1] + (scores[at] - scores[at - 1]) / 4)  # nearer to what is rejected: keeping is the default
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = LABELLED_ROWS, bits: int = BITS) -> Model:
-    """Counts all of `docs`, and all of its trusted texts outside a fifth of the labels; the labels of that fifth which set
-    the threshold are at most about `rows`, chosen by a hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model:
+    """Counts all of `docs`, and all of its trusted texts outside a fifth of the labels; all labelled texts of that fifth set
+    the threshold.
 
     Of repeated keys in `labels` the smaller label counts; rows with a null key or label don't. Of repeated keys in
     `docs` the smallest text helps to set the threshold. Without trusted texts, or without others, every document that
@@ -152,12 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model = shared.value
         return lambda texts: [[model.score(t) for t in texts]]
 
-    held = known.filter("held")
-    chosen = held.filter(bounded_share(held.count(), rows, F.col("key"), "quality")).select("key", "trusted")
-    judged = source.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "key").groupBy("key", "trusted").agg(F.min("text").alias("text"))
-    scored = map_texts(judged, "text", ("trusted",), T.StructType([T.StructField("score", T.DoubleType())]), start).toPandas()  # at most about `rows`
+    held = known.filter("held").select("key", "trusted")
+    judged = source.filter("text IS NOT NULL").join(F.broadcast(held) if few_numbers(source, held) else held.hint("shuffle_hash"), "key").groupBy("key", "trusted").agg(F.min("text").alias("text"))
+    scored = cut_lineage(map_texts(judged, "text", ("trusted",), T.StructType([T.StructField("score", T.DoubleType())]), start))
     shared.destroy()
-    model.threshold = best_threshold(scored.score.to_numpy(float), scored.trusted.to_numpy(bool))
+    model.threshold = cheapest_cut(scored)
     return model
 
 

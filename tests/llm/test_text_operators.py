@@ -298,6 +298,29 @@ def test_threshold_is_the_cheapest():
     assert 0.2 < cut <= 0.3
 
 
+@pytest.mark.parametrize("scores", [200_000, 7])
+def test_threshold_of_ranges_equals_that_of_one_array(spark, monkeypatch, scores):
+    monkeypatch.setattr(quality, "SCORES", scores)
+    r = np.random.default_rng(4)
+    rounded = r.normal(size=60).round(1)
+    for values, trusted in ((rounded, r.random(60) < 0.5 + rounded / 4), (rounded, rounded < 0), (rounded, rounded >= 0), (rounded, rounded < 9), (np.ones(5), np.arange(5) > 2), (np.zeros(0), np.zeros(0, bool)), (np.arange(40.0), np.arange(40) == 0)):
+        rows = spark.createDataFrame([(float(v), bool(t)) for v, t in zip(values, trusted, strict=True)], "score double, trusted boolean")
+        assert quality.cheapest_cut(rows.repartition(3)) == quality.best_threshold(values, trusted)
+
+
+def test_threshold_comes_from_every_labelled_text_of_the_fold(spark):
+    """More labels in the fold than the 8,000 that once set the threshold; keys as numbers and as texts."""
+    texts = spark.range(60_000).selectExpr("id AS doc_id", "concat(IF(xxhash64(id) % 3 = 0, 'good', 'bad'), pmod(xxhash64(id, 1), 50), ' word', pmod(xxhash64(id, 2), 40), ' tail', pmod(xxhash64(id, 3), 30)) AS text")
+    labels = texts.selectExpr("doc_id", "IF((xxhash64(doc_id) % 3 = 0) != (pmod(xxhash64(doc_id, 4), 5) = 0), 1, 0) AS quality")
+    model = quality.fit(texts, labels, bits=12)
+    rows = texts.join(labels, "doc_id").filter("pmod(xxhash64(CAST(doc_id AS STRING), 'fold'), 5) = 0").toPandas()
+    assert len(rows) > 11_000
+    want = quality.best_threshold(np.array([model.score(t.encode()) for t in rows.text]), rows.quality.to_numpy() > 0)
+    assert np.isfinite(want) and model.threshold == want
+    named = lambda f: f.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert quality.fit(named(texts), named(labels), bits=12).threshold == want
+
+
 # --- toxicity ---
 
 
