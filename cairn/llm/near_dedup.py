@@ -8,9 +8,10 @@ trees travel by a shuffle and not through the driver, for they hold the fingerpr
 bound. A shard beyond `shard_rows` is cut into chunks, and each pair of chunks (tree, probes) is a task's work of
 bounded size. Within a task links are merged at once, so a group of n copies leaves n - 1 edges and not n * n.
 
-The corpus pipeline's stage (`similar_texts`, `keep_one`) links by content instead: texts whose sets of five-word
-shingles have a Jaccard similarity of LIKE or more. 64 bits can't tell such pairs apart (at 0.8 they differ in some
-10 bits), so a banded MinHash key names the shards, and every link is confirmed on the exact sets.
+The corpus pipeline's stage (`similar_texts`, `keep_one`) links texts whose sets of five-word shingles have a Jaccard
+similarity of LIKE or more. Its SimHash has 512 bits, of which such pairs differ in some 80 and strangers in half; a
+shard's BK-tree finds what lies within STAGE_RADIUS, and the exact sets confirm it. Shards can't be named by agreeing
+bits here (of 16 bits all agree in 7 % of the pairs at 0.8, which takes 170 tables), so banded minima name them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ SHINGLE, RADIUS = 3, 3
 #: The pipeline's stage: words of a shingle; least Jaccard similarity as a fraction of whole numbers; bands of so many minima.
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
 STAGE_SHINGLE, LIKE, BANDS, MINIMA = 5, (4, 5), 24, 4
+#: 64-bit words of the stage's fingerprint, and the bits in which a linked pair differs at most. A bit differs with a chance of
+#: 0.15 at 0.8, at most 0.19 (four shingles of five): 160 of 512 is 7 deviations beyond 96; strangers are 8 away from it.
+PRINT, STAGE_RADIUS = 8, 160
+SPREAD = np.random.default_rng(6).integers(0, 2**63, PRINT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = np.random.default_rng(5).integers(0, 2**63, (3, BANDS * MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -253,56 +258,128 @@ def bands(own: np.ndarray) -> list[int]:
     return mixed(keys).view(np.int64).tolist()
 
 
-def like_edges(names: list[int], sets: list[np.ndarray], like: tuple[int, int] = LIKE) -> list[tuple[int, int]]:
-    """Edges that span the groups of sets linked by an exact Jaccard similarity of `like` or more.
-
-    A set is held only against those that no group has taken yet, so n copies cost n comparisons; what stays apart is compared pair by pair.
+def wide_simhash(own: np.ndarray) -> np.ndarray:
+    """PRINT words: a bit is 1 if it is set in over half the hashes of the set's shingles."""
+    counts = np.zeros(64 * PRINT, np.int64)
+    for at in range(0, len(own), 4096):
+        hashes = mixed(mixed(own[at : at + 4096, None] * SPREAD))
+        counts += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def bits_apart(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ fp).sum(axis=1, dtype=np.int16)
+
+
+class BKTree:
+    """Of distinct fingerprints of several words; a node hangs under the edge that equals its distance to its parent."""
+
+    def __init__(self, fps: np.ndarray):
+        n = len(fps)
+        self.fps, self.up, self.edge = fps, np.full(n, -1), np.zeros(n, np.int16)
+        self.there, self.below = np.ones(n, bool), np.zeros(n, np.int64)  # what hasn't been dropped, and how much of it lies in a subtree
+        subtrees = [np.arange(n)]
+        while subtrees:
+            members = subtrees.pop()
+            root, rest = members[0], members[1:]
+            self.below[root] = members.size
+            if rest.size:
+                far = bits_apart(fps[rest], fps[root])
+                order = np.argsort(far, kind="stable")
+                rest, far = rest[order], far[order]
+                starts = np.flatnonzero(np.append(True, far[1:] != far[:-1]))
+                self.up[rest[starts]], self.edge[rest[starts]] = root, far[starts]
+                subtrees += np.split(rest, starts[1:])
+        self.children = np.argsort(self.up, kind="stable")
+        self.first = np.searchsorted(self.up[self.children], np.arange(n + 1))
+
+    def near(self, fp: np.ndarray, radius: int) -> np.ndarray:
+        """The nodes within the radius that are still there: level by level, along edges that differ from the distance to the parent by no more than it."""
+        found, level = [], np.flatnonzero(self.below[:1])
+        while level.size:
+            far = bits_apart(self.fps[level], fp)
+            found.append(level[(far <= radius) & self.there[level]])
+            first, many = self.first[level], self.first[level + 1] - self.first[level]
+            at = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+            level = self.children[at]
+            level = level[(self.below[level] > 0) & (np.abs(self.edge[level] - np.repeat(far, many)) <= radius)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def drop(self, nodes: np.ndarray) -> None:
+        self.there[nodes] = False
+        while nodes.size:
+            np.subtract.at(self.below, nodes, 1)
+            nodes = self.up[nodes]
+            nodes = nodes[nodes >= 0]
+
+
+def like_edges(names: list[int], sets: list[np.ndarray], prints: list[bytes], like: tuple[int, int] = LIKE, radius: int = STAGE_RADIUS) -> list[tuple[int, int]]:
+    """Edges that span the groups of sets whose fingerprints (`prints`) lie within the radius and whose exact Jaccard similarity is `like` or more.
+
+    A set is sought only among those that no group has taken yet, so n copies cost n comparisons. Equal fingerprints are one node of the tree.
     """
     top, bottom = like
     sizes = np.array([len(x) for x in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     parts = np.split(ids, np.cumsum(sizes)[:-1])
     flags = np.zeros(int(ids.max()) + 1, bool)
-    edges, left, waiting = [], np.arange(len(sets)), []
-    held = ids
-    while left.size or waiting:
-        if not waiting:
-            waiting, held, left = [int(left[0])], held[sizes[left[0]] :], left[1:]
-        if not left.size:
-            break
-        one = waiting.pop()
-        flags[parts[one]] = True
-        common = np.add.reduceat(flags[held], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
-        flags[parts[one]] = False
-        near = (top + bottom) * common >= top * (sizes[left] + sizes[one])
-        if near.any():
-            found = left[near].tolist()
-            edges += [(names[i], names[one]) for i in found]
-            waiting += found
-            held, left = held[np.repeat(~near, sizes[left])], left[~near]
+    number: dict[bytes, int] = {}
+    node = np.array([number.setdefault(p, len(number)) for p in prints])
+    fps = np.frombuffer(b"".join(number), np.uint64).reshape(len(number), -1)
+    tree, holders = BKTree(fps), np.split(np.argsort(node, kind="stable"), np.cumsum(np.bincount(node))[:-1])
+    free, open_ = np.ones(len(sets), bool), np.bincount(node)
+    edges = []
+
+    def take(found: np.ndarray) -> None:
+        free[found] = False
+        np.subtract.at(open_, node[found], 1)
+        touched = np.unique(node[found])
+        tree.drop(touched[open_[touched] == 0])
+
+    for seed in range(len(sets)):
+        if not free[seed]:
+            continue
+        take(np.array([seed]))
+        waiting = [seed]
+        while waiting:
+            one = waiting.pop()
+            near = tree.near(fps[node[one]], radius)
+            if not near.size:
+                continue
+            others = np.concatenate([holders[x] for x in near.tolist()])
+            others = others[free[others]]
+            flags[parts[one]] = True
+            common = np.add.reduceat(flags[np.concatenate([parts[x] for x in others.tolist()])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            flags[parts[one]] = False
+            found = others[(top + bottom) * common >= top * (sizes[others] + sizes[one])]
+            if found.size:
+                edges += [(names[i], names[one]) for i in found.tolist()]
+                waiting += found.tolist()
+                take(found)
     return edges
 
 
 def like_links(shards: DataFrame, like: tuple[int, int]) -> DataFrame:
-    """shards: b, c, sig, set (all rows of a pair b, c are held against each other). Edges u, v; holds one group at a time."""
+    """shards: b, c, sig, set, print (all rows of a pair b, c are one tree). Edges u, v; holds one group at a time."""
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(names, sets) -> pa.RecordBatch:
-            edges = like_edges(names, sets, like) if len(names) > 1 else []
+        def flush(names, sets, prints) -> pa.RecordBatch:
+            edges = like_edges(names, sets, prints, like) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-        now, names, sets = None, [], []
+        now, names, sets, prints = None, [], [], []
         for batch in stream:
-            for b, c, sig, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, c, sig, own, fp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (b, c) != now:
                     if len(names) > 1:
-                        yield flush(names, sets)
-                    now, names, sets = (b, c), [], []
+                        yield flush(names, sets, prints)
+                    now, names, sets, prints = (b, c), [], [], []
                 names.append(sig)
                 sets.append(np.frombuffer(own, np.uint64))
-        yield flush(names, sets)
+                prints.append(fp)
+        yield flush(names, sets, prints)
 
-    return shards.select("b", "c", "sig", "set").repartition("b", "c").sortWithinPartitions("b", "c").mapInArrow(work, "u long, v long")
+    return shards.select("b", "c", "sig", "set", "print").repartition("b", "c").sortWithinPartitions("b", "c").mapInArrow(work, "u long, v long")
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -318,8 +395,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[int, int] = LIKE, shard_shingles: int = 2_000_000) -> DataFrame:
     """All columns of source (__key, __t and more) but the text, with root and component_id of the row's component.
 
-    Equal sets are one node. Nodes that share a band are held against each other on their exact sets, once for bands
-    of the same nodes. A shard beyond `shard_shingles` is cut into chunks, and each pair of chunks is a task's work.
+    Equal sets are one node. The fingerprints of nodes that share a band make a BK-tree, once for bands of the same nodes;
+    what it finds within STAGE_RADIUS is confirmed on the exact sets. A shard beyond `shard_shingles` is cut into chunks, and each pair of chunks is a task's work.
     """
     long = T.LongType()
     source = source.withColumn("__h", F.xxhash64(F.col("__key").cast("string"), "__t"))
@@ -344,18 +421,18 @@ def linked_texts(source: DataFrame, shingle: int = STAGE_SHINGLE, like: tuple[in
     def again():
         def work(texts):
             sets = [shingles(t, shingle) for t in texts]
-            return [[digest(x) for x in sets], [x.tobytes() for x in sets]]
+            return [[digest(x) for x in sets], [x.tobytes() for x in sets], [wide_simhash(x).tobytes() for x in sets]]
 
         return work
 
     # One row of each set is read again; equal rows bring it several times.
     wanted = distinct.join(members.select("sig").distinct(), "sig").select(F.col("one").alias("__h")).distinct()
-    sets = map_texts(source.select("__h", "__t").join(wanted, "__h", "left_semi"), "__t", ("__h",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType())]), again, raw=True)
+    sets = map_texts(source.select("__h", "__t").join(wanted, "__h", "left_semi"), "__t", ("__h",), T.StructType([T.StructField("sig", long), T.StructField("set", T.BinaryType()), T.StructField("print", T.BinaryType())]), again, raw=True)
     # Chunk i meets chunk j in the group i * chunks + j with i < j, which holds the rows of both.
     own, chunks, zero = F.pmod(F.xxhash64("sig"), F.col("chunks")), F.col("chunks"), F.lit(0).cast("long")
     groups = F.when(chunks == 1, F.array(zero)).otherwise(F.transform(F.filter(F.sequence(zero, chunks - 1), lambda o: o != F.col("own")), lambda o: F.least(o, F.col("own")) * chunks + F.greatest(o, F.col("own"))))
     placed = members.withColumn("own", own).select("sig", "b", F.explode(groups).alias("c"))
-    shards = placed.join(sets.dropDuplicates(["sig"]).select("sig", "set"), "sig")
+    shards = placed.join(sets.dropDuplicates(["sig"]).select("sig", "set", "print"), "sig")
     stars = connected(like_links(shards, like))
     return named_components(marked.drop("n", "bands", "__h"), distinct.drop("one"), stars, "sig").drop("sig")
 

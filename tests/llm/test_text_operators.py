@@ -148,6 +148,48 @@ def test_stage_drops_edited_copies_from_a_similarity_of_four_fifths(spark, shard
     assert got == [i for i in range(len(texts)) if up[i] == i]
 
 
+def test_wide_bk_tree_finds_what_a_scan_finds():
+    r = np.random.default_rng(3)
+    fps = r.integers(0, 2**63, (300, near_dedup.PRINT), dtype=np.uint64)
+    for i in range(100, 300):  # chains of neighbours at all distances
+        fps[i] = fps[i - 100] ^ np.packbits(r.random(64 * near_dedup.PRINT) < r.choice([0.01, 0.1, 0.3])).view(np.uint64)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    gone = np.zeros(300, bool)
+    tree = near_dedup.BKTree(fps)
+    for _ in range(4):
+        for radius in (0, 20, near_dedup.STAGE_RADIUS, 512):
+            for i in range(0, 300, 7):
+                assert sorted(tree.near(fps[i], radius).tolist()) == np.flatnonzero((apart[i] <= radius) & ~gone).tolist()
+        out = r.permutation(np.flatnonzero(~gone))[:75]
+        tree.drop(out)
+        gone[out] = True
+    assert gone.all() and not tree.near(fps[0], 512).size
+
+
+def test_stage_links_what_its_bk_trees_find():
+    """Pairs at a Jaccard similarity of 0.8 lie within the radius and strangers don't; no link is made beside the trees."""
+    r = np.random.default_rng(7)
+    new = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    apart = []
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (16, 2, 2), (80, 10, 10), (400, 0, 100), (4000, 500, 500)):
+        for _ in range(60 if common < 1000 else 8):
+            same = new(common)
+            both = [near_dedup.wide_simhash(np.unique(np.concatenate([same, new(n)]))) for n in (a, b)]
+            apart.append(int(near_dedup.bits_apart(both[0][None], both[1])[0]))
+    assert max(apart) < near_dedup.STAGE_RADIUS - 10
+    strangers = np.array([near_dedup.wide_simhash(new(n)) for n in (5, 9, 40, 41, 300, 301) for _ in range(20)])
+    assert min(int(np.delete(near_dedup.bits_apart(strangers, x), i).min()) for i, x in enumerate(strangers)) > near_dedup.STAGE_RADIUS
+    sets = [new(50) for _ in range(12)]
+    sets += [np.concatenate([x[:46], new(4)]) for x in sets[:6]] + [np.concatenate([sets[0][:40], new(10)])]
+    sets = [np.sort(x) for x in sets]
+    prints = [near_dedup.wide_simhash(x).tobytes() for x in sets]
+    edges = near_dedup.like_edges(list(range(len(sets))), sets, prints)
+    assert sorted(tuple(sorted(e)) for e in edges) == [(i, i + 12) for i in range(6)]
+    assert near_dedup.like_edges(list(range(len(sets))), sets, prints, radius=20) == []
+    # Equal fingerprints of different sets share a node, and all of its sets are held against each other.
+    assert sorted(tuple(sorted(e)) for e in near_dedup.like_edges(list(range(len(sets))), sets, [prints[0]] * len(sets))) == [(i, i + 12) for i in range(6)]
+
+
 def test_links_are_the_same_for_each_number_of_agreeing_blocks(spark):
     texts = random_texts(60, 5)
     got = [sorted(map(tuple, near_dedup.near_duplicates(frame(spark, texts), agreeing=n).collect())) for n in (1, 2, 3)]
