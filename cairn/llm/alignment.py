@@ -2,10 +2,10 @@
 
 A text is cut into segments at which both tokenizers cut: before a space that follows a visible character, in plain texts
 around a line end and before a stop that follows a letter too. A worker encodes, aligns and remembers segments, so a text
-costs a lookup a segment. The first pass sums up in its tasks how
-many documents hold a pair. A minimal perfect hash over the distinct pairs, built in shards, gives each pair a place of
-its own in a dense vector; tasks add their counts up in such vectors and these in a tree. The pairs themselves lie at
-their places too, so every lookup is verified. The second pass aligns the documents again and looks the counts up.
+costs a lookup a segment. One pass aligns every text and keeps its links (4 bytes each, in the checkpoints' folder); all
+else reads these. Tasks sum up how many documents hold a pair. A minimal perfect hash over the distinct pairs, built in
+shards, gives each pair a place of its own in a dense vector; tasks add their counts up in such vectors and these in a
+tree. The pairs themselves lie at their places too, so every lookup is verified. A last pass looks the links' counts up.
 
 The hash, pairs and counts are broadcast as long as there are at most PAIRS pairs; beyond that, pairs are counted and
 looked up by joins, with the same result.
@@ -17,8 +17,7 @@ import functools
 import hashlib
 import itertools
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Pieces, is_plain
-from .shared import by_share, cut_lineage, map_texts, quoted, read, slices, small_batches, tree_sum
+from .shared import by_share, cut_lineage, map_texts, quoted, read, slices, tree_sum
 from .token_count import tokenizer_file
 
 #: Pairs that are broadcast, at most (21 bytes each); pairs of a shard of the hash; bits of the hash a pair and level;
@@ -121,18 +120,18 @@ class Tokenizers:
             return None
         return self.pieces(" " + known) if known else None
 
-    def aligned(self, segments: list[str], texts: bool = True) -> list[tuple[int, int, int, str, list[int]] | tuple]:
-        """n_a, n_b, n_groups, the groups' text (if asked for) and the linked pairs (a << 32 | b) of each; () where bytes differ."""
+    def aligned(self, segments: list[str]) -> list[tuple[int, int, int, str, list[int]] | tuple]:
+        """n_a, n_b, n_groups, the groups' text and the linked pairs (a << 32 | b) of each; () where bytes differ."""
         side = [s for s in segments if not self.by_segments or "▁" in s or "\n" in s or s[:2] == "  " or ENDS_UNSEEN(s[-1])]
         apart = set(side)
         rest = [s for s in segments if s not in apart]
-        found = dict(zip(rest, self.side_by_side(rest, texts) or (), strict=False))
+        found = dict(zip(rest, self.side_by_side(rest) or (), strict=False))
         if len(found) < len(rest):
             side, found = segments, {}
         found.update((s, align(a, b, self.a_bytes, self.b_bytes, s.encode())) for s, (a, b) in zip(side, self.encoded(side), strict=True))
         return [found[s] for s in segments]
 
-    def side_by_side(self, segments: list[str], texts: bool) -> list[tuple[int, int, int, str, list[int]]] | None:
+    def side_by_side(self, segments: list[str]) -> list[tuple[int, int, int, str, list[int]]] | None:
         """The same for segments that may stand in lines of their own in one text, which the libraries encode at once; None if it isn't spelled."""
         if not segments:
             return []
@@ -153,11 +152,9 @@ class Tokenizers:
         # Between two ends of tokens lies the overlap of one pair.
         pairs = (a[np.searchsorted(a_end, spans)] << 32 | b[np.searchsorted(b_end, spans)]).tolist()
         upto = [[0, *np.searchsorted(x, ends, "right").tolist()] for x in (a_end, b_end, cuts, spans)]
-        groups = []
-        if texts:
-            names, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            edges = ([0, *np.searchsorted(x, cuts, "right").tolist()] for x in (a_end, b_end))
-            groups = [",".join(names[i:j]) + "|" + ",".join(others[k:m]) for (i, j), (k, m) in zip(*map(itertools.pairwise, edges), strict=True)]
+        names, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        edges = ([0, *np.searchsorted(x, cuts, "right").tolist()] for x in (a_end, b_end))
+        groups = [",".join(names[i:j]) + "|" + ",".join(others[k:m]) for (i, j), (k, m) in zip(*map(itertools.pairwise, edges), strict=True)]
         return [(a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[p0:p1]) for (a0, a1), (b0, b1), (g0, g1), (p0, p1) in itertools.islice(zip(*map(itertools.pairwise, upto), strict=True), 1, None, 2)]
 
 
@@ -186,10 +183,10 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
 
 
 class Shared:
-    """What is broadcast; a worker process builds its tokenizers once, and remembers segments from task to task of a pass."""
+    """What is broadcast; a worker process builds its tokenizers once, and remembers segments from task to task."""
 
     def __init__(self, a_definition: str, b_model: bytes):
-        self.files, self.known = (a_definition, b_model), ("", None)
+        self.files = a_definition, b_model
 
     def __reduce__(self):
         return Shared, self.files
@@ -199,26 +196,30 @@ class Shared:
         return Tokenizers(*self.files)
 
 
-def per_document(shared: Shared, name: str, value, texts: bool = True) -> Iterable:
-    """A function from texts to the list of value(aligned segment) of each text; None where a text has no tokens.
+    @functools.cached_property
+    def segments(self) -> Pieces:
+        """n_a, n_b, n_groups, n_links, the groups' text and the links (of `wide` tokenizers 8 bytes each, else 4) of each segment."""
 
-    A worker keeps what it made of segments until a pass of another name begins.
-    """
-    tokenizers = shared.tokenizers
+        def made(segments: list[str]) -> list[tuple]:
+            aligned = self.tokenizers.aligned(segments)
+            links = np.array([p for a in aligned if a for p in a[4]], np.int64)
+            packed, width = (links.tobytes(), 8) if self.wide else ((links >> 32 << 16 | links & 0xFFFF).astype(np.uint32).tobytes(), 4)
+            ends = np.cumsum([width * len(a[4]) if a else 0 for a in aligned]).tolist()
+            return [a and (*a[:3], len(a[4]), a[3], packed[end - width * len(a[4]) : end]) for a, end in zip(aligned, ends, strict=True)]
 
-    def made(segments: list[str]) -> list:
-        return value(tokenizers.aligned(segments, texts))
+        return Pieces(made, size=KEPT)
 
-    if shared.known[0] != name:
-        shared.known = name, Pieces(made, size=KEPT)
-    pieces = shared.known[1]
+    @functools.cached_property
+    def wide(self) -> bool:
+        return max(len(self.tokenizers.a_bytes), len(self.tokenizers.b_bytes)) > 1 << 16
 
-    def of(texts: list[bytes | None]) -> list[list | None]:
-        cuts = [tokenizers.cut(t) for t in texts]
-        found = pieces.look_up([c or [] for c in cuts])
-        return [None if c is None or () in values else values for c, values in zip(cuts, found, strict=True)]
 
-    return of
+def links_of(packed: bytes) -> np.ndarray:
+    """The pairs (a << 32 | b) of a text's links: 4 bytes each, or 8 each and one byte more."""
+    if len(packed) % 4:
+        return np.frombuffer(packed, np.int64, len(packed) // 8)
+    short = np.frombuffer(packed, np.uint32).astype(np.int64)
+    return short >> 16 << 32 | short & 0xFFFF
 
 
 # --- the minimal perfect hash ---
@@ -326,27 +327,28 @@ def perfect_hash(pairs: DataFrame, n: int) -> Places:
 # --- counts ---
 
 
-def partial_counts(docs: DataFrame, text: str, shared) -> DataFrame:
-    """pair, n: in how many documents of a part of a task the pair is linked."""
+def added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
 
-    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = per_document(shared.value, "pairs", lambda aligned: [a and tuple(a[4]) for a in aligned], False), Counter()
 
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
+def partial_counts(rows: DataFrame) -> DataFrame:
+    """pair, n: in how many rows (links) of a part of a task the pair is linked."""
 
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = counts = np.zeros(0, np.int64)
         for batch in stream:
             for part in slices(batch, PART):
-                for values in of(part.column(0).to_pylist()):
-                    if values:
-                        counts.update(set().union(*values))
-                        if len(counts) > COUNTED:
-                            yield give()
-                            counts.clear()
-        yield give()
+                each = [np.unique(links_of(x)) for x in part.column(0).to_pylist() if x]
+                if each:
+                    new = np.unique(np.concatenate(each), return_counts=True)
+                    pairs, counts = added([pairs, new[0]], [counts, new[1]])
+                if len(pairs) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
+                    pairs = counts = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(quoted(text)).cast("binary").alias("text")).mapInArrow(work, "pair long, n long")
+    return rows.select("links").mapInArrow(work, "pair long, n long")
 
 
 def dense_counts(partial: DataFrame, places: Places) -> np.ndarray:
@@ -379,73 +381,70 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULTS = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("groups_sha256", T.StringType())])
 
 
-def digest(values: list | None, at: int) -> str:
-    return hashlib.sha256(";".join(v[at] for v in values).encode()).hexdigest() if values else ""
+LINKED = T.StructType([*RESULTS.fields[:4], RESULTS["groups_sha256"], T.StructField("links", T.BinaryType())])
 
 
-def looked_up(docs: DataFrame, text: str, keep: tuple[str, ...], shared, places: Places, counts: np.ndarray) -> DataFrame:
-    """The second pass, where hash, pairs and counts are broadcast."""
-    first = (places.keys >> np.uint64(32)).astype(np.int64)
-    highest = np.zeros(int(first.max(initial=0)) + 1, np.int64)
-    np.maximum.at(highest, first, counts)
-    # One entry more, for pairs of documents that have no tokens because of another segment.
-    tables = docs.sparkSession.sparkContext.broadcast((places, smallest(np.append(counts, 0)), np.append(counts == highest[first], False)))
+def linked(docs: DataFrame, text: str, keep: tuple[str, ...], shared) -> DataFrame:
+    """`keep`, what doesn't depend on the counts, and the links of each text: the only pass that encodes."""
 
-    def start():
-        places, counts, best = tables.value
+    def start() -> Callable:
+        tokenizers, segments, end = shared.value.tokenizers, shared.value.segments, b"\0" if shared.value.wide else b""
 
-        def value(aligned: list[tuple]) -> list[tuple]:
-            place = places.of(np.array([p for a in aligned if a for p in a[4]], np.uint64))
-            upto = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (best[place], counts[place], place < 0)]
-            made, at = [], 0
-            for a in aligned:
-                end = at + len(a[4]) if a else at
-                made.append(a and (*a[:3], len(a[4]), *(int(x[end] - x[at]) for x in upto), a[3]))
-                at = end
-            return made
-
-        of = per_document(shared.value, "counts", value)
-
-        def work(texts: list[bytes | None]):
-            rows = []
-            for values in of(texts):
-                *sums, unknown = map(sum, list(zip(*values, strict=True))[:7]) if values else [0] * 7
-                known(np.array([-unknown]))
-                rows.append([*sums, digest(values, 7)])
+        def work(texts: list[bytes | None]) -> list[tuple]:
+            cuts, rows = [tokenizers.cut(t) for t in texts], []
+            for cut, values in zip(cuts, segments.look_up([c or [] for c in cuts]), strict=True):
+                if not cut or () in values:
+                    rows.append((0, 0, 0, 0, "", b""))
+                    continue
+                *sums, groups, links = zip(*values, strict=True)
+                rows.append((*map(sum, sums), hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(links) + end))
             return list(zip(*rows, strict=True))
 
         return work
 
-    return map_texts(docs, text, keep, RESULTS, start, PART, raw=True)
+    return map_texts(docs, text, keep, LINKED, start, PART, raw=True)
 
 
-def joined(docs: DataFrame, text: str, keep: tuple[str, ...], shared, partial: DataFrame) -> DataFrame:
-    """The second pass by joins, where the pairs are too many to be broadcast."""
-    struct = T.StructType([*RESULTS.fields[:4], RESULTS["groups_sha256"], T.StructField("links", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())])))])
+def looked_up(rows: DataFrame, places: Places, counts: np.ndarray) -> DataFrame:
+    """rows with n_best and count_sum, where hash, pairs and counts are broadcast."""
+    first = (places.keys >> np.uint64(32)).astype(np.int64)
+    highest = np.zeros(int(first.max(initial=0)) + 1, np.int64)
+    np.maximum.at(highest, first, counts)
+    tables = rows.sparkSession.sparkContext.broadcast((places, smallest(counts), counts == highest[first]))
 
-    def start():
-        of = per_document(shared.value, "links", lambda aligned: aligned)
+    def start() -> Callable:
+        places, counts, best = tables.value
 
-        def work(texts: list[bytes | None]):
-            rows = []
-            for values in of(texts):
-                links = Counter(p for v in values or () for p in v[4])
-                rows.append([*(sum(v[i] for v in values or ()) for i in range(3)), links.total(), digest(values, 3), [{"pair": p, "times": n} for p, n in links.items()]])
-            return list(zip(*rows, strict=True))
+        def work(texts: list[bytes]) -> list[np.ndarray]:
+            links = list(map(links_of, texts))
+            place = known(places.of(np.concatenate(links).view(np.uint64)))
+            ends = np.cumsum([0, *map(len, links)])
+            return [np.diff(np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[ends]) for x in (best, counts)]
 
         return work
 
-    names = {c: f"__keep_{i}" for i, c in enumerate(dict.fromkeys(keep)) if c not in RESULTS.names}
-    source = docs.select(F.col(quoted(text)).alias("__text"), *(F.col(quoted(c)).alias(n) for c, n in names.items()))
-    rows = cut_lineage(map_texts(source, "__text", tuple(names.values()), struct, start, PART, raw=True).withColumn("__row", F.monotonically_increasing_id()))
+    return map_texts(rows, "links", tuple(c for c in rows.columns if c != "links"), T.StructType(RESULTS.fields[4:6]), start, PART, raw=True)
+
+
+def joined(rows: DataFrame, partial: DataFrame) -> DataFrame:
+    """The same by joins, where the pairs are too many to be broadcast."""
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for part in slices(batch, PART):
+                row, packed = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+                each = [np.unique(links_of(x), return_counts=True) for x in packed]
+                made = np.repeat(row, [len(e[0]) for e in each]), *(np.concatenate([e[i] for e in each]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["__row", "pair", "times"])
+
+    rows = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
     counts = cut_lineage(partial.groupBy("pair").agg(F.sum("n").alias("count")))
     highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("highest"))
     facts = counts.join(highest, F.shiftright("pair", 32) == F.col("a")).select("pair", "count", F.col("count").alias("documents"), (F.col("count") == F.col("highest")).alias("best"))
     # A pair that a large part of the documents hold is looked up in a broadcast of such pairs.
-    found = by_share(rows.select("__row", F.inline("links")), facts, "pair", "documents")
+    found = by_share(rows.select("__row", "links").mapInArrow(work, "__row long, pair long, times long"), facts, "pair", "documents")
     sums = found.groupBy("__row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows.join(sums, "__row", "left").select(*(F.col(n).alias(c) for c, n in names.items()), *COUNTS[:4], zero("n_best"), zero("count_sum"), "groups_sha256")
+    return rows.drop("links").join(sums, "__row", "left").fillna(0, ["n_best", "count_sum"])
 
 
 def align_documents(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pairs: int = PAIRS) -> DataFrame:
@@ -460,13 +459,18 @@ def align_documents(docs: DataFrame, a_file: str | None = None, b_file: str | No
     """
     with open(a_file or tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as a, open(b_file or tokenizer_file("piece_bpe_32k.model"), "rb") as b:
         shared = docs.sparkSession.sparkContext.broadcast(Shared(a.read(), b.read()))
-    partial = cut_lineage(partial_counts(docs, text, shared))
+    names = {c: f"__keep_{i}" for i, c in enumerate(dict.fromkeys(keep)) if c not in RESULTS.names}
+    source = docs.select(F.col(quoted(text)).alias("__text"), *(F.col(quoted(c)).alias(n) for c, n in names.items()))
+    rows = cut_lineage(linked(source, "__text", tuple(names.values()), shared))
+    partial = cut_lineage(partial_counts(rows))
     distinct = partial.select("pair").distinct()
     n = distinct.count()
     if n > pairs:
-        return joined(docs, text, keep, shared, partial)
-    places = perfect_hash(distinct, n)
-    return looked_up(docs, text, keep, shared, places, dense_counts(partial, places))
+        found = joined(rows, partial)
+    else:
+        places = perfect_hash(distinct, n)
+        found = looked_up(rows, places, dense_counts(partial, places))
+    return found.select(*(F.col(n).alias(c, metadata=docs.schema[c].metadata) for c, n in names.items()), *RESULTS.names)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

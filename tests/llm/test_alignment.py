@@ -100,3 +100,23 @@ def test_perfect_hash_is_minimal_and_verified(spark, monkeypatch):
     assert places.of(np.array([12345], np.uint64)).tolist() == [-1]
     with pytest.raises(RuntimeError, match="changed"):
         alignment.known(places.of(np.array([12345], np.uint64)))
+
+
+def test_links_keep_their_ids():
+    narrow, wide = np.array([[0, 5], [65535, 65535], [0, 0]], np.int64), np.array([[70000, 5], [3, 1 << 20]], np.int64)
+    for ids, packed in ((narrow, (narrow[:, 0] << 16 | narrow[:, 1]).astype(np.uint32).tobytes()), (wide, (wide[:, 0] << 32 | wide[:, 1]).tobytes() + b"\0"), (narrow[:0], b""), (narrow[:0], b"\0")):
+        assert alignment.links_of(packed).tolist() == [a << 32 | b for a, b in ids.tolist()]
+
+
+@pytest.mark.parametrize("pairs", [alignment.PAIRS, 0])
+def test_each_text_is_read_and_encoded_once(spark, pairs):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(i):
+        seen.add(1)
+        return f"row {i} of a text, read once"
+
+    docs = spark.range(40).select(F.col("id").alias("links"), counted("id").alias("text"))
+    got = alignment.align_documents(docs, keep=("links",), pairs=pairs).collect()
+    assert seen.value == 40 and sorted(r.links for r in got) == list(range(40)) and all(r.n_links >= r.n_groups > 0 for r in got)
