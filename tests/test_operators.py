@@ -49,6 +49,20 @@ def test_offseason_file_and_explicit_season(spark):
     assert (r.c.season, r.c.year) == ("fall", 2026)
 
 
+def test_a_number_in_an_address_is_a_year_only_where_nothing_else_says_one(spark):
+    row = "| Acme | Data Intern | Boston, MA | [Apply](https://jobs.lever.co/s7/p2073) | May 13 |"
+    year = lambda text, **k: extract.extract(events(spark, text, **k)).select("c.year").first().year
+    assert [year(row, account="o/Summer2027"), year(row, path="OFFSEASON.md"), year(row)] == [2027, 2026, 2073]
+    assert [year("https://jobs.ashbyhq.com/acme-2047", path="OFFSEASON.md"), year("https://jobs.ashbyhq.com/acme-2047")] == [2026, 2047]
+    assert year("https://jobs.lever.co/acme/data-summer-2026 of 2028") == 2026
+
+
+def test_a_number_after_a_number_sign_is_no_year(spark):
+    year = lambda text: extract.extract(events(spark, text, source="discord_manual")).select("c.year").first().year
+    assert [year(f"Company: Office {sign}2030 Inc.\nRole: Data Intern\n2027") for sign in ("№ ", "№", "#", "# ")] == [2027] * 4
+    assert year("Company: Office 2030 Inc.\nRole: Data Intern\n2027") == 2030
+
+
 def test_header_rule_and_short_rows_are_no_candidates(spark):
     got = extract.extract(events(spark, "| Company | Role | L | A | D |", "| --- | --- | --- | --- | --- |", "| a | b |")).collect()
     assert [r.c for r in got] == [None] * 3
