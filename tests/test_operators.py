@@ -376,6 +376,15 @@ def test_sketches_keep_their_rank_error(spark):
     assert sum(w.n for w in weeks) == 60_000 and all(w.start.weekday() == 0 for w in weeks)
 
 
+def test_counted_latencies_are_exact(spark):
+    times = spark.range(0, 60_000, 1, 6).select(F.timestamp_seconds(F.lit(1_767_225_600) + F.col("id") * 20).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("s")).withColumn("b", F.timestamp_seconds(F.unix_timestamp("a") + F.col("s")))
+    weeks = metrics.counted_latencies(metrics.counts_rolled_up(metrics.latency_counts(times, "a", "b"))).collect()
+    for w in weeks:
+        own = sorted(r.s for r in times.filter((F.col("a") >= F.lit(w.start)) & (F.col("a") < F.lit(w.start + timedelta(days=7)))).select("s").collect())
+        assert (w.n, w.p50, w.p95, w.longest) == (len(own), own[-(-len(own) // 2) - 1], own[-(-len(own) * 95 // 100) - 1], own[-1])
+    assert sum(w.n for w in weeks) == 60_000 and all(w.start.weekday() == 0 for w in weeks)
+
+
 def test_streamed_latencies_equal_the_batch(spark, tmp_path):
     start, r = datetime(2026, 1, 1), random.Random(3)
     events_ = [(f"e{i}", start + timedelta(minutes=i)) for i in range(40)]
