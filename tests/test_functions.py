@@ -50,6 +50,21 @@ def test_vocabulary(spark):
     assert [mode(["Hybrid - NY"]), mode(["Remote"]), mode([], "work from home"), mode(["NYC"], "in-office"), mode(["NYC"])] == ["Hybrid", "Remote", "Remote", "On-site", None]
 
 
+def test_an_address_is_taken_apart_once(spark):
+    """However deep the functions of addresses are nested, the plan holds one match of their shape a step."""
+    plan = lambda column: spark.createDataFrame([("",)], "t string").select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    shape = "(?:([^/?#@]*)@)?"
+    assert [plan(c).count(shape) for c in (ul.canonical("t"), ul.job_identity("t"), ul.is_job_url("t"), ul.serialized("t"), ul.job_identity(ul.canonical("t")))] == [1, 1, 1, 1, 2]
+
+
+def test_plain_addresses_are_their_own_form(spark):
+    plain = ["https://a.com/b", "https://jobs.lever.co/a-b/C_1~"]
+    assert many(spark, ul.canonical("t"), plain) == plain and many(spark, ul.serialized("t"), [p + "/?a=1&a" for p in plain]) == [p + "/?a=1&a" for p in plain]
+    other = ["https://a.com/b/", "https://A.com/b", "https://a.com/./b", "http://a.com/b", "https://a.com/b?ref=1", "https://u@a.com/b", "https://a.com:443/b", "https://a.com"]
+    assert many(spark, ul.canonical("t"), other) == ["https://a.com/b", "https://a.com/b", "https://a.com/b", None, "https://a.com/b", None, "https://a.com/b", "https://a.com/"]
+
+
 RELEVANCE = [
     ("Summer internship, apply now", "relevant"), ("co-op application open", "relevant"), ("new grad careers", "relevant"), ("early-career: https://jobs.lever.co/a/b", "relevant"), ("internship", "ambiguous"), ("apply here", "ambiguous"),
     ("https://boards.greenhouse.io/acme/jobs/1", "ambiguous"), ("Senior engineer, apply", "irrelevant"), ("staff role at career fair", "irrelevant"), ("Senior intern mentor apply", "relevant"), ("webinar tonight", "irrelevant"), ("hackathon https://x.example/news", "irrelevant"),
