@@ -57,6 +57,17 @@ def test_a_number_in_an_address_is_a_year_only_where_nothing_else_says_one(spark
     assert year("https://jobs.lever.co/acme/data-summer-2026 of 2028") == 2026
 
 
+def test_extraction_generates_methods_that_the_jvm_compiles(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(name)
+    extract.extract(events(spark, "hello"))
+    assert spark.conf.get(name) == "8000"
+    spark.conf.set(name, "9000")
+    extract.extract(events(spark, "hello"))
+    assert spark.conf.get(name) == "9000"
+    spark.conf.unset(name)
+
+
 def test_a_number_after_a_number_sign_is_no_year(spark):
     year = lambda text: extract.extract(events(spark, text, source="discord_manual")).select("c.year").first().year
     assert [year(f"Company: Office {sign}2030 Inc.\nRole: Data Intern\n2027") for sign in ("№ ", "№", "#", "# ")] == [2027] * 4
