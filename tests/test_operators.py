@@ -145,6 +145,13 @@ def test_snapshot_rows(spark):
     assert [(r.row_index, r.company, r.role, r.application_url) for r in rows] == [(0, "Acme", "Intern", "https://a.com/1"), (1, "Acme", "Co-op", "https://a.com/2"), (2, None, "Other", None), (3, "Acme", "Esc \\| aped", "https://a.com/4")]
 
 
+def test_tables_are_parsed_in_one_pass(spark):
+    content = "| Company | Role | L | A | D |\n| - | - | - | - | - |\n| A | Intern | NY | https://a.com/1 | May 1 |"
+    rows = snapshots.parse_tables(files(spark, a=content, b=content.replace("Company", "Firm")).withColumn("expected_headers", F.array(*map(F.lit, ("Company", "Role", "L", "A", "D")))))
+    assert [(r.path, r.role) for r in rows.filter("application_url IS NOT NULL").collect()] == [("a", "Intern")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
 def test_drift_and_missing_headers(spark):
     got = {r.path: r.detail for r in snapshots.drift(snapshots.with_options(files(spark, good=TABLE, other=TABLE.replace("Company", "Firm"), none="text only"))).collect()}
     assert got == {"good": None, "other": "table_headers_mismatch", "none": "table_headers_missing"}
